@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from stockcount.functions.numbers import decimals
+
 UNKNOWN = "UNKNOWN"
 
 # Media type to file extension; anything else is saved as jpg.
@@ -39,7 +41,7 @@ def _named(ean: Column, description: Column, chars: int) -> Column:
 
 def sku_label(ean: Column, description: Column, confidence: Column) -> Column:
     """Text drawn next to a box: product code and name, or UNKNOWN with the similarity."""
-    unknown = F.format_string("UNKNOWN (%.2f)", F.coalesce(confidence, F.lit(0.0)).cast("double"))
+    unknown = F.format_string("UNKNOWN (%.2f)", decimals(F.coalesce(confidence, F.lit(0.0)), 2))
     return F.when(ean != UNKNOWN, _named(ean, description, 30)).otherwise(unknown)
 
 

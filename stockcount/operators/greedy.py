@@ -9,8 +9,10 @@ occurrence before anything else, so a group of copies costs one row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,15 +23,14 @@ PREFIX = 512
 
 
 def _settle(score: str, threshold: float, strict: bool):
-    def run(pdf):
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
+        import pandas as pd
 
-        pdf = pdf.sort_values("rn", kind="stable")
-        m = np.stack(pdf["vec"].to_numpy()).astype("float64")
-        if score == "cosine":
-            m = m / np.maximum(np.linalg.norm(m, axis=1), 1e-10)[:, None]
-            sims = m @ m.T
-        else:
+        def similarity(m):
+            if score == "cosine":
+                m = m / np.maximum(np.linalg.norm(m, axis=1), 1e-10)[:, None]
+                return m @ m.T
             left = np.maximum(m[:, None, 0], m[None, :, 0])
             top = np.maximum(m[:, None, 1], m[None, :, 1])
             right = np.minimum(m[:, None, 2], m[None, :, 2])
@@ -37,15 +38,52 @@ def _settle(score: str, threshold: float, strict: bool):
             inter = np.clip(right - left, 0, None) * np.clip(bottom - top, 0, None)
             area = (m[:, 2] - m[:, 0]) * (m[:, 3] - m[:, 1])
             union = area[:, None] + area[None, :] - inter
-            sims = np.where(inter > 0, inter / np.where(union > 0, union, 1.0), 0.0)
-        close = sims > threshold if strict else sims >= threshold
-        alive = np.ones(len(m), dtype=bool)
-        for i in range(len(m)):
-            if alive[i]:
-                alive[i + 1 :] &= ~close[i, i + 1 :]
-        return pdf.loc[alive, ["scope", "key", "vec"]]
+            return np.where(inter > 0, inter / np.where(union > 0, union, 1.0), 0.0)
 
-    return run
+        def survivors(pdf):
+            scope = pdf["scope"].to_numpy()
+            cuts = np.concatenate(([0], np.flatnonzero(scope[1:] != scope[:-1]) + 1, [len(scope)]))
+            vecs = pdf["vec"].to_numpy()
+            alive = np.ones(len(scope), dtype=bool)
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                if b - a == 1:
+                    continue
+                sims = similarity(np.stack(vecs[a:b]).astype("float64"))
+                close = sims > threshold if strict else sims >= threshold
+                mine = alive[a:b]
+                for i in range(b - a):
+                    if mine[i]:
+                        mine[i + 1 :] &= ~close[i, i + 1 :]
+            return pdf.loc[alive, ["scope", "key", "vec"]]
+
+        # Rows arrive ordered by scope; only the scope at the end of a batch may continue.
+        held = None
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            if held is not None:
+                pdf = pd.concat([held, pdf], ignore_index=True)
+            open_scope = (pdf["scope"] == pdf["scope"].iloc[-1]).to_numpy()
+            held = pdf[open_scope]
+            if not open_scope.all():
+                yield survivors(pdf[~open_scope].reset_index(drop=True))
+        if held is not None:
+            yield survivors(held.reset_index(drop=True))
+
+    return settle
+
+
+def _settled(items: DataFrame, fn, schema: str) -> DataFrame:
+    """Settles whole scopes, many per call: scopes are hashed to buckets and read as a sorted stream."""
+    buckets = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int"))
+    return (
+        bucketed.repartition("bucket")
+        .sortWithinPartitions("bucket", "scope", "ord")
+        .select("bucket", "scope", "key", "vec")
+        .groupBy("bucket")
+        .applyInPandas(fn, schema)
+    )
 
 
 def greedy_keep(
@@ -78,7 +116,7 @@ def greedy_keep(
         undecided = cut(undecided)
         # Ranking with a limit keeps at most ``prefix`` rows per scope and task before the shuffle.
         head = undecided.withColumn("rn", F.row_number().over(by_order)).filter(F.col("rn") <= prefix)
-        won = cut(head.select("scope", "key", "vec", "rn").groupBy("scope").applyInPandas(fn, schema))
+        won = cut(_settled(head.drop("rn"), fn, schema))
         kept.append(won.select("key"))
         last = head.groupBy("scope").agg(F.max("ord").alias("last"))
         rest = undecided.join(last, "scope").filter(F.col("ord") > F.col("last")).drop("last")
@@ -86,6 +124,5 @@ def greedy_keep(
         hit = F.col("sim") > threshold if strict else F.col("sim") >= threshold
         undecided = cut(rest.join(near.filter(hit), "key", "left_anti"))
 
-    final = undecided.withColumn("rn", F.row_number().over(by_order)).select("scope", "key", "vec", "rn")
-    kept.append(final.groupBy("scope").applyInPandas(fn, schema).select("key"))
+    kept.append(_settled(undecided, fn, schema).select("key"))
     return reduce(DataFrame.unionByName, kept)

@@ -1,6 +1,6 @@
 """Registered queries."""
 
-from stockcount.plans import q_count, q_detect, q_track  # noqa: F401
+from stockcount.plans import q_count, q_detect, q_match, q_track  # noqa: F401
 from stockcount.plans.registry import QUERIES, Query
 
 __all__ = ["QUERIES", "Query"]

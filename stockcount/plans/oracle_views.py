@@ -33,6 +33,9 @@ select user_id * 100 + day(ts) as track_id, user_id % 10 as video_id,
     "fx_catalog_ref": """
 select vec_id as ref_id, 'EAN' || lpad(label::varchar, 3, '0') as ean,
        ['botella','lata','bolsa'][label % 3 + 1] as categoria, embedding from embeddings where vec_id % 10 = 1
+""",
+    "fx_query": """
+select vec_id as crop_id, embedding from embeddings where vec_id % 10 = 0
 """,
     "fx_prompts": """
 select vec_id as prompt_id, ['botella','lata','bolsa','frasco'][vec_id // 10 % 4 + 1] as categoria, embedding from embeddings where vec_id % 10 = 2

@@ -36,8 +36,8 @@ _DECISION_SQL = (
     _VOTE_SQL
     + f""", decisions AS (
   SELECT track_id, CASE WHEN {_accepted(2, 0.55, 0.26, 0.88)} THEN top_sku ELSE 'UNKNOWN' END AS final_sku,
-         coalesce(round(top_votes / frames_scored, 4), 0.0)::DOUBLE AS confidence,
-         coalesce(round(top_sim_sum / top_votes, 4), 0.0)::DOUBLE AS avg_sim,
+         coalesce(printf('%.4f', top_votes / frames_scored)::DOUBLE, 0.0::DOUBLE) AS confidence,
+         coalesce(printf('%.4f', top_sim_sum / top_votes)::DOUBLE, 0.0::DOUBLE) AS avg_sim,
          frames_seen AS frames_validos, frames_scored
   FROM tallies)
 """
@@ -66,8 +66,8 @@ def track_decisions(spark, sf):
 
 @query(
     _VOTE_SQL
-    + """SELECT track_id, rank::INTEGER AS rank, sku, votes, round(sim_sum / votes, 4) AS avg_sim,
-         round(votes / frames_scored, 4) AS confidence
+    + """SELECT track_id, rank::INTEGER AS rank, sku, votes, printf('%.4f', sim_sum / votes)::DOUBLE AS avg_sim,
+         printf('%.4f', votes / frames_scored)::DOUBLE AS confidence
   FROM ranked JOIN scored USING (track_id) WHERE rank <= 5"""
 )
 def track_top_matches(spark, sf):
@@ -91,7 +91,7 @@ def track_profile_compare(spark, sf):
     _DECISION_SQL
     + """SELECT count(*)::BIGINT AS total_tracks, count_if(final_sku <> 'UNKNOWN')::BIGINT AS matched,
        count_if(final_sku = 'UNKNOWN')::BIGINT AS unknown,
-       round(count_if(final_sku <> 'UNKNOWN') / count(*), 4)::DOUBLE AS match_rate FROM decisions"""
+       printf('%.4f', count_if(final_sku <> 'UNKNOWN') / count(*))::DOUBLE AS match_rate FROM decisions"""
 )
 def track_summary(spark, sf):
     return votes.track_summary(votes.track_decisions(views.votes(spark, sf)))
