@@ -11,6 +11,11 @@ from stockcount.operators.inventory import inventory_by_frame, raw_counts, run_t
 from stockcount.scale import numbered
 
 
+def _mean(col: str) -> Column:
+    """Mean that does not depend on the order of summation: the sum is taken in decimals."""
+    return F.sum(F.col(col).cast("decimal(18,6)")).cast("double") / F.count(col)
+
+
 def list_videos(files: DataFrame) -> DataFrame:
     return files.filter(suffix(F.col("video_file")).isin(*VIDEO_SUFFIXES))
 
@@ -40,7 +45,7 @@ def sku_stats(eans: DataFrame, items: DataFrame) -> DataFrame:
         decimals(F.avg("cantidad_dedup"), 1).alias("promedio_unidades"),
         F.max("cantidad_dedup").alias("max_unidades"),
         F.min("cantidad_dedup").alias("min_unidades"),
-        decimals(F.avg(F.col("confianza_promedio").cast("decimal(18,6)")), 4).alias("confianza_media"),
+        decimals(_mean("confianza_promedio"), 4).alias("confianza_media"),
     )
     return eans.select("ean").join(stats, "ean", "left").na.fill(0, ["veces_detectado"])
 
@@ -84,7 +89,7 @@ def register_runs(
         "frames_con_producto", "total_detecciones", "skus_identificados",
     )
     known = identified.filter(F.col("ean") != UNKNOWN)
-    means = known.groupBy("video_id", "ean").agg(F.avg(F.col(similarity).cast("decimal(18,6)")).alias("m"))
+    means = known.groupBy("video_id", "ean").agg(_mean(similarity).alias("m"))
     item_rows = (
         inventory_by_frame(known)
         .join(raw_counts(known), ["video_id", "ean"])

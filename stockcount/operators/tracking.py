@@ -179,8 +179,10 @@ def _linker(settings: TrackerSettings):
 
         def run(pdf, out):
             nonlocal last_done
+            if len(pdf) == 0:
+                return
             frames = pdf["frame_idx"].to_numpy()
-            if last_done is not None and len(frames) and frames[0] <= last_done or (np.diff(frames) < 0).any():
+            if (last_done is not None and frames[0] <= last_done) or (np.diff(frames) < 0).any():
                 raise ValueError("boxes of one part must arrive ordered by frame")
             dets = pdf["det_idx"].to_numpy().astype("int64")
             box = pdf[["x1", "y1", "x2", "y2"]].to_numpy().astype("float64")
@@ -188,8 +190,7 @@ def _linker(settings: TrackerSettings):
             cuts = np.concatenate(([0], np.flatnonzero(np.diff(frames)) + 1, [len(frames)]))
             for a, b in zip(cuts[:-1], cuts[1:]):
                 step(int(frames[a]), dets[a:b], box[a:b], conf[a:b], out)
-            if len(frames):
-                last_done = frames[-1]
+            last_done = frames[-1]
 
         def emit(out, video):
             rows = np.vstack(out)

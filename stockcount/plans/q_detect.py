@@ -124,15 +124,15 @@ def _quality_sql(roi: bool) -> str:
 @query(
     f"""WITH r AS (
   SELECT *, greatest(1, x2 - x1)::DOUBLE AS bw, greatest(1, y2 - y1)::DOUBLE AS bh FROM fx_raw_boxes)
-SELECT l_orderkey, l_linenumber, round({_quality_sql(False)}, 6) AS quality, round({_quality_sql(True)}, 6) AS quality_roi
+SELECT l_orderkey, l_linenumber, round({_quality_sql(False)}, 9) AS quality, round({_quality_sql(True)}, 9) AS quality_roi
 FROM r"""
 )
 def bbox_quality(spark, sf):
     return views.raw_boxes(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
-        decimals(geo.mixed_score(), 6).alias("quality"),
-        decimals(geo.mixed_score(roi=(0.05, 0.10, 0.95, 0.98)), 6).alias("quality_roi"),
+        F.round(geo.mixed_score(), 9).alias("quality"),
+        F.round(geo.mixed_score(roi=(0.05, 0.10, 0.95, 0.98)), 9).alias("quality_roi"),
     )
 
 

@@ -281,14 +281,14 @@ cand AS (
 )
 
 
-@query(_SPLIT_SQL + "SELECT key AS crop_id, status, conf AS confianza, round(calidad, 6) AS calidad, dividir FROM cand")
+@query(_SPLIT_SQL + "SELECT key AS crop_id, status, conf AS confianza, round(calidad, 9) AS calidad, dividir FROM cand")
 def split_candidates(spark, sf):
     boxes = views.split_crops(spark, sf)
     full = ident.identify(
         boxes.select("crop_id", F.col("full_vec").alias("embedding")), views.catalog_refs(spark, sf), views.prompts(spark, sf)
     )
     judged = ident.split_candidates(full.join(boxes.drop("full_vec", "left_vec", "right_vec"), "crop_id"))
-    return judged.select("crop_id", "status", "confianza", decimals("calidad", 6).alias("calidad"), "dividir")
+    return judged.select("crop_id", "status", "confianza", F.round("calidad", 9).alias("calidad"), "dividir")
 
 
 @query(

@@ -24,7 +24,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _norm(v):
+def _norm(v):  # noqa: D103
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
