@@ -20,7 +20,8 @@ from stockcount.functions import geometry as geo
 from stockcount.scale import cut, numbered, running_sum
 
 FRAME_BUCKET = 4096
-LANES = 16
+LANE_BOXES = 20_000
+MAX_LANES = 64
 
 
 @dataclass(frozen=True)
@@ -71,6 +72,7 @@ def position_spans(detections: DataFrame, reach: int) -> DataFrame:
         F.max("y2").alias("y2"),
         F.min("frame_idx").alias("first"),
         F.max("frame_idx").alias("last"),
+        F.count(F.lit(1)).alias("boxes"),
     )
 
 
@@ -103,14 +105,28 @@ def _islands(spans: DataFrame, keys: list[str], low: str, high: str, name: str)
     return spans.join(swept.select(*keys, low, name), [*keys, low])
 
 
-def independent_parts(detections: DataFrame, reach: int, lanes: int = LANES) -> DataFrame:
-    """Adds ``segment`` and ``lane``: boxes in different (video, segment, lane) never share a track."""
+def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_BOXES) -> DataFrame:
+    """Adds ``segment`` and ``lane``: boxes in different (video, segment, lane) never share a track.
+
+    Islands are hashed to lanes; a segment gets one lane per ``lane_boxes`` boxes, up to a limit that
+    keeps enough boxes per frame in a lane.
+    """
     spans = cut(position_spans(detections, reach))
-    split = spans.join(time_segments(spans, reach), ["video_id", "cell"])
+    segments = time_segments(spans, reach)
+    sizes = (
+        spans.groupBy("video_id", "cell")
+        .agg(F.sum("boxes").alias("boxes"))
+        .join(segments, ["video_id", "cell"])
+        .groupBy("video_id", "segment")
+        .agg(F.least(F.ceil(F.sum("boxes") / F.lit(lane_boxes)), F.lit(MAX_LANES)).alias("lanes"))
+    )
+    split = spans.drop("boxes").join(segments, ["video_id", "cell"])
     split = _islands(split, ["video_id", "segment"], "x1", "x2", "island_x")
     split = _islands(split, ["video_id", "segment", "island_x"], "y1", "y2", "island_y")
-    lane = F.pmod(F.xxhash64("island_x", "island_y"), F.lit(lanes)).cast("int")
-    placed = split.select("video_id", "cell", "x1", "y1", "segment", lane.alias("lane"))
+    lane = F.pmod(F.xxhash64("island_x", "island_y"), F.col("lanes")).cast("int")
+    placed = split.join(sizes, ["video_id", "segment"]).select(
+        "video_id", "cell", "x1", "y1", "segment", lane.alias("lane")
+    )
     cell = F.floor(F.col("frame_idx") / F.lit(reach + 1))
     return detections.withColumn("cell", cell).join(placed, ["video_id", "cell", "x1", "y1"]).drop("cell")
 
@@ -127,55 +143,64 @@ def _linker(settings: TrackerSettings):
         import numpy as np
         import pandas as pd
 
-        boxes = np.empty((0, 4))
-        # Per live track, in order of birth: birth frame, birth detection, hits, last matched frame.
-        tracks = np.empty((0, 4), dtype="int64")
+        # Live tracks in order of birth: corners, birth frame, birth box, hits, last matched frame.
+        tracks = []
         pending = None
         last_done = None
 
-        def step(frame, dets, box, conf, out):
-            nonlocal boxes, tracks
-            live = frame - tracks[:, 3] <= reach
-            if not live.all():
-                boxes, tracks = boxes[live], tracks[live]
-            owner = np.full(len(dets), -1, dtype="int64")
-            if len(tracks):
-                left = np.maximum(box[:, None, 0], boxes[None, :, 0])
-                top = np.maximum(box[:, None, 1], boxes[None, :, 1])
-                right = np.minimum(box[:, None, 2], boxes[None, :, 2])
-                bottom = np.minimum(box[:, None, 3], boxes[None, :, 3])
-                meet = (right > left) & (bottom > top)
-                inter = np.where(meet, (right - left) * (bottom - top), 0.0)
-                area_d = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-                area_t = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-                union = area_d[:, None] + area_t[None, :] - inter
-                iou = np.where(meet & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
-                di, ti = np.nonzero(iou >= threshold)
-                taken = np.zeros(len(tracks), dtype=bool)
-                for j in np.argsort(-iou[di, ti], kind="stable"):
-                    d, t = di[j], ti[j]
-                    if owner[d] < 0 and not taken[t]:
-                        owner[d], taken[t] = t, True
-                hit = np.flatnonzero(owner >= 0)
-                boxes[owner[hit]] = box[hit]
-                tracks[owner[hit], 2] += 1
-                tracks[owner[hit], 3] = frame
-            born = np.flatnonzero((owner < 0) & (conf >= gate))
-            if len(born):
-                owner[born] = len(tracks) + np.arange(len(born))
-                boxes = np.vstack([boxes, box[born]])
-                fresh = np.stack(
-                    [np.full(len(born), frame), dets[born], np.ones(len(born)), np.full(len(born), frame)], axis=1
-                )
-                tracks = np.vstack([tracks, fresh.astype("int64")])
-            mine = np.flatnonzero(owner >= 0)
-            if len(mine):
-                t = tracks[owner[mine]]
-                out.append(
-                    np.column_stack(
-                        [np.full(len(mine), frame), dets[mine], t[:, 0], t[:, 1], t[:, 2], frame - t[:, 0] + 1]
-                    )
-                )
+        def overlaps_small(boxes):
+            """(iou, box, track) of every pair at or above the threshold, for a handful of pairs."""
+            found = []
+            for d, (ax1, ay1, ax2, ay2) in enumerate(boxes):
+                for t, trk in enumerate(tracks):
+                    w = min(ax2, trk[2]) - max(ax1, trk[0])
+                    h = min(ay2, trk[3]) - max(ay1, trk[1])
+                    if w > 0 and h > 0:
+                        inter = w * h
+                        union = (ax2 - ax1) * (ay2 - ay1) + (trk[2] - trk[0]) * (trk[3] - trk[1]) - inter
+                        if union > 0 and inter / union >= threshold:
+                            found.append((inter / union, d, t))
+            return found
+
+        def overlaps_large(boxes):
+            a = np.array(boxes, dtype="float64")
+            b = np.array([trk[:4] for trk in tracks], dtype="float64")
+            w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+            h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+            inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+            area_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+            area_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+            union = area_a[:, None] + area_b[None, :] - inter
+            iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
+            di, ti = np.nonzero(iou >= threshold)
+            return list(zip(iou[di, ti].tolist(), di.tolist(), ti.tolist()))
+
+        def step(frame, dets, boxes, confs, out):
+            nonlocal tracks
+            if any(frame - trk[7] > reach for trk in tracks):
+                tracks = [trk for trk in tracks if frame - trk[7] <= reach]
+            owner = [None] * len(dets)
+            if tracks:
+                small = len(boxes) * len(tracks) <= 64
+                pairs = overlaps_small(boxes) if small else overlaps_large(boxes)
+                # The sort is stable: equal overlaps keep the order of boxes, then of tracks.
+                pairs.sort(key=lambda p: -p[0])
+                taken = set()
+                for _, d, t in pairs:
+                    if owner[d] is None and t not in taken:
+                        owner[d] = tracks[t]
+                        taken.add(t)
+            for d, trk in enumerate(owner):
+                if trk is not None:
+                    trk[:4] = boxes[d]
+                    trk[6] += 1
+                    trk[7] = frame
+                elif confs[d] >= gate:
+                    trk = [*boxes[d], frame, dets[d], 1, frame]
+                    tracks.append(trk)
+                else:
+                    continue
+                out.append((frame, dets[d], trk[4], trk[5], trk[6], frame - trk[4] + 1))
 
         def run(pdf, out):
             nonlocal last_done
@@ -184,16 +209,16 @@ def _linker(settings: TrackerSettings):
             frames = pdf["frame_idx"].to_numpy()
             if (last_done is not None and frames[0] <= last_done) or (np.diff(frames) < 0).any():
                 raise ValueError("boxes of one part must arrive ordered by frame")
-            dets = pdf["det_idx"].to_numpy().astype("int64")
-            box = pdf[["x1", "y1", "x2", "y2"]].to_numpy().astype("float64")
-            conf = pdf["conf"].to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(frames)) + 1, [len(frames)]))
+            dets = pdf["det_idx"].tolist()
+            boxes = list(zip(*(pdf[c].tolist() for c in ("x1", "y1", "x2", "y2"))))
+            confs = pdf["conf"].tolist()
+            cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                step(int(frames[a]), dets[a:b], box[a:b], conf[a:b], out)
+                step(int(frames[a]), dets[a:b], boxes[a:b], confs[a:b], out)
             last_done = frames[-1]
 
         def emit(out, video):
-            rows = np.vstack(out)
+            rows = np.array(out, dtype="int64")
             result = pd.DataFrame(
                 rows, columns=["frame_idx", "det_idx", "birth_frame", "birth_det", "hits", "age"]
             )
@@ -221,20 +246,20 @@ def _linker(settings: TrackerSettings):
     return link
 
 
-def link_detections(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lanes: int = LANES) -> DataFrame:
+def link_detections(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES) -> DataFrame:
     """One row per box that belongs to a track: the track's birth (frame, box), hits and age so far."""
     parts = independent_parts(
-        detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf"), settings.reach, lanes
+        detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf"), settings.reach, lane_boxes
     )
     keys = ["video_id", "segment", "lane"]
     ordered = parts.repartition(*keys).sortWithinPartitions(*keys, "frame_idx", "det_idx")
     return ordered.groupBy(*keys).applyInPandas(_linker(settings), _LINKED)
 
 
-def track_assign(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lanes: int = LANES) -> DataFrame:
+def track_assign(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES) -> DataFrame:
     """Links with track ids, numbered per video from 1 in order of birth."""
     # Read three times below; the grouped kernel must run once.
-    linked = cut(link_detections(detections, settings, lanes))
+    linked = cut(link_detections(detections, settings, lane_boxes))
     births = linked.filter(F.col("hits") == 1).select("video_id", "birth_frame", "birth_det")
     ids = numbered(
         births,

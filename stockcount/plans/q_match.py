@@ -175,11 +175,11 @@ def catalog_replace_refs(spark, sf):
     return knn.replace_refs(views.catalog_refs(spark, sf), fresh).select("ref_id", "ean")
 
 
-@query("SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT 'EAN' || lpad(label::VARCHAR, 3, '0') FROM embeddings WHERE vec_id % 97 = 0)")
+@query("SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT 'EAN' || lpad(label::VARCHAR, 3, '0') FROM embeddings WHERE vec_id % 97 = 0 AND label < 5)")
 def catalog_remove_refs(spark, sf):
     gone = (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 97 = 0")
+        .filter("vec_id % 97 = 0 and label < 5")
         .selectExpr("concat('EAN', lpad(cast(label as string), 3, '0')) as ean")
     )
     return knn.remove_refs(views.catalog_refs(spark, sf), gone).select("ref_id", "ean", "categoria")
