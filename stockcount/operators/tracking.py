@@ -136,74 +136,87 @@ _LINKED = (
 )
 
 
-def _linker(settings: TrackerSettings):
+def frame_step(settings: TrackerSettings):
+    """Task-side advance of the live tracks by the boxes of one frame.
+
+    Live tracks are lists in order of birth: four corners, birth frame, birth box, hits, last matched
+    frame. The step returns the live tracks, those that expired before the frame, and one tuple
+    (frame, box, track) per linked box.
+    """
     threshold, reach, gate = settings.iou, settings.reach, settings.min_conf_create
 
+    def few_pairs(boxes, tracks):
+        found = []
+        for d, (ax1, ay1, ax2, ay2) in enumerate(boxes):
+            for t, trk in enumerate(tracks):
+                w = min(ax2, trk[2]) - max(ax1, trk[0])
+                h = min(ay2, trk[3]) - max(ay1, trk[1])
+                if w > 0 and h > 0:
+                    inter = w * h
+                    union = (ax2 - ax1) * (ay2 - ay1) + (trk[2] - trk[0]) * (trk[3] - trk[1]) - inter
+                    if union > 0 and inter / union >= threshold:
+                        found.append((inter / union, d, t))
+        return found
+
+    def many_pairs(boxes, tracks):
+        import numpy as np
+
+        a = np.array(boxes, dtype="float64")
+        b = np.array([trk[:4] for trk in tracks], dtype="float64")
+        w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+        h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+        inter = np.where((w > 0) & (h > 0), w * h, 0.0)
+        area_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+        area_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        union = area_a[:, None] + area_b[None, :] - inter
+        iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
+        di, ti = np.nonzero(iou >= threshold)
+        return list(zip(iou[di, ti].tolist(), di.tolist(), ti.tolist()))
+
+    def advance(tracks, frame, dets, boxes, confs):
+        dead = [trk for trk in tracks if frame - trk[7] > reach]
+        if dead:
+            tracks = [trk for trk in tracks if frame - trk[7] <= reach]
+        owner = [None] * len(dets)
+        if tracks:
+            pairs = (few_pairs if len(boxes) * len(tracks) <= 64 else many_pairs)(boxes, tracks)
+            # The sort is stable: equal overlaps keep the order of boxes, then of tracks.
+            pairs.sort(key=lambda p: -p[0])
+            taken = set()
+            for _, d, t in pairs:
+                if owner[d] is None and t not in taken:
+                    owner[d] = tracks[t]
+                    taken.add(t)
+        linked = []
+        for d, trk in enumerate(owner):
+            if trk is not None:
+                trk[:4] = boxes[d]
+                trk[6] += 1
+                trk[7] = frame
+            elif confs[d] >= gate:
+                trk = [*boxes[d], frame, dets[d], 1, frame]
+                tracks.append(trk)
+            else:
+                continue
+            linked.append((frame, dets[d], trk))
+        return tracks, dead, linked
+
+    return advance
+
+
+def _linker(settings: TrackerSettings):
+    advance = frame_step(settings)
+
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
         import pandas as pd
 
-        # Live tracks in order of birth: corners, birth frame, birth box, hits, last matched frame.
         tracks = []
         pending = None
         last_done = None
 
-        def overlaps_small(boxes):
-            """(iou, box, track) of every pair at or above the threshold, for a handful of pairs."""
-            found = []
-            for d, (ax1, ay1, ax2, ay2) in enumerate(boxes):
-                for t, trk in enumerate(tracks):
-                    w = min(ax2, trk[2]) - max(ax1, trk[0])
-                    h = min(ay2, trk[3]) - max(ay1, trk[1])
-                    if w > 0 and h > 0:
-                        inter = w * h
-                        union = (ax2 - ax1) * (ay2 - ay1) + (trk[2] - trk[0]) * (trk[3] - trk[1]) - inter
-                        if union > 0 and inter / union >= threshold:
-                            found.append((inter / union, d, t))
-            return found
-
-        def overlaps_large(boxes):
-            a = np.array(boxes, dtype="float64")
-            b = np.array([trk[:4] for trk in tracks], dtype="float64")
-            w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
-            h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
-            inter = np.where((w > 0) & (h > 0), w * h, 0.0)
-            area_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
-            area_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-            union = area_a[:, None] + area_b[None, :] - inter
-            iou = np.where((inter > 0) & (union > 0), inter / np.where(union > 0, union, 1.0), 0.0)
-            di, ti = np.nonzero(iou >= threshold)
-            return list(zip(iou[di, ti].tolist(), di.tolist(), ti.tolist()))
-
-        def step(frame, dets, boxes, confs, out):
-            nonlocal tracks
-            if any(frame - trk[7] > reach for trk in tracks):
-                tracks = [trk for trk in tracks if frame - trk[7] <= reach]
-            owner = [None] * len(dets)
-            if tracks:
-                small = len(boxes) * len(tracks) <= 64
-                pairs = overlaps_small(boxes) if small else overlaps_large(boxes)
-                # The sort is stable: equal overlaps keep the order of boxes, then of tracks.
-                pairs.sort(key=lambda p: -p[0])
-                taken = set()
-                for _, d, t in pairs:
-                    if owner[d] is None and t not in taken:
-                        owner[d] = tracks[t]
-                        taken.add(t)
-            for d, trk in enumerate(owner):
-                if trk is not None:
-                    trk[:4] = boxes[d]
-                    trk[6] += 1
-                    trk[7] = frame
-                elif confs[d] >= gate:
-                    trk = [*boxes[d], frame, dets[d], 1, frame]
-                    tracks.append(trk)
-                else:
-                    continue
-                out.append((frame, dets[d], trk[4], trk[5], trk[6], frame - trk[4] + 1))
-
         def run(pdf, out):
-            nonlocal last_done
+            nonlocal last_done, tracks
             if len(pdf) == 0:
                 return
             frames = pdf["frame_idx"].to_numpy()
@@ -214,7 +227,9 @@ def _linker(settings: TrackerSettings):
             confs = pdf["conf"].tolist()
             cuts = [0, *(np.flatnonzero(np.diff(frames)) + 1).tolist(), len(frames)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                step(int(frames[a]), dets[a:b], boxes[a:b], confs[a:b], out)
+                frame = int(frames[a])
+                tracks, _, linked = advance(tracks, frame, dets[a:b], boxes[a:b], confs[a:b])
+                out.extend((frame, det, t[4], t[5], t[6], frame - t[4] + 1) for _, det, t in linked)
             last_done = frames[-1]
 
         def emit(out, video):
