@@ -47,7 +47,8 @@ def _packer(rows: int, unit: bool, drop_zero: bool):
                     keys.append(list(names[a : a + rows]))
                     mats.append(np.ascontiguousarray(full[a : a + rows]).tobytes())
                     sizes.append(len(names[a : a + rows]))
-            yield pd.DataFrame({"scope": scopes, "keys": keys, "mat": mats, "n": sizes})
+            if sizes:
+                yield pd.DataFrame({"scope": scopes, "keys": keys, "mat": mats, "n": sizes})
 
     return run
 

@@ -9,8 +9,8 @@ from stockcount.functions.labels import media_extension
 from stockcount.scale import cut
 
 # Where image addresses sit in a result page, and the default limits.
-PRIMARY_PATTERN = r'<a[^>]*class="[^"]*\biusc\b[^"]*"[^>]*"murl"\s*:\s*"(http[^"]*)"'
-FALLBACK_PATTERN = r'<img[^>]*\s(?:data-)?src="([^"]*)"'
+PRIMARY_PATTERN = r'''<a\b(?=[^>]*\bclass=["'][^"'>]*\biusc\b)[^>]*"murl"\s*:\s*"([^"]*)"'''
+FALLBACK_PATTERN = r'<img\b[^>]*?\s(?:data-)?src="([^"]*)"'
 MAX_CANDIDATES = 80
 PER_EAN = 10
 MIN_BYTES = 50_000
@@ -18,6 +18,13 @@ MIN_WIDTH = 300
 MIN_HEIGHT = 300
 
 
+def _address(url: Column) -> Column:
+    """Address without the escapes of JSON and HTML."""
+    for escaped, plain in (("\\/", "/"), ("\\u0026", "&"), ("&amp;", "&")):
+        url = F.replace(url, F.lit(escaped), F.lit(plain))
+    return url
+
+
 def candidate_urls(
     pages: DataFrame,
     primary: str = PRIMARY_PATTERN,
@@ -31,12 +38,13 @@ def candidate_urls(
     it, its matches are taken as they are. Everything is computed inside the row of the page.
     """
 
-    def web(pattern: str) -> Column:
-        found = F.regexp_extract_all("html", F.lit(pattern), F.lit(1))
-        return F.filter(found, lambda u: u.startswith(scheme))
+    def web(text: Column, pattern: str) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        return F.filter(F.transform(found, _address), lambda u: u.startswith(scheme))
 
-    first = web(primary)
-    rest = web(fallback) if fallback is not None else F.array().cast("array<string>")
+    # The primary address sits in JSON inside an attribute, where quotes are written as entities.
+    first = web(F.replace(F.col("html"), F.lit("&quot;"), F.lit('"')), primary)
+    rest = web(F.col("html"), fallback) if fallback is not None else F.array().cast("array<string>")
     full = F.size("first") >= limit
     urls = F.when(full, F.slice("first", 1, limit)).otherwise(
         F.array_distinct(F.slice(F.concat("first", "rest"), 1, limit))
