@@ -45,7 +45,8 @@ def dedup_greedy(crops: DataFrame, refs: DataFrame, threshold: float = DUPLICATE
     items = fresh.select(
         F.col("ean").alias("scope"),
         F.col("crop_id").alias("key"),
-        F.col("seq").alias("ord"),
+        F.lit(0.0).alias("o1"),
+        F.col("seq").cast("long").alias("o2"),
         F.col("embedding").alias("vec"),
     )
     solid = vec.norm(F.col("vec")) >= vec.NORM_FLOOR

@@ -6,71 +6,91 @@ its ``k`` best labels in that block. A label's score is the maximum over its ref
 best ``k`` per block and again over all blocks is exact: a label that belongs to the final ``k`` is
 among the best ``k`` of the block that holds its best reference.
 
-Only packed rows are shuffled or broadcast, pairs never leave the task that scores them.
+Only packed rows are shuffled or broadcast; pairs never leave the task that scores them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockcount.scale import fits
 
 QUERY_ROWS = 1024
 REF_ROWS = 4096
-BROADCAST_REFS = 100_000
-LANES = 64
+# References up to this number are broadcast in packed form (200 MB at 512 doubles each).
+BROADCAST_REFS = 50_000
 WHOLE = "*"
 
 
-def _packer(rows: int, unit: bool, drop_zero: bool):
-    """Task-side packing of (scope, key, vec) rows into one row per scope and slice."""
+def _packer(rows: int, unit: bool, drop_zero: bool, ordered: bool):
+    """Task-side packing of (scope, key, vec) rows into one row per scope and slice.
+
+    With ``ordered`` the columns o1 (double) and o2 (long), a position in some order, come along.
+    """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
         for pdf in batches:
-            scopes, keys, mats, sizes = [], [], [], []
+            packed = {"scope": [], "keys": [], "mat": [], "n": []}
+            if ordered:
+                packed.update({"o1": [], "o2": [], "low": [], "high": []})
             for scope, part in pdf.groupby("scope", sort=False):
                 part = part.sort_values("key", kind="stable")
                 full = np.stack(part["vec"].to_numpy()).astype("float64")
-                names = part["key"].to_numpy()
                 if unit:
                     norms = np.linalg.norm(full, axis=1)
-                    if drop_zero:
+                    if drop_zero and (norms < 1e-10).any():
                         live = norms >= 1e-10
-                        full, names, norms = full[live], names[live], norms[live]
+                        part, full, norms = part[live], full[live], norms[live]
                     full = full / np.maximum(norms, 1e-10)[:, None]
+                names = part["key"].to_numpy()
                 for a in range(0, len(names), rows):
-                    scopes.append(scope)
-                    keys.append(list(names[a : a + rows]))
-                    mats.append(np.ascontiguousarray(full[a : a + rows]).tobytes())
-                    sizes.append(len(names[a : a + rows]))
-            if sizes:
-                yield pd.DataFrame({"scope": scopes, "keys": keys, "mat": mats, "n": sizes})
+                    cut = slice(a, a + rows)
+                    packed["scope"].append(scope)
+                    packed["keys"].append(list(names[cut]))
+                    packed["mat"].append(np.ascontiguousarray(full[cut]).tobytes())
+                    packed["n"].append(len(names[cut]))
+                    if ordered:
+                        o1 = part["o1"].to_numpy().astype("float64")[cut]
+                        packed["o1"].append(o1.tobytes())
+                        packed["o2"].append(part["o2"].to_numpy().astype("int64")[cut].tobytes())
+                        packed["low"].append(float(o1.min()))
+                        packed["high"].append(float(o1.max()))
+            if packed["n"]:
+                yield pd.DataFrame(packed)
 
     return run
 
 
+def _similarity(score: str):
+    def cosine(a, b):
+        return a @ b.T
+
+    def box_iou(a, b):
+        import numpy as np
+
+        w = np.minimum(a[:, None, 2], b[None, :, 2]) - np.maximum(a[:, None, 0], b[None, :, 0])
+        h = np.minimum(a[:, None, 3], b[None, :, 3]) - np.maximum(a[:, None, 1], b[None, :, 1])
+        inter = np.clip(w, 0, None) * np.clip(h, 0, None)
+        area_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
+        area_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
+        union = area_a[:, None] + area_b[None, :] - inter
+        return np.where(inter > 0, inter / np.where(union > 0, union, 1.0), 0.0)
+
+    return cosine if score == "cosine" else box_iou
+
+
 def _matcher(k: int, score: str):
     """Task-side scoring of one packed query row against one packed reference row."""
+    similarity = _similarity(score)
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
-        def box_iou(a, b):
-            left = np.maximum(a[:, None, 0], b[None, :, 0])
-            top = np.maximum(a[:, None, 1], b[None, :, 1])
-            right = np.minimum(a[:, None, 2], b[None, :, 2])
-            bottom = np.minimum(a[:, None, 3], b[None, :, 3])
-            inter = np.clip(right - left, 0, None) * np.clip(bottom - top, 0, None)
-            area_a = (a[:, 2] - a[:, 0]) * (a[:, 3] - a[:, 1])
-            area_b = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-            union = area_a[:, None] + area_b[None, :] - inter
-            return np.where(inter > 0, inter / np.where(union > 0, union, 1.0), 0.0)
-
         for pdf in batches:
             out_key, out_label, out_sim = [], [], []
             for keys, mat, n, labels, ref_mat, ref_n in zip(
@@ -79,9 +99,8 @@ def _matcher(k: int, score: str):
                 q = np.frombuffer(mat, dtype="float64").reshape(int(n), -1)
                 r = np.frombuffer(ref_mat, dtype="float64").reshape(int(ref_n), -1)
                 labels = np.asarray(labels)
-                sims = q @ r.T if score == "cosine" else box_iou(q, r)
                 starts = np.concatenate(([0], np.flatnonzero(labels[1:] != labels[:-1]) + 1))
-                best = np.maximum.reduceat(sims, starts, axis=1)
+                best = np.maximum.reduceat(similarity(q, r), starts, axis=1)
                 names = labels[starts]
                 if best.shape[1] > k:
                     floor = np.partition(best, -k, axis=1)[:, -k]
@@ -108,6 +127,56 @@ def _matcher(k: int, score: str):
     return run
 
 
+def _earlier(score: str, threshold: float, strict: bool):
+    """Task-side test: which queries have a close reference that comes before them in the order."""
+    similarity = _similarity(score)
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for r in pdf.itertuples(index=False):
+                q = np.frombuffer(r.mat, dtype="float64").reshape(int(r.n), -1)
+                b = np.frombuffer(r.ref_mat, dtype="float64").reshape(int(r.ref_n), -1)
+                q1, q2 = np.frombuffer(r.o1, dtype="float64"), np.frombuffer(r.o2, dtype="int64")
+                b1, b2 = np.frombuffer(r.ref_o1, dtype="float64"), np.frombuffer(r.ref_o2, dtype="int64")
+                before = (b1[None, :] < q1[:, None]) | ((b1[None, :] == q1[:, None]) & (b2[None, :] < q2[:, None]))
+                sims = similarity(q, b)
+                close = sims > threshold if strict else sims >= threshold
+                found.append(np.asarray(r.keys)[(before & close).any(axis=1)])
+            if found:
+                yield pd.DataFrame({"key": np.concatenate(found)})
+
+    return run
+
+
+def _pack(df: DataFrame, rows: int, unit: bool, drop_zero: bool, ordered: bool = False) -> DataFrame:
+    types = {f.name: f.dataType.simpleString() for f in df.schema}
+    schema = f"scope {types['scope']}, keys array<{types['key']}>, mat binary, n int"
+    if ordered:
+        schema += ", o1 binary, o2 binary, low double, high double"
+    cols = ["scope", "key", "vec", *(["o1", "o2"] if ordered else [])]
+    return df.select(*cols).mapInPandas(_packer(rows, unit, drop_zero, ordered), schema)
+
+
+def _meet(chunks: DataFrame, blocks: DataFrame, refs: DataFrame, broadcast_refs: int, on: Column | None = None) -> DataFrame:
+    """Joins packed queries with the packed references of their scope.
+
+    References of a checked size are broadcast. Beyond it the query side of a scope is spread over
+    lanes and its reference blocks are copied to each lane, so that no task receives a whole scope.
+    """
+    if fits(refs, broadcast_refs):
+        joined = chunks.join(F.broadcast(blocks), "scope")
+    else:
+        lanes = max(64, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        laned = chunks.withColumn("lane", F.pmod(F.xxhash64("mat"), F.lit(lanes)).cast("int"))
+        copies = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+        joined = laned.join(copies, ["scope", "lane"])
+    return joined if on is None else joined.filter(on)
+
+
 def block_hits(
     queries: DataFrame, refs: DataFrame, k: int, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
 ) -> DataFrame:
@@ -118,25 +187,14 @@ def block_hits(
     unit = score == "cosine"
     q_type = queries.schema["key"].dataType.simpleString()
     l_type = refs.schema["label"].dataType.simpleString()
-    s_type = queries.schema["scope"].dataType.simpleString()
-    chunks = queries.select("scope", "key", "vec").mapInPandas(
-        _packer(QUERY_ROWS, unit, drop_zero=True), f"scope {s_type}, keys array<{q_type}>, mat binary, n int"
+    chunks = _pack(queries, QUERY_ROWS, unit, drop_zero=True)
+    blocks = _pack(refs.select("scope", F.col("label").alias("key"), "vec"), REF_ROWS, unit, drop_zero=False).select(
+        "scope", F.col("keys").alias("labels"), F.col("mat").alias("ref_mat"), F.col("n").alias("ref_n")
     )
-    blocks = (
-        refs.select("scope", F.col("label").alias("key"), "vec")
-        .mapInPandas(_packer(REF_ROWS, unit, drop_zero=False), f"scope {s_type}, keys array<{l_type}>, mat binary, n int")
-        .select("scope", F.col("keys").alias("labels"), F.col("mat").alias("ref_mat"), F.col("n").alias("ref_n"))
-    )
-    if fits(refs, broadcast_refs):
-        joined = chunks.join(F.broadcast(blocks), "scope")
-    else:
-        # Beyond the checked size: spread the query side of a hot scope over lanes and copy the
-        # reference blocks to each lane, so that no task receives a whole scope.
-        laned = chunks.withColumn("lane", F.pmod(F.xxhash64("mat"), F.lit(LANES)).cast("int"))
-        copies = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-        joined = laned.join(copies, ["scope", "lane"])
-    return joined.select("keys", "mat", "n", "labels", "ref_mat", "ref_n").mapInPandas(
-        _matcher(k, score), f"key {q_type}, label {l_type}, sim double"
+    return (
+        _meet(chunks, blocks, refs, broadcast_refs)
+        .select("keys", "mat", "n", "labels", "ref_mat", "ref_n")
+        .mapInPandas(_matcher(k, score), f"key {q_type}, label {l_type}, sim double")
     )
 
 
@@ -157,3 +215,27 @@ def best_score(
     """Highest score per query over every reference of its scope: key, sim."""
     flat = refs.select("scope", F.lit(0).alias("label"), "vec")
     return block_hits(queries, flat, 1, score, broadcast_refs).groupBy("key").agg(F.max("sim").alias("sim"))
+
+
+def with_earlier_partner(
+    items: DataFrame, threshold: float, strict: bool, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
+) -> DataFrame:
+    """Keys of the items that have a close item of their scope before them in the order (o1, o2)."""
+    unit = score == "cosine"
+    k_type = items.schema["key"].dataType.simpleString()
+    chunks = _pack(items, QUERY_ROWS, unit, drop_zero=True, ordered=True)
+    blocks = _pack(items, REF_ROWS, unit, drop_zero=True, ordered=True).select(
+        "scope",
+        F.col("mat").alias("ref_mat"),
+        F.col("n").alias("ref_n"),
+        F.col("o1").alias("ref_o1"),
+        F.col("o2").alias("ref_o2"),
+        F.col("low").alias("ref_low"),
+    )
+    # Blocks that lie entirely after a chunk cannot matter to it.
+    return (
+        _meet(chunks, blocks, items, broadcast_refs, on=F.col("ref_low") <= F.col("high"))
+        .select("keys", "mat", "n", "o1", "o2", "ref_mat", "ref_n", "ref_o1", "ref_o2")
+        .mapInPandas(_earlier(score, threshold, strict), f"key {k_type}")
+        .distinct()
+    )

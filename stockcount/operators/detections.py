@@ -120,13 +120,14 @@ def top_per_frame(detections: DataFrame, limit: int = 300, tie: str = "det_idx")
 def suppress_overlaps(detections: DataFrame, key: str, iou: float = 0.55) -> DataFrame:
     """Non-maximum suppression per frame: a box falls to a more confident kept box it overlaps.
 
-    ``key`` is unique over the table. Boxes of equal confidence are taken in order of ``key``.
+    ``key`` is a number unique over the table. Boxes of equal confidence are taken in order of ``key``.
     """
     corners = ["x1", "y1", "x2", "y2"]
     items = detections.select(
         F.concat_ws("/", "video_id", "frame_idx").alias("scope"),
         F.col(key).alias("key"),
-        F.struct((-F.col("conf")).alias("c"), F.col(key).alias("k")).alias("ord"),
+        (-F.col("conf")).cast("double").alias("o1"),
+        F.col(key).cast("long").alias("o2"),
         F.array(*[F.col(c).cast("double") for c in corners]).alias("vec"),
         ((geo.width() > 0) & (geo.height() > 0)).alias("solid"),
     )

@@ -1,10 +1,11 @@
 """Order-dependent greedy selection, exact and without putting a whole group into one task.
 
 An item is kept unless an earlier kept item of its group scores at or above the threshold. Groups
-up to ``prefix`` items are settled in one grouped call. Larger ones go in rounds: the first
-``prefix`` items of each group are settled, the remaining ones are tested against the newly kept
-items block by block, and the survivors form the next round. Copies collapse to their first
-occurrence before anything else, so a group of copies costs one row.
+up to ``prefix`` items are settled in one grouped call. Larger ones go in rounds. A round settles the
+first ``prefix`` items of each group in order, and keeps every item without any close item before it;
+items close to a newly kept one drop out, the others form the next round. All comparisons run block
+against block and give one flag per item. Copies collapse to their first occurrence before anything
+else, so a group of copies costs one row.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockcount.operators.blockmatch import best_score
+from stockcount.operators.blockmatch import best_score, with_earlier_partner
 from stockcount.scale import cut
 
 PREFIX = 512
@@ -79,7 +80,7 @@ def _settled(items: DataFrame, fn, schema: str) -> DataFrame:
     bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int"))
     return (
         bucketed.repartition("bucket")
-        .sortWithinPartitions("bucket", "scope", "ord")
+        .sortWithinPartitions("bucket", "scope", "o1", "o2")
         .select("bucket", "scope", "key", "vec")
         .groupBy("bucket")
         .applyInPandas(fn, schema)
@@ -96,33 +97,37 @@ def greedy_keep(
 ) -> DataFrame:
     """Keys of the kept items.
 
-    ``items`` has columns scope, key, ord (any sortable type, unique per scope) and vec. Rows for
-    which ``comparable`` is false (a zero vector, an empty box) match nothing and are always kept.
+    ``items`` has columns scope, key, vec and the order (o1 double, o2 long), unique per scope. Rows
+    for which ``comparable`` is false (a zero vector, an empty box) match nothing and are always kept.
     """
     comparable = F.lit(True) if comparable is None else comparable
     kept = [items.filter(~comparable).select("key")]
-    first = F.min(F.struct("ord", "key")).alias("first")
+    first = F.min(F.struct("o1", "o2", "key")).alias("first")
     undecided = (
-        items.filter(comparable)
-        .groupBy("scope", "vec")
-        .agg(first)
-        .select("scope", F.col("first.key").alias("key"), F.col("first.ord").alias("ord"), "vec")
+        items.filter(comparable).groupBy("scope", "vec").agg(first).select("scope", "first.key", "first.o1", "first.o2", "vec")
     )
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in undecided.schema if f.name != "ord")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in undecided.schema if f.name in ("scope", "key", "vec"))
     fn = _settle(score, threshold, strict)
-    by_order = Window.partitionBy("scope").orderBy("ord")
+    by_order = Window.partitionBy("scope").orderBy("o1", "o2")
+    hit = F.col("sim") > threshold if strict else F.col("sim") >= threshold
+
+    def without_neighbours(rows: DataFrame, won: DataFrame) -> DataFrame:
+        near = best_score(rows, won.select("scope", "key", "vec"), score).filter(hit)
+        return rows.join(near, "key", "left_anti")
 
     while (undecided.groupBy("scope").count().agg(F.max("count")).first()[0] or 0) > prefix:
         undecided = cut(undecided)
         # Ranking with a limit keeps at most ``prefix`` rows per scope and task before the shuffle.
-        head = undecided.withColumn("rn", F.row_number().over(by_order)).filter(F.col("rn") <= prefix)
-        won = cut(_settled(head.drop("rn"), fn, schema))
+        head = undecided.withColumn("rn", F.row_number().over(by_order)).filter(F.col("rn") <= prefix).drop("rn")
+        won = cut(_settled(head, fn, schema))
         kept.append(won.select("key"))
-        last = head.groupBy("scope").agg(F.max("ord").alias("last"))
-        rest = undecided.join(last, "scope").filter(F.col("ord") > F.col("last")).drop("last")
-        near = best_score(rest, won.select("scope", "key", "vec"), score)
-        hit = F.col("sim") > threshold if strict else F.col("sim") >= threshold
-        undecided = cut(rest.join(near.filter(hit), "key", "left_anti"))
+        last = head.groupBy("scope").agg(F.max(F.struct("o1", "o2")).alias("last"))
+        rest = undecided.join(last, "scope").filter(F.struct("o1", "o2") > F.col("last")).drop("last")
+        rest = cut(without_neighbours(rest, won))
+        # What has no close item before it is kept whatever happens to the others.
+        free = cut(rest.join(with_earlier_partner(rest, threshold, strict, score), "key", "left_anti"))
+        kept.append(free.select("key"))
+        undecided = cut(without_neighbours(rest.join(free.select("key"), "key", "left_anti"), free))
 
     kept.append(_settled(undecided, fn, schema).select("key"))
     return reduce(DataFrame.unionByName, kept)

@@ -21,7 +21,7 @@ from stockcount.scale import cut, numbered, running_sum
 
 FRAME_BUCKET = 4096
 LANE_BOXES = 20_000
-MAX_LANES = 64
+CELL_PX = 256
 
 
 @dataclass(frozen=True)
@@ -42,15 +42,29 @@ class TrackerSettings:
 DEFAULTS = TrackerSettings()
 
 
-def iou_candidates(detections: DataFrame, threshold: float = DEFAULTS.iou) -> DataFrame:
-    """Pairs of boxes in consecutive frames of a video that overlap enough to be one track."""
+def iou_candidates(detections: DataFrame, threshold: float = DEFAULTS.iou, cell: int = CELL_PX) -> DataFrame:
+    """Pairs of boxes in consecutive frames of a video that overlap enough to be one track.
+
+    Boxes meet only in the grid cells they touch, and a pair counts in the cell that holds the corner
+    of its intersection, hence once.
+    """
     cols = ["det_idx", "x1", "y1", "x2", "y2"]
-    now = detections.select("video_id", "frame_idx", *[F.col(c).alias(f"a_{c}") for c in cols])
-    prev = detections.select(
-        "video_id", (F.col("frame_idx") + 1).alias("frame_idx"), *[F.col(c).alias(f"b_{c}") for c in cols]
+
+    def gridded(frame: Column, prefix: str) -> DataFrame:
+        def cells(low: str, high: str) -> Column:
+            start = F.floor(F.col(low) / F.lit(cell))
+            return F.sequence(start, F.greatest(start, F.floor((F.col(high) - 1) / F.lit(cell))))
+
+        boxes = detections.withColumn("cx", F.explode(cells("x1", "x2"))).withColumn("cy", F.explode(cells("y1", "y2")))
+        return boxes.select("video_id", frame.alias("frame_idx"), "cx", "cy", *[F.col(c).alias(prefix + c) for c in cols])
+
+    now, prev = gridded(F.col("frame_idx"), "a_"), gridded(F.col("frame_idx") + 1, "b_")
+    corner_x = F.floor(F.greatest("a_x1", "b_x1") / F.lit(cell))
+    corner_y = F.floor(F.greatest("a_y1", "b_y1") / F.lit(cell))
+    pairs = now.join(prev, ["video_id", "frame_idx", "cx", "cy"]).filter(
+        (F.col("cx") == corner_x) & (F.col("cy") == corner_y)
     )
-    pairs = now.join(prev, ["video_id", "frame_idx"]).withColumn("iou", geo.iou("a_", "b_"))
-    return pairs.filter(F.col("iou") >= threshold).select(
+    return pairs.withColumn("iou", geo.iou("a_", "b_")).filter(F.col("iou") >= threshold).select(
         "video_id",
         "frame_idx",
         F.col("a_det_idx").alias("det_idx"),
@@ -108,8 +122,7 @@ def _islands(spans: DataFrame, keys: list[str], low: str, high: str, name: str)
 def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_BOXES) -> DataFrame:
     """Adds ``segment`` and ``lane``: boxes in different (video, segment, lane) never share a track.
 
-    Islands are hashed to lanes; a segment gets one lane per ``lane_boxes`` boxes, up to a limit that
-    keeps enough boxes per frame in a lane.
+    Islands are hashed to lanes; a segment gets one lane per ``lane_boxes`` boxes.
     """
     spans = cut(position_spans(detections, reach))
     segments = time_segments(spans, reach)
@@ -118,7 +131,7 @@ def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_
         .agg(F.sum("boxes").alias("boxes"))
         .join(segments, ["video_id", "cell"])
         .groupBy("video_id", "segment")
-        .agg(F.least(F.ceil(F.sum("boxes") / F.lit(lane_boxes)), F.lit(MAX_LANES)).alias("lanes"))
+        .agg(F.ceil(F.sum("boxes") / F.lit(lane_boxes)).alias("lanes"))
     )
     split = spans.drop("boxes").join(segments, ["video_id", "cell"])
     split = _islands(split, ["video_id", "segment"], "x1", "x2", "island_x")

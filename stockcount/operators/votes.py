@@ -15,17 +15,22 @@ BALANCED = VOTE_PROFILES["WAREHOUSE_BALANCED"]
 def scored_vote(min_sim: float) -> Column:
     """A vote counts when it names a product and its 4-decimal similarity reaches the minimum."""
     named = F.col("sku").isNotNull() & ~F.col("sku").isin("", UNKNOWN)
-    return named & (decimals("sim", 4) >= F.lit(min_sim))
+    return named & (F.col("sim4") >= F.lit(min_sim))
+
+
+def _rounded(votes: DataFrame) -> DataFrame:
+    return votes.withColumn("sim4", decimals("sim", 4))
 
 
 def track_votes(votes: DataFrame, profile: VoteProfile = BALANCED) -> DataFrame:
     """Per track and product: votes, similarity sum and frame of the first vote."""
     return (
-        votes.filter(scored_vote(profile.min_sim_vote))
+        _rounded(votes)
+        .filter(scored_vote(profile.min_sim_vote))
         .groupBy("track_id", "sku")
         .agg(
             F.count(F.lit(1)).alias("votes"),
-            F.sum(decimals("sim", 4)).alias("sim_sum"),
+            F.sum("sim4").alias("sim_sum"),
             F.min("frame_idx").alias("first_frame"),
         )
     )
@@ -38,9 +43,9 @@ def track_tallies(votes: DataFrame, profile: VoteProfile = BALANCED) -> DataFram
     to the product voted for first, then to the smaller code.
     """
     scored = scored_vote(profile.min_sim_vote)
-    per_sku = votes.groupBy("track_id", F.when(scored, F.col("sku")).alias("sku")).agg(
+    per_sku = _rounded(votes).groupBy("track_id", F.when(scored, F.col("sku")).alias("sku")).agg(
         F.count(F.lit(1)).alias("votes"),
-        F.sum(decimals("sim", 4)).alias("sim_sum"),
+        F.sum("sim4").alias("sim_sum"),
         F.min("frame_idx").alias("first_frame"),
     )
     rank = F.struct((-F.col("votes")).alias("v"), F.col("first_frame").alias("f"), F.col("sku").alias("s"))

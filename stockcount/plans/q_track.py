@@ -56,7 +56,7 @@ def inventory_by_track(spark, sf):
 
 @query(_VOTE_SQL + "SELECT track_id, sku, votes, round(sim_sum, 6) AS sim_sum, first_frame FROM per_sku")
 def track_votes(spark, sf):
-    return votes.track_votes(views.votes(spark, sf)).withColumn("sim_sum", F.round("sim_sum", 6))
+    return votes.track_votes(views.numbered_votes(spark, sf)).withColumn("sim_sum", F.round("sim_sum", 6))
 
 
 @query(_DECISION_SQL + "SELECT * FROM decisions")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockcount.scale import numbered
 from stockcount.sources.tables import table
 
 # Whole seconds since the epoch, rounded half to even, from a timestamp without zone.
@@ -41,8 +42,10 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
         "1080 as frame_h",
         "e.sku_pred as sku_pred",
     )
-    order = Window.partitionBy("video_id", "frame_idx").orderBy("obj_id")
-    return boxes.withColumn("det_idx", (F.row_number().over(order) - 1).cast("long"))
+    # A frame may be crowded: number inside ranges of objects, then shift by the counts before.
+    order = [F.col("obj_id")]
+    ranked = numbered(boxes, ["video_id", "frame_idx"], F.floor(F.col("obj_id") / F.lit(10_000)), order, "n")
+    return ranked.withColumn("det_idx", (F.col("n") - 1).cast("long")).drop("n")
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,21 +72,35 @@ def raw_boxes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)"
+
+
 def votes(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("user_id", F.dayofmonth("ts")).orderBy("ts", "event_id")
-    return (
-        table(spark, sf, "events")
-        .withColumn("frame_idx", F.row_number().over(order).cast("long"))
-        .selectExpr(
-            "user_id * 100 + dayofmonth(ts) as track_id",
-            "user_id % 10 as video_id",
-            f"{_SKU} as sku",
-            "least(value / 100.0D, 1.0D) as sim",
-            "frame_idx",
-        )
+    """Votes whose ``frame_idx`` is only an order (time, then event): no window over a track is needed."""
+    return table(spark, sf, "events").selectExpr(
+        "user_id * 100 + dayofmonth(ts) as track_id",
+        "user_id % 10 as video_id",
+        f"{_SKU} as sku",
+        "least(value / 100.0D, 1.0D) as sim",
+        f"cast({_MICROS} as decimal(18,0)) * cast(1e19 as decimal(20,0)) + event_id as frame_idx",
     )
 
 
+def numbered_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Votes with frames numbered from 1 inside each track."""
+    events = table(spark, sf, "events").selectExpr(
+        "user_id * 100 + dayofmonth(ts) as track_id",
+        "user_id % 10 as video_id",
+        f"{_SKU} as sku",
+        "least(value / 100.0D, 1.0D) as sim",
+        "ts",
+        "event_id",
+    )
+    hour = F.date_trunc("hour", "ts")
+    ranked = numbered(events, ["track_id"], hour, [F.col("ts"), F.col("event_id")], "frame_idx")
+    return ranked.drop("ts", "event_id")
+
+
 def _category(table_sql: str, index: str) -> str:
     return f"element_at({table_sql}, cast({index} as int) + 1)"
 
@@ -200,13 +217,13 @@ def run_items(spark: SparkSession, sf: str) -> DataFrame:
 
 def review(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id")
-    labels = table(spark, sf, "labels")
+    labels = table(spark, sf, "labels").withColumn("has_label", F.lit(True))
     return docs.join(labels, "doc_id", "left").selectExpr(
         "doc_id as idx",
         "doc_id % 25 as run_id",
         "concat('crop_', cast(doc_id as string)) as crop_id",
         "case when doc_id % 2 = 0 then 'unknown' else 'ambiguous' end as decision",
-        "case when quality is null and toxic is null then 'pending' when toxic = 1 then 'discarded' "
+        "case when has_label is null then 'pending' when toxic = 1 then 'discarded' "
         "when quality = 1 then 'labeled' else 'skipped' end as status",
         "case when quality = 1 and coalesce(toxic, 0) = 0 then doc_id % 40 end as assigned_ean",
     )
@@ -227,17 +244,14 @@ def images(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frame_metrics(spark: SparkSession, sf: str) -> DataFrame:
-    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return (
-        table(spark, sf, "events")
-        .withColumn("idx", (F.row_number().over(order) - 1).cast("long"))
-        .selectExpr(
-            "user_id as video_id",
-            "idx",
-            "least(255.0D, value * 2.2D) as brightness",
-            "least(90.0D, value) as contrast",
-            "value * 3 as sharpness",
-            "case when user_id % 2 = 0 then 1920 else 1080 end as width",
-            "case when user_id % 2 = 0 then 1080 else 1920 end as height",
-        )
+    day = F.date_trunc("day", "ts")
+    events = table(spark, sf, "events")
+    return numbered(events, ["user_id"], day, [F.col("ts"), F.col("event_id")], "n").selectExpr(
+        "user_id as video_id",
+        "n - 1 as idx",
+        "least(255.0D, value * 2.2D) as brightness",
+        "least(90.0D, value) as contrast",
+        "value * 3 as sharpness",
+        "case when user_id % 2 = 0 then 1920 else 1080 end as width",
+        "case when user_id % 2 = 0 then 1080 else 1920 end as height",
     )

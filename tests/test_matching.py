@@ -81,8 +81,9 @@ def test_greedy_equals_sequential(spark, prefix):
     vecs[20:60] = vecs[3]
     vecs[70] = vecs[71] = 0
     scope = ["hot" if i % 3 else "cold" for i in range(150)]
-    rows = [(scope[i], i, i, vecs[i].tolist()) for i in range(150)]
-    items = frame(spark, ["scope", "key", "ord", "vec"], rows, ["string", "long", "long", "array<float>"]).repartition(4)
+    rows = [(scope[i], i, float(i // 50), i, vecs[i].tolist()) for i in range(150)]
+    types = ["string", "long", "double", "long", "array<float>"]
+    items = frame(spark, ["scope", "key", "o1", "o2", "vec"], rows, types).repartition(4)
     solid = F.aggregate("vec", F.lit(0.0), lambda a, x: a + F.abs(x)) > 0
     kept = greedy.greedy_keep(items, 0.95, comparable=solid, prefix=prefix)
     u = unit(vecs.astype("float64"))
