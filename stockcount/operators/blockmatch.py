@@ -23,42 +23,56 @@ BROADCAST_REFS = 50_000
 WHOLE = "*"
 
 
-def _packer(rows: int, unit: bool, drop_zero: bool, ordered: bool):
+def _packer(rows: int, unit: bool, drop_zero: bool, ordered: bool, tagged: bool):
     """Task-side packing of (scope, key, vec) rows into one row per scope and slice.
 
-    With ``ordered`` the columns o1 (double) and o2 (long), a position in some order, come along.
+    With ``ordered`` the columns o1 (double) and o2 (long), a position in some order, come along; with
+    ``tagged`` a text per key, and rows without a usable vector are packed under a null scope.
     """
 
     def run(batches):
         import numpy as np
         import pandas as pd
 
+        names = ["scope", "keys", "mat", "n"]
+        names += ["o1", "o2", "low", "high"] if ordered else []
+        names += ["tags"] if tagged else []
         for pdf in batches:
-            packed = {"scope": [], "keys": [], "mat": [], "n": []}
-            if ordered:
-                packed.update({"o1": [], "o2": [], "low": [], "high": []})
+            packed = {c: [] for c in names}
+
+            def add(scope, part, full):
+                for a in range(0, len(part), rows):
+                    piece, mat = part.iloc[a : a + rows], full[a : a + rows]
+                    packed["scope"].append(scope)
+                    packed["keys"].append(list(piece["key"]))
+                    packed["mat"].append(np.ascontiguousarray(mat).tobytes())
+                    packed["n"].append(len(piece))
+                    if ordered:
+                        o1 = piece["o1"].to_numpy().astype("float64")
+                        packed["o1"].append(o1.tobytes())
+                        packed["o2"].append(piece["o2"].to_numpy().astype("int64").tobytes())
+                        packed["low"].append(float(o1.min()))
+                        packed["high"].append(float(o1.max()))
+                    if tagged:
+                        packed["tags"].append(list(piece["tag"]))
+
+            if tagged:
+                blank = pdf["vec"].isna()
+                if blank.any():
+                    add(None, pdf[blank], np.empty((int(blank.sum()), 0)))
+                    pdf = pdf[~blank]
             for scope, part in pdf.groupby("scope", sort=False):
                 part = part.sort_values("key", kind="stable")
                 full = np.stack(part["vec"].to_numpy()).astype("float64")
                 if unit:
                     norms = np.linalg.norm(full, axis=1)
-                    if drop_zero and (norms < 1e-10).any():
-                        live = norms >= 1e-10
+                    live = norms >= 1e-10
+                    if drop_zero and not live.all():
+                        if tagged:
+                            add(None, part[~live], np.empty((int((~live).sum()), 0)))
                         part, full, norms = part[live], full[live], norms[live]
                     full = full / np.maximum(norms, 1e-10)[:, None]
-                names = part["key"].to_numpy()
-                for a in range(0, len(names), rows):
-                    cut = slice(a, a + rows)
-                    packed["scope"].append(scope)
-                    packed["keys"].append(list(names[cut]))
-                    packed["mat"].append(np.ascontiguousarray(full[cut]).tobytes())
-                    packed["n"].append(len(names[cut]))
-                    if ordered:
-                        o1 = part["o1"].to_numpy().astype("float64")[cut]
-                        packed["o1"].append(o1.tobytes())
-                        packed["o2"].append(part["o2"].to_numpy().astype("int64")[cut].tobytes())
-                        packed["low"].append(float(o1.min()))
-                        packed["high"].append(float(o1.max()))
+                add(scope, part, full)
             if packed["n"]:
                 yield pd.DataFrame(packed)
 
@@ -83,8 +97,11 @@ def _similarity(score: str):
     return cosine if score == "cosine" else box_iou
 
 
-def _matcher(k: int, score: str):
-    """Task-side scoring of one packed query row against one packed reference row."""
+def _matcher(k: int, score: str, tagged: bool):
+    """Task-side scoring of one packed query row against one packed reference row.
+
+    With ``tagged`` a query row that met no reference yields its keys once, without label.
+    """
     similarity = _similarity(score)
 
     def run(batches):
@@ -92,10 +109,17 @@ def _matcher(k: int, score: str):
         import pandas as pd
 
         for pdf in batches:
-            out_key, out_label, out_sim = [], [], []
-            for keys, mat, n, labels, ref_mat, ref_n in zip(
-                pdf["keys"], pdf["mat"], pdf["n"], pdf["labels"], pdf["ref_mat"], pdf["ref_n"]
+            out_key, out_label, out_sim, out_tag = [], [], [], []
+            for keys, mat, n, labels, ref_mat, ref_n, tags in zip(
+                pdf["keys"], pdf["mat"], pdf["n"], pdf["labels"], pdf["ref_mat"], pdf["ref_n"],
+                pdf["tags"] if tagged else pdf["n"],
             ):
+                if labels is None:
+                    out_key.append(np.asarray(keys))
+                    out_label.append(np.full(len(keys), None, dtype=object))
+                    out_sim.append(np.full(len(keys), np.nan))
+                    out_tag.append(np.asarray(tags, dtype=object))
+                    continue
                 q = np.frombuffer(mat, dtype="float64").reshape(int(n), -1)
                 r = np.frombuffer(ref_mat, dtype="float64").reshape(int(ref_n), -1)
                 labels = np.asarray(labels)
@@ -115,14 +139,19 @@ def _matcher(k: int, score: str):
                 out_key.append(np.asarray(keys)[rows[keep]])
                 out_label.append(names[cols[keep]])
                 out_sim.append(vals[keep])
+                if tagged:
+                    out_tag.append(np.asarray(tags, dtype=object)[rows[keep]])
             if out_key:
-                yield pd.DataFrame(
+                result = pd.DataFrame(
                     {
                         "key": np.concatenate(out_key),
                         "label": np.concatenate(out_label),
                         "sim": np.concatenate(out_sim),
                     }
                 )
+                if tagged:
+                    result["tag"] = np.concatenate(out_tag)
+                yield result
 
     return run
 
@@ -152,28 +181,39 @@ def _earlier(score: str, threshold: float, strict: bool):
     return run
 
 
-def _pack(df: DataFrame, rows: int, unit: bool, drop_zero: bool, ordered: bool = False) -> DataFrame:
+def _pack(
+    df: DataFrame, rows: int, unit: bool, drop_zero: bool, ordered: bool = False, tagged: bool = False
+) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in df.schema}
     schema = f"scope {types['scope']}, keys array<{types['key']}>, mat binary, n int"
     if ordered:
         schema += ", o1 binary, o2 binary, low double, high double"
-    cols = ["scope", "key", "vec", *(["o1", "o2"] if ordered else [])]
-    return df.select(*cols).mapInPandas(_packer(rows, unit, drop_zero, ordered), schema)
-
-
-def _meet(chunks: DataFrame, blocks: DataFrame, refs: DataFrame, broadcast_refs: int, on: Column | None = None) -> DataFrame:
+    if tagged:
+        schema += ", tags array<string>"
+    cols = ["scope", "key", "vec", *(["o1", "o2"] if ordered else []), *(["tag"] if tagged else [])]
+    return df.select(*cols).mapInPandas(_packer(rows, unit, drop_zero, ordered, tagged), schema)
+
+
+def _meet(
+    chunks: DataFrame,
+    blocks: DataFrame,
+    refs: DataFrame,
+    broadcast_refs: int,
+    on: Column | None = None,
+    how: str = "inner",
+) -> DataFrame:
     """Joins packed queries with the packed references of their scope.
 
     References of a checked size are broadcast. Beyond it the query side of a scope is spread over
     lanes and its reference blocks are copied to each lane, so that no task receives a whole scope.
     """
     if fits(refs, broadcast_refs):
-        joined = chunks.join(F.broadcast(blocks), "scope")
+        joined = chunks.join(F.broadcast(blocks), "scope", how)
     else:
         lanes = max(64, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         laned = chunks.withColumn("lane", F.pmod(F.xxhash64("mat"), F.lit(lanes)).cast("int"))
         copies = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        joined = laned.join(copies, ["scope", "lane"])
+        joined = laned.join(copies, ["scope", "lane"], how)
     return joined if on is None else joined.filter(on)
 
 
@@ -182,20 +222,26 @@ def block_hits(
 ) -> DataFrame:
     """(key, label, sim) rows, at most ``k`` per query and block.
 
-    ``queries`` has columns scope, key, vec and ``refs`` has scope, label, vec.
+    ``queries`` has columns scope, key, vec and ``refs`` has scope, label, vec. Queries with a text
+    column ``tag`` keep it, and those that meet nothing or have no usable vector yield one row with
+    null label and similarity.
     """
     unit = score == "cosine"
+    tagged = "tag" in queries.columns
     q_type = queries.schema["key"].dataType.simpleString()
     l_type = refs.schema["label"].dataType.simpleString()
-    chunks = _pack(queries, QUERY_ROWS, unit, drop_zero=True)
+    chunks = _pack(queries, QUERY_ROWS, unit, drop_zero=True, tagged=tagged)
     blocks = _pack(refs.select("scope", F.col("label").alias("key"), "vec"), REF_ROWS, unit, drop_zero=False).select(
         "scope", F.col("keys").alias("labels"), F.col("mat").alias("ref_mat"), F.col("n").alias("ref_n")
     )
-    return (
-        _meet(chunks, blocks, refs, broadcast_refs)
-        .select("keys", "mat", "n", "labels", "ref_mat", "ref_n")
-        .mapInPandas(_matcher(k, score), f"key {q_type}, label {l_type}, sim double")
+    cols = ["keys", "mat", "n", "labels", "ref_mat", "ref_n", *(["tags"] if tagged else [])]
+    schema = f"key {q_type}, label {l_type}, sim double" + (", tag string" if tagged else "")
+    hits = (
+        _meet(chunks, blocks, refs, broadcast_refs, how="left" if tagged else "inner")
+        .select(*cols)
+        .mapInPandas(_matcher(k, score, tagged), schema)
     )
+    return hits.withColumn("sim", F.nanvl("sim", F.lit(None).cast("double"))) if tagged else hits
 
 
 def best_labels(
@@ -203,8 +249,9 @@ def best_labels(
 ) -> DataFrame:
     """The ``k`` best labels per query: key, label, sim, rank; ties go to the smaller label."""
     hits = block_hits(queries, refs, k, score, broadcast_refs)
+    tag = ["tag"] if "tag" in queries.columns else []
     # One exchange on the query serves both the maximum over blocks and the ranking.
-    merged = hits.repartition("key").groupBy("key", "label").agg(F.max("sim").alias("sim"))
+    merged = hits.repartition("key").groupBy("key", "label", *tag).agg(F.max("sim").alias("sim"))
     order = Window.partitionBy("key").orderBy(F.desc("sim"), F.asc("label"))
     return merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

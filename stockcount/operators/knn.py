@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stockcount.functions import vectors as vec
 from stockcount.operators.blockmatch import WHOLE, best_labels, best_score, block_hits
+from stockcount.scale import fits
 
 # Below this similarity a crop has no packaging category.
 MIN_CATEGORY_SIM = 0.15
 NO_CATEGORY = "otro"
 
+# Category tables up to this number of rows travel to the tasks.
+FEW_CATEGORIES = 4096
+
 
 def usable(df: DataFrame, dimension: int | None, col: str = "embedding") -> DataFrame:
     """Rows with a vector of the expected size; size mismatches find nothing."""
@@ -39,8 +44,9 @@ def search(queries: DataFrame, refs: DataFrame, k: int = 3, dimension: int | Non
 
 
 def _named(hits: DataFrame) -> DataFrame:
+    tag = ["tag"] if "tag" in hits.columns else []
     return hits.select(
-        F.col("key").alias("crop_id"), "rank", F.col("label").alias("ean"), F.col("sim").alias("similitud")
+        F.col("key").alias("crop_id"), "rank", F.col("label").alias("ean"), F.col("sim").alias("similitud"), *tag
     )
 
 
@@ -50,13 +56,19 @@ def search_in_category(
     """Search restricted to the crop's ``categoria``; the whole catalogue when that category is empty.
 
     The catalogue is offered once under each category and once as a whole, so that restricted and
-    fallback crops go through one join on the scope.
+    fallback crops go through one join on the scope. Crops with a column ``tag`` keep it and appear
+    with a null product when nothing is found.
     """
     category = F.lower("categoria")
     known = refs.select(category.alias("known")).filter("known <> ''").distinct()
-    q = usable(queries, dimension)
+    # The crops carry their vectors: keep them in place as long as the categories are few.
+    if fits(known, FEW_CATEGORIES):
+        known = F.broadcast(known)
+    tag = ["tag"] if "tag" in queries.columns else []
+    q = queries if tag else usable(queries, dimension)
+    good = F.col("embedding") if dimension is None else F.when(F.size("embedding") == dimension, F.col("embedding"))
     q = q.join(known, F.lower(q["categoria"]) == known["known"], "left").select(
-        F.coalesce("known", F.lit(WHOLE)).alias("scope"), F.col("crop_id").alias("key"), F.col("embedding").alias("vec")
+        F.coalesce("known", F.lit(WHOLE)).alias("scope"), F.col("crop_id").alias("key"), good.alias("vec"), *tag
     )
     r = refs.select(
         F.explode(F.array(F.coalesce(category, F.lit("")), F.lit(WHOLE))).alias("scope"),
@@ -116,6 +128,52 @@ def classify_packaging(
     return found.unionByName(blank).withColumn("detectada", named)
 
 
+def tag_packaging(crops: DataFrame, prompts: DataFrame, skip: Column | None = None, min_sim: float = MIN_CATEGORY_SIM) -> DataFrame:
+    """Adds ``detectada`` to each crop row in place; ``skip`` marks rows that need none.
+
+    The category centroids are few: after a check of their number they travel to the tasks and each
+    row is classified where it lies, without moving vectors. With more of them the crops are matched
+    like against any other catalogue.
+    """
+    few = centroids(prompts, "categoria").limit(FEW_CATEGORIES + 1)
+    rows = few.collect()
+    wanted = F.col("embedding") if skip is None else F.when(~skip, F.col("embedding"))
+    if not rows:
+        return crops.withColumn("detectada", F.lit(NO_CATEGORY))
+    if len(rows) > FEW_CATEGORIES:
+        open_crops = crops.select("crop_id", wanted.alias("embedding")).filter(F.col("embedding").isNotNull())
+        found = classify_packaging(open_crops, prompts, 1, min_sim).select("crop_id", "detectada")
+        return crops.join(found, "crop_id", "left")
+    return crops.withColumn("detectada", _classifier(rows, crops, min_sim)(wanted))
+
+
+def _classifier(rows: list, crops: DataFrame, min_sim: float):
+    rows = sorted(rows, key=lambda r: r["categoria"])
+    table = crops.sparkSession.sparkContext.broadcast(
+        ([r["categoria"] for r in rows], [list(r["centroid"]) for r in rows])
+    )
+    none = NO_CATEGORY
+
+    @F.pandas_udf("string")
+    def classify(vecs: pd.Series) -> pd.Series:
+        import numpy as np
+        import pandas as pd
+
+        names, centers = np.array(table.value[0], dtype=object), np.array(table.value[1])
+        out = np.full(len(vecs), None, dtype=object)
+        live = vecs.notna().to_numpy() & (vecs.map(lambda v: 0 if v is None else len(v)) == centers.shape[1]).to_numpy()
+        if live.any():
+            m = np.stack(vecs[live].to_numpy()).astype("float64")
+            norms = np.linalg.norm(m, axis=1)
+            sims = (m / np.maximum(norms, 1e-10)[:, None]) @ centers.T
+            best = sims.argmax(axis=1)
+            close = (sims[np.arange(len(m)), best] >= min_sim) & (norms >= 1e-10)
+            out[live] = np.where(close, names[best], none)
+        return pd.Series(out)
+
+    return classify
+
+
 def wrong_dimension(refs: DataFrame, dimension: int) -> DataFrame:
     """Products with vectors of another size than expected, and how many."""
     return (

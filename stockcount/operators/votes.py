@@ -97,10 +97,15 @@ def track_decisions(votes: DataFrame, profile: VoteProfile | str = BALANCED) ->
 def track_top_matches(votes: DataFrame, profile: VoteProfile = BALANCED, n: int = 5) -> DataFrame:
     """The ``n`` leading products of each track with votes, mean similarity and share."""
     per_sku = track_votes(votes, profile)
-    totals = per_sku.groupBy("track_id").agg(F.sum("votes").alias("frames_scored"))
-    order = Window.partitionBy("track_id").orderBy(F.desc("votes"), F.asc("first_frame"), F.asc("sku"))
-    top = per_sku.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-    return top.join(totals, "track_id").select(
+    track = Window.partitionBy("track_id")
+    order = track.orderBy(F.desc("votes"), F.asc("first_frame"), F.asc("sku"))
+    # A track's rows are its distinct products here, so one window pass replaces a second scan.
+    top = (
+        per_sku.withColumn("frames_scored", F.sum("votes").over(track))
+        .withColumn("rank", F.row_number().over(order))
+        .filter(F.col("rank") <= n)
+    )
+    return top.select(
         "track_id",
         "rank",
         "sku",

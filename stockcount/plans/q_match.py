@@ -203,7 +203,7 @@ SELECT crop_id, status, CASE WHEN status = 'matched' THEN top_ean ELSE 'UNKNOWN'
 def identify_status(spark, sf):
     crops = views.query_crops(spark, sf)
     hits = knn.search(crops, views.catalog_refs(spark, sf), k=3)
-    return ident.decide(crops.select("crop_id"), hits).select("crop_id", "status", "ean", "confianza")
+    return ident.decide(hits, crops=crops.select("crop_id")).select("crop_id", "status", "ean", "confianza")
 
 
 @query(
