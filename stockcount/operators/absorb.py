@@ -9,7 +9,7 @@ from stockcount.functions import vectors as vec
 from stockcount.operators.greedy import greedy_keep
 from stockcount.operators.knn import nearest_own_reference
 from stockcount.operators.review import LABELED, NOT_A_PRODUCT
-from stockcount.scale import cut, numbered
+from stockcount.scale import compact, cut, numbered
 
 # Similarity from which a crop counts as a copy.
 DUPLICATE_SIM = 0.95
@@ -71,7 +71,7 @@ def outcomes(
         rows = rows.withColumn("valido", F.lit(True))
     else:
         codes = valid.select("ean", F.lit(True).alias("valido")).distinct()
-        rows = rows.join(codes, "ean", "left").withColumn("valido", F.coalesce("valido", F.lit(False)))
+        rows = rows.join(compact(codes), "ean", "left").withColumn("valido", F.coalesce("valido", F.lit(False)))
     if dry_run or not dedup:
         kept = None
     else:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from stockcount.functions import vectors as vec
 from stockcount.operators.blockmatch import WHOLE, best_labels, best_score, block_hits
-from stockcount.scale import fits
+from stockcount.scale import compact
 
 # Below this similarity a crop has no packaging category.
 MIN_CATEGORY_SIM = 0.15
@@ -62,8 +62,7 @@ def search_in_category(
     category = F.lower("categoria")
     known = refs.select(category.alias("known")).filter("known <> ''").distinct()
     # The crops carry their vectors: keep them in place as long as the categories are few.
-    if fits(known, FEW_CATEGORIES):
-        known = F.broadcast(known)
+    known = compact(known, FEW_CATEGORIES)
     tag = ["tag"] if "tag" in queries.columns else []
     q = queries if tag else usable(queries, dimension)
     good = F.col("embedding") if dimension is None else F.when(F.size("embedding") == dimension, F.col("embedding"))

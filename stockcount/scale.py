@@ -32,6 +32,14 @@ def fits(df: DataFrame, max_rows: int) -> bool:
     return df.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows
 
 
+def compact(df: DataFrame, max_rows: int = 500_000) -> DataFrame:
+    """Marks ``df`` for broadcasting when its checked size allows, so that the other side stays in place.
+
+    Meant for narrow tables of keys; a larger one is joined by shuffling as usual.
+    """
+    return F.broadcast(df) if fits(df, max_rows) else df
+
+
 def numbered(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], name: str) -> DataFrame:
     """``row_number`` per group without sorting a whole group in one task.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stockcount.operators import absorb, blockmatch, detections, greedy, knn
+from stockcount.operators import absorb, blockmatch, detections, greedy, identify, knn
 
 D = 6
 
@@ -144,3 +144,35 @@ def test_absorb_outcomes(spark):
     assert {(r.ean, r.ref_id, r.categoria, r.descripcion) for r in renewed.collect()} == {
         ("X", "r1", "lata", "Equis"), ("X", "crop-2", "lata", "Equis"), ("Y", "crop-6", "bolsa", "Ye")
     }
+
+
+def test_identify_keeps_crops_that_find_nothing(spark):
+    a, b = [1.0, 0.0, 0.0, 0.0, 0.0, 0.0], [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    rows = [(1, a, None), (2, [0.0] * D, None), (3, None, None), (4, b, "LATA"), (5, [0.0, 0.0, 1.0, 0.0, 0.0, 0.0], "")]
+    crops = frame(spark, ["crop_id", "embedding", "forzada"], rows, ["long", "array<float>", "string"])
+    refs = frame(spark, ["ean", "categoria", "embedding"], [("A", "Lata", a), ("B", "bolsa", b)], ["string", "string", "array<float>"])
+    prompts = frame(spark, ["categoria", "embedding"], [("lata", a), ("bolsa", b)], ["string", "array<float>"])
+    products = spark.createDataFrame([("A", "Uno")], "ean string, descripcion string")
+    got = {r.crop_id: (r.status, r.ean, r.detectada, r.n_candidatos, r.descripcion) for r in identify.identify(crops, refs, prompts, products).collect()}
+    assert got == {
+        1: ("matched", "A", "lata", 1, "Uno"),
+        2: ("unknown", "UNKNOWN", "otro", 0, ""),
+        3: ("unknown", "UNKNOWN", "", 0, ""),
+        4: ("unknown", "UNKNOWN", "LATA", 1, ""),
+        5: ("unknown", "UNKNOWN", "otro", 2, ""),
+    }
+    empty = identify.identify(crops.drop("forzada"), refs.limit(0)).collect()
+    assert {(r.status, r.n_candidatos) for r in empty} == {("unknown", 0)} and len(empty) == 5
+
+
+@pytest.mark.parametrize("few", [4096, 1])
+def test_classification_with_few_and_many_categories(spark, monkeypatch, few):
+    monkeypatch.setattr(knn, "FEW_CATEGORIES", few)
+    q, p = vectors(5, 30), vectors(6, 8)
+    crops = frame(spark, ["crop_id", "embedding"], [(i, v.tolist()) for i, v in enumerate(q)], ["long", "array<float>"])
+    prompts = frame(spark, ["categoria", "embedding"], [(f"c{i % 4}", v.tolist()) for i, v in enumerate(p)], ["string", "array<float>"])
+    got = {r.crop_id: r.detectada for r in knn.tag_packaging(crops, prompts).collect()}
+    u = unit(p.astype("float64"))
+    centers = unit(np.stack([u[i::4].mean(axis=0) for i in range(4)]))
+    sims = unit(q.astype("float64")) @ centers.T
+    assert got == {i: (f"c{s.argmax()}" if s.max() >= 0.15 else "otro") for i, s in enumerate(sims)}
