@@ -85,7 +85,7 @@ def shuffled_order(seed: int) -> Column:
 
 
 def harvest(
-    images: DataFrame, per_ean: int = PER_EAN, dedupe: bool = True, **limits: int
+    images: DataFrame, per_ean: int = PER_EAN, dedupe: bool = True, seed: int | None = None, **limits: int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Saved images, rejected ones and counters per product.
 
@@ -96,8 +96,11 @@ def harvest(
 
     Whether content is free depends on what earlier products really saved. That is settled in rounds:
     every product claims its first free contents, each content goes to its earliest claimant, and
-    refused claims are dropped until none is refused.
+    refused claims are dropped until none is refused. With ``seed`` the candidates of a product are
+    taken in a repeatable shuffled order.
     """
+    if seed is not None:
+        images = images.withColumn("seq", F.struct(shuffled_order(seed).alias("h"), "seq"))
     checked = validated(images, **limits)
     valid = checked.filter("valida")
     if dedupe:

@@ -77,3 +77,11 @@ def valid_codes(lines: DataFrame) -> DataFrame:
     """Distinct product codes; an empty result means that codes are not validated."""
     code = F.btrim(F.get(F.split("value", "\t"), F.lit(0)), F.lit(_BLANKS)).alias("ean")
     return _content(lines).select(code).filter("ean <> ''").distinct()
+
+
+def validation_list(lines: DataFrame | None) -> DataFrame | None:
+    """The valid codes, or None (no validation) without a file or without any code in it."""
+    if lines is None:
+        return None
+    codes = valid_codes(lines)
+    return None if codes.isEmpty() else codes

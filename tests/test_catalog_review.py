@@ -19,7 +19,8 @@ def test_catalog_file_round(spark, tmp_path):
     assert lenient == {"1": ("Otro", ""), "2": ("Dos", "bolsa"), "3": ("Tres", "lata")}
     full = {(r.ean, r.valida, r.brand, r["size"], r.variant) for r in catalog_text.parse_catalog_full(lines).collect()}
     assert ("3", True, "Marca", None, "Var") in full and ("1", False, None, None, None) in full
-    assert {r.ean for r in catalog_text.valid_codes(lines).collect()} == {"1", "2  Dos  bolsa", "3"}
+    assert {r.ean for r in catalog_text.validation_list(lines).collect()} == {"1", "2  Dos  bolsa", "3"}
+    assert catalog_text.validation_list(None) is None and catalog_text.validation_list(lines.filter("value like '#%'")) is None
 
 
 def test_sync_applies_lines_one_by_one_and_is_idempotent(spark):
@@ -175,6 +176,16 @@ def test_harvest_equals_serving_products_in_order(spark):
     assert rejected.count() == sum(1 for r in rows if not r[3] and sum(1 for q in rows if q[1] == r[1] and q[0] <= r[0]) <= tried[r[1]])
 
 
+def test_harvest_in_shuffled_order_is_repeatable(spark):
+    images = spark.range(40).selectExpr(
+        "id as seq", "id % 2 as ean", "cast(id as string) as sha256", "concat('http://x/', id) as url", "60000 as bytes",
+        "'image/png' as content_type", "cast(null as int) as width", "cast(null as int) as height",
+    )
+    take = lambda seed: {r.url for r in harvest.harvest(images, per_ean=5, seed=seed)[0].collect()}
+    assert len(take(1)) == 10 and take(1) == take(1) != take(2)
+    assert harvest.harvest(images, per_ean=5, dedupe=False)[0].count() == 10
+
+
 def test_image_checks_at_the_limits(spark):
     rows = [("image/png", 49_999, 300, 300), ("IMAGE/PNG", 50_000, 300, 300), ("image/png", 50_000, 299, 300), ("image/png", 50_000, None, 300), (None, 60_000, 300, 300)]
     df = spark.createDataFrame(rows, "content_type string, bytes long, width int, height int")
