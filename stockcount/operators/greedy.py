@@ -76,10 +76,11 @@ def _settle(score: str, threshold: float, strict: bool):
 
 def _settled(items: DataFrame, fn, schema: str) -> DataFrame:
     """Settles whole scopes, many per call: scopes are hashed to buckets and read as a sorted stream."""
-    buckets = 4 * int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = 4 * tasks
     bucketed = items.withColumn("bucket", F.pmod(F.xxhash64("scope"), F.lit(buckets)).cast("int"))
     return (
-        bucketed.repartition("bucket")
+        bucketed.repartition(tasks, "bucket")
         .sortWithinPartitions("bucket", "scope", "o1", "o2")
         .select("bucket", "scope", "key", "vec")
         .groupBy("bucket")

@@ -280,7 +280,9 @@ def link_detections(detections: DataFrame, settings: TrackerSettings = DEFAULTS,
         detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf"), settings.reach, lane_boxes
     )
     keys = ["video_id", "segment", "lane"]
-    ordered = parts.repartition(*keys).sortWithinPartitions(*keys, "frame_idx", "det_idx")
+    # A fixed number of partitions keeps the kernel spread even when the rows are few bytes.
+    tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = parts.repartition(tasks, *keys).sortWithinPartitions(*keys, "frame_idx", "det_idx")
     return ordered.groupBy(*keys).applyInPandas(_linker(settings), _LINKED)
 
 
