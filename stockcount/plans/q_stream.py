@@ -13,7 +13,7 @@ from stockcount.sources import views
 from stockcount.sources.tables import table
 from stockcount.streaming import live
 
-_SLICES = 3
+_SLICES = 2
 _FRAMES = 720
 
 

@@ -172,9 +172,13 @@ class Replay:
         rows.write.mode("overwrite").parquet(f"{self.source}/s{slice_no:05d}")
 
     def run_to_table(self, output: DataFrame) -> None:
-        key = "spark.sql.streaming.stateStore.providerClass"
-        before = self.spark.conf.get(key)
-        self.spark.conf.set(key, ROCKSDB)
+        # State partitions stay fixed for the life of a checkpoint: one per core is enough for a replay.
+        key = "spark.sql.shuffle.partitions"
+        partitions = min(int(self.spark.conf.get(key)), self.spark.sparkContext.defaultParallelism)
+        settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, key: str(partitions)}
+        before = {k: self.spark.conf.get(k) for k in settings}
+        for k, v in settings.items():
+            self.spark.conf.set(k, v)
         try:
             query = (
                 output.writeStream.format("parquet")
@@ -186,7 +190,8 @@ class Replay:
             )
             query.awaitTermination()
         finally:
-            self.spark.conf.set(key, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
 
     def result(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/out")
