@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import contamination, line_dedup, perspectives, quality
+from llm import contamination, jaccard, line_dedup, packing, perspectives, quality, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
+
+
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -31,6 +46,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.round_trip(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = line_dedup.line_report(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -140,8 +159,11 @@ from laid
 """
 
 QUERIES: dict[str, tuple[Query, str | None]] = {
+    "op1_packing": (op1_packing, None),
+    "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
     "op6_perspectives": (op6_perspectives, OP6_SQL),
     "op7_quality": (op7_quality, OP7_SQL),
+    "op8_records": (op8_records, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
 }
