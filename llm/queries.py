@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import contamination, jaccard, line_dedup, packing, perspectives, quality, records
+from llm import contamination, jaccard, kneser_ney, line_dedup, packing, perspectives, quality, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = kneser_ney.train_and_score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
+
+
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -162,6 +167,7 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
+    "op4_kneser_ney": (op4_kneser_ney, None),
     "op6_perspectives": (op6_perspectives, OP6_SQL),
     "op7_quality": (op7_quality, OP7_SQL),
     "op8_records": (op8_records, None),
