@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import contamination, jaccard, kneser_ney, line_dedup, packing, perspectives, quality, records
+from llm import contamination, jaccard, kneser_ney, language, line_dedup, packing, perspectives, quality, records, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,15 @@ def op4_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity")
 
 
+def fold(folds: int) -> Column:
+    """crc32 of the document id as text, modulo the number of folds."""
+    return kneser_ney.held_out_fold(F.col("doc_id"), folds)
+
+
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"), fold(5) == 0)
+
+
 def op6_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perspectives.perspectives(table(spark, sf_dir, "conversations"))
 
@@ -60,6 +69,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return toxicity.train_and_score(documents, labels, fold(3) == 1)
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -168,8 +182,10 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op2_jaccard_join": (op2_jaccard_join, None),
     "op3_decontaminate": (op3_decontaminate, OP3_SQL),
     "op4_kneser_ney": (op4_kneser_ney, None),
+    "op5_language": (op5_language, None),
     "op6_perspectives": (op6_perspectives, OP6_SQL),
     "op7_quality": (op7_quality, OP7_SQL),
     "op8_records": (op8_records, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
+    "op10_toxicity": (op10_toxicity, None),
 }
