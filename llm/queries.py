@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from llm import contamination, jaccard, kneser_ney, language, line_dedup, packing, perspectives, quality, records, toxicity
+from llm.tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,13 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def vocabulary(name: str) -> str:
-    """Place of a public tokenizer's file."""
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
@@ -188,4 +183,5 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_records": (op8_records, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

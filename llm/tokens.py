@@ -36,6 +36,13 @@ def _printable() -> dict[int, str]:
 _LATIN = {c: "".join(_printable()[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, by its name."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 class Encoder:
     """Ids of texts; one for each worker and vocabulary file."""
 

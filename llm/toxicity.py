@@ -127,7 +127,7 @@ def _logits(model: dict, owner: np.ndarray, feature: np.ndarray, texts: int) ->
     return out
 
 
-def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, rounds: int = 150) -> dict:
+def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, rounds: int = 250) -> dict:
     """Fits the machine by Adam over all rows; owner (sorted) and feature list which row holds which feature."""
     rng = np.random.default_rng(5)
     p0 = (y.sum() + 1) / (len(y) + 2)
@@ -146,7 +146,7 @@ def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int,
         v = model["v"][feature]
         sums = np.add.reduceat(v, at, axis=0)
         each = g[owner][:, None] * (sums[rows] - v)
-        gv, gw = 1e-4 * model["v"], 1e-4 * model["w"]
+        gv, gw = 1e-4 * model["v"], 1e-5 * model["w"]
         gv[used] += np.add.reduceat(each[by_feature], starts, axis=0)
         gw[used] += np.add.reduceat(g[owner][by_feature], starts)
         for k, grad in (("w0", g.sum()), ("w", gw), ("v", gv)):
