@@ -104,4 +104,5 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> D
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose id is not among those that hold an item."""
     bad = cut(contaminated(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct())
-    return docs.join(broadcast_if_few(bad), F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    few = broadcast_if_few(bad)
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["_bad"]), "left_anti")

@@ -268,10 +268,11 @@ def keep_one_each(docs: DataFrame) -> DataFrame:
     """The document with the least id of every class; of repeated rows one stays. Rows without an id stay."""
     classes = cut(jaccard_classes(docs))
     gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(broadcast_if_few(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    few = broadcast_if_few(gone)
+    left = docs.join(few, docs["doc_id"] == few["_gone"], "left_anti")
     again = cut(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
     if again.isEmpty():
         return left
     few = broadcast_if_few(again)
-    once = left.join(few, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(few, F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    once = left.join(few, left["doc_id"] == few["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(few, left["doc_id"] == few["_again"], "left_anti").unionByName(once)

@@ -110,9 +110,10 @@ def with_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with shared lines removed from ``text``; null text stays null, all columns and rows stay."""
-    marked = with_bitmaps(docs, min_docs, min_chars)
+    slim = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"], docs["text"])
+    marked = with_bitmaps(slim, min_docs, min_chars)
     text = F.when(F.col("_keep").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), "_keep"))
-    return marked.withColumn("text", text).select(*docs.columns)
+    return marked.select(*[text.alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def line_report(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:

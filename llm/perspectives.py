@@ -13,7 +13,7 @@ Places are running sums in two levels: inside runs of ``RUN`` turn numbers, then
 messages of one dialogue spread over many tasks.
 
 Defined cases: null text is empty; null speaker is a speaker of the name ``unknown``; messages without a
-dialogue id form one dialogue; equal turn numbers are ordered by speaker, then text; repeated rows stay;
+dialogue id form one dialogue of the id -1; equal turn numbers are ordered by speaker, then text; repeated rows stay;
 a dialogue without a participant gives no rows.
 """
 

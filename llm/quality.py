@@ -24,7 +24,7 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SPREAD = 5
 #: Measure: the least distance of its limit from the median. All are in thousandths.
-LEAST = {"symbols": 100, "marks": 200, "dup_lines": 400, "repeats": 250, "word_length": 3000}
+LEAST = {"symbols": 100, "marks": 200, "dup_lines": 400, "repeats": 400, "word_length": 3000}
 MEASURES = list(LEAST)
 
 
@@ -164,5 +164,5 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass. Counts are taken twice instead of moving the texts."""
     slim = counts(private(docs, "text", "lang", "source")).drop("text")
     bounds = cut(limits(sketches(slim)))
-    inner = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text", "lang", "source")
+    inner = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), "text", "lang", "source")
     return judged(counts(inner), bounds).where("kept").select("_row.*")

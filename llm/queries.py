@@ -124,7 +124,7 @@ quartiles as (
          min(value) filter (4 * upto >= 3 * total) as q3 from ranked group by all),
 fences as (
   select lang, source, measure, q2 + greatest(5 * (q2 - q1), least_) as high, q2 - greatest(5 * (q3 - q2), least_) as low
-  from quartiles join (values ('symbols', 100), ('marks', 200), ('dup_lines', 400), ('repeats', 250), ('word_length', 3000)) l(measure, least_) using (measure)),
+  from quartiles join (values ('symbols', 100), ('marks', 200), ('dup_lines', 400), ('repeats', 400), ('word_length', 3000)) l(measure, least_) using (measure)),
 bounds as (
   select lang as b_lang, source as b_source, max(high) filter (measure = 'symbols') as m1, max(high) filter (measure = 'marks') as m2,
          max(high) filter (measure = 'dup_lines') as m3, max(high) filter (measure = 'repeats') as m4,
