@@ -5,17 +5,18 @@ from __future__ import annotations
 VIEWS = {
     "fx_detections": """
 select *, row_number() over (partition by video_id, frame_idx order by obj_id) - 1 as det_idx from (
-  select user_id % 10 as video_id, (epoch(ts)::bigint - 1704067200) // 3600 as frame_idx, user_id as obj_id, event_id,
+  select user_id % 10 + 10 * (row_number() over (partition by user_id, (epoch(ts)::bigint - 1704067200) // 3600 order by event_id) - 1) as video_id,
+         (epoch(ts)::bigint - 1704067200) // 3600 as frame_idx, user_id as obj_id, event_id,
          least(value / 100.0, 1.0) as conf,
          (user_id // 10 % 20) * 100 + ((epoch(ts)::bigint - 1704067200) // 3600) % 8 as x1, (user_id // 200) * 120 as y1,
          (user_id // 10 % 20) * 100 + ((epoch(ts)::bigint - 1704067200) // 3600) % 8 + 60 as x2, (user_id // 200) * 120 + 90 as y2,
          2100 as frame_w, 1080 as frame_h,
-         case when event_type = 'error' then 'UNKNOWN' else event_type end as sku_pred,
-         row_number() over (partition by user_id % 10, (epoch(ts)::bigint - 1704067200) // 3600, user_id order by event_id) as rn
-  from events) where rn = 1
+         case when event_type = 'error' then 'UNKNOWN' else event_type end as sku_pred
+  from events)
 """,
     "fx_frames": """
-select v as video_id, f as frame_idx, 30.0 as fps from range(10) a(v), range(720) b(f)
+select video_id, unnest(range((select max(frame_idx) + 1 from fx_detections))) as frame_idx, 30.0 as fps
+from (select distinct video_id from fx_detections)
 """,
     "fx_raw_boxes": """
 select l_orderkey, l_linenumber, l_orderkey % 20 as video_id, l_partkey % 200 as frame_idx,
@@ -32,20 +33,20 @@ select user_id * 100 + day(ts) as track_id, user_id % 10 as video_id,
 """,
     "fx_catalog_ref": """
 select vec_id as ref_id, 'EAN' || lpad(label::varchar, 3, '0') as ean,
-       ['botella','lata','bolsa'][label % 3 + 1] as categoria, embedding from embeddings where vec_id % 10 = 1
+       ['botella','lata','bolsa'][label % 3 + 1] as categoria, embedding from embeddings
 """,
     "fx_query": """
-select vec_id as crop_id, embedding from embeddings where vec_id % 10 = 0
+select vec_id as crop_id, list_transform(range(64), lambda i: case when i % (1 + vec_id % 8) = 0 then embedding[i+1] else 0 end) as embedding from embeddings
 """,
     "fx_prompts": """
-select vec_id as prompt_id, ['botella','lata','bolsa','frasco'][vec_id // 10 % 4 + 1] as categoria, embedding from embeddings where vec_id % 10 = 2
+select vec_id as prompt_id, ['botella','lata','bolsa','frasco'][label % 4 + 1] as categoria, embedding from embeddings
 """,
     "fx_split": """
-select vec_id as crop_id, embedding as full_vec,
-       list_transform(range(64), lambda i: case when i < 32 then embedding[i+1] else 0 end) as left_vec,
-       list_transform(range(64), lambda i: case when i >= 32 then embedding[i+1] else 0 end) as right_vec,
+select vec_id as crop_id, list_transform(range(64), lambda i: case when i % (1 + vec_id % 8) = 0 then embedding[i+1] else 0 end) as full_vec,
+       list_transform(range(64), lambda i: case when i < 32 and i % (1 + vec_id % 8) = 0 then embedding[i+1] else 0 end) as left_vec,
+       list_transform(range(64), lambda i: case when i >= 32 and i % (1 + vec_id % 8) = 0 then embedding[i+1] else 0 end) as right_vec,
        0 as x1, 0 as y1, 60 + vec_id * 7 % 90 as x2, 60 as y2, 400 as frame_w, 400 as frame_h, (vec_id * 13 % 100) / 100.0 as conf
-from embeddings where vec_id % 10 in (0,3,4,5,6)
+from embeddings
 """,
     "fx_packaging": """
 select distinct p_type as id, p_type as nombre, true as activo from part union all select 'VACIO','VACIO',true union all select 'RETIRADO','RETIRADO',false
@@ -90,8 +91,11 @@ select user_id as video_id, row_number() over (partition by user_id order by ts,
 
 
 def with_views(body: str) -> str:
-    """Prefix ``body`` with the views it names."""
-    used = [name for name in VIEWS if name in body]
+    """Prefix ``body`` with the views it names, and those that these name."""
+    text = body
+    for name in reversed(VIEWS):
+        text += VIEWS[name] if name in text else ""
+    used = [name for name in VIEWS if name in text]
     head = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in used)
     body = body.strip()
     if not head:

@@ -194,14 +194,14 @@ def product_update(spark, sf):
 
 
 @query(
-    """WITH c AS (SELECT label AS ean, count(*)::INTEGER AS n FROM embeddings WHERE vec_id % 10 = 1 GROUP BY 1)
+    """WITH c AS (SELECT label AS ean, count(*)::INTEGER AS n FROM embeddings GROUP BY 1)
 SELECT p.ean, c.ean IS NOT NULL OR p.embeddings_calculados AS embeddings_calculados, coalesce(c.n, p.n_imagenes) AS n_imagenes,
        CASE WHEN c.ean IS NOT NULL THEN 'catalogo/' || p.ean::VARCHAR END AS embeddings_path,
        CASE WHEN c.ean IS NOT NULL THEN '2024-02-01T00:00:00' END AS fecha_embeddings
 FROM fx_products p LEFT JOIN c ON c.ean = p.ean"""
 )
 def mark_embeddings(spark, sf):
-    refs = table(spark, sf, "embeddings").filter("vec_id % 10 = 1").selectExpr("cast(label as bigint) as ean")
+    refs = table(spark, sf, "embeddings").selectExpr("cast(label as bigint) as ean")
     path = F.concat(F.lit("catalogo/"), F.col("ean").cast("string"))
     marked = catalog.mark_embeddings(views.products(spark, sf), refs, path, F.lit("2024-02-01T00:00:00"))
     return marked.select("ean", "embeddings_calculados", "n_imagenes", "embeddings_path", "fecha_embeddings")
@@ -284,7 +284,7 @@ def catalog_refs_listing(spark, sf):
 @query(
     """WITH s AS (
   SELECT packaging_type_id AS categoria,
-         CASE WHEN ean IN (SELECT label FROM embeddings WHERE vec_id % 10 = 1) THEN 'ok'
+         CASE WHEN ean IN (SELECT label FROM embeddings) THEN 'ok'
               WHEN ean IN (SELECT ean FROM fx_images) THEN 'sin_embeddings' ELSE 'sin_imagenes' END AS estado
   FROM fx_products)
 SELECT categoria, count_if(estado = 'ok')::BIGINT AS ok, count_if(estado = 'sin_embeddings')::BIGINT AS sin_embeddings,
@@ -292,7 +292,7 @@ SELECT categoria, count_if(estado = 'ok')::BIGINT AS ok, count_if(estado = 'sin_
 )
 def catalog_readiness(spark, sf):
     products = views.products(spark, sf).withColumnRenamed("packaging_type_id", "categoria")
-    refs = table(spark, sf, "embeddings").filter("vec_id % 10 = 1").selectExpr("cast(label as bigint) as ean")
+    refs = table(spark, sf, "embeddings").selectExpr("cast(label as bigint) as ean")
     return catalog.readiness(products, refs, views.images(spark, sf))
 
 

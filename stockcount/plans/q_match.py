@@ -161,25 +161,25 @@ def vec_dim_check(spark, sf):
 
 @query(
     """WITH fresh AS (
-  SELECT vec_id AS ref_id, 'EAN' || lpad(label::VARCHAR, 3, '0') AS ean FROM embeddings WHERE vec_id % 10 = 7 AND label < 4)
+  SELECT vec_id + 1000000 AS ref_id, 'EAN' || lpad(label::VARCHAR, 3, '0') AS ean FROM embeddings WHERE label < 4)
 SELECT ref_id, ean FROM fx_catalog_ref WHERE ean NOT IN (SELECT ean FROM fresh) UNION ALL SELECT ref_id, ean FROM fresh"""
 )
 def catalog_replace_refs(spark, sf):
     fresh = (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 10 = 7 and label < 4")
+        .filter("label < 4")
         .selectExpr(
-            "vec_id as ref_id", "concat('EAN', lpad(cast(label as string), 3, '0')) as ean", "'botella' as categoria", "embedding"
+            "vec_id + 1000000 as ref_id", "concat('EAN', lpad(cast(label as string), 3, '0')) as ean", "'botella' as categoria", "embedding"
         )
     )
     return knn.replace_refs(views.catalog_refs(spark, sf), fresh).select("ref_id", "ean")
 
 
-@query("SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT 'EAN' || lpad(label::VARCHAR, 3, '0') FROM embeddings WHERE vec_id % 97 = 0 AND label < 5)")
+@query("SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT 'EAN' || lpad(label::VARCHAR, 3, '0') FROM embeddings WHERE label < 5)")
 def catalog_remove_refs(spark, sf):
     gone = (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 97 = 0 and label < 5")
+        .filter("label < 5")
         .selectExpr("concat('EAN', lpad(cast(label as string), 3, '0')) as ean")
     )
     return knn.remove_refs(views.catalog_refs(spark, sf), gone).select("ref_id", "ean", "categoria")
@@ -210,12 +210,12 @@ def identify_status(spark, sf):
     _FULL
     + """SELECT key AS crop_id, det AS detectada, status, f_res.ean, conf AS confianza, n AS n_candidatos,
        CASE WHEN status = 'matched' THEN coalesce(p.descripcion, '') ELSE '' END AS descripcion
-FROM f_res LEFT JOIN (SELECT 'EAN' || lpad(ean::VARCHAR, 3, '0') AS ean, descripcion FROM fx_products WHERE ean < 1000) p
+FROM f_res LEFT JOIN (SELECT 'EAN' || lpad(ean::VARCHAR, greatest(3, length(ean::VARCHAR))::INTEGER, '0') AS ean, descripcion FROM fx_products) p
   ON p.ean = top_ean"""
 )
 def identify_full(spark, sf):
-    names = views.products(spark, sf).filter("ean < 1000").selectExpr(
-        "concat('EAN', lpad(cast(ean as string), 3, '0')) as ean", "descripcion"
+    names = views.products(spark, sf).selectExpr(
+        "concat('EAN', lpad(cast(ean as string), greatest(3, length(cast(ean as string))), '0')) as ean", "descripcion"
     )
     out = ident.identify(
         views.query_crops(spark, sf), views.catalog_refs(spark, sf), views.prompts(spark, sf), products=names
@@ -314,7 +314,8 @@ SELECT key AS crop_id, origen, CASE WHEN origen = 'full' THEN status ELSE bs END
 FROM o"""
 )
 def split_decision(spark, sf):
-    return ident.identify_boxes(views.split_crops(spark, sf), views.catalog_refs(spark, sf), views.prompts(spark, sf))
+    out = ident.identify_boxes(views.split_crops(spark, sf), views.catalog_refs(spark, sf), views.prompts(spark, sf))
+    return out.select("crop_id", "origen", "status", "ean", "confianza")
 
 
 @query(

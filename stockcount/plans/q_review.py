@@ -53,14 +53,14 @@ def review_items(spark, sf):
 
 
 @query(
-    """SELECT crop_id, 'run-' || run_id::VARCHAR AS execution_id, decision, nullif(status, 'pending') AS status, assigned_ean::VARCHAR AS assigned_ean
-FROM fx_review WHERE idx % 17 <> 0 AND idx % 19 <> 0 AND idx % 7 <> 0 AND idx % 11 <> 0"""
+    """SELECT CASE WHEN idx % 7 <> 0 THEN crop_id END AS crop_id, 'run-' || run_id::VARCHAR AS execution_id,
+       CASE WHEN idx % 11 <> 0 THEN decision END AS decision, nullif(status, 'pending') AS status, assigned_ean::VARCHAR AS assigned_ean
+FROM fx_review WHERE idx % 17 <> 0 AND idx % 19 <> 0"""
 )
 def review_parse(spark, sf):
     json = F.to_json(F.struct("crop_id", "execution_id", "sku_identification", "decision", "paths", "review"))
     lines = (
         _records(spark, sf)
-        .filter("idx % 7 <> 0 and idx % 11 <> 0")
         .withColumn("json", json)
         .select(
             F.when(F.col("idx") % 17 == 0, F.expr("left(json, length(json) - 3)"))
@@ -166,27 +166,25 @@ def absorb_candidates(spark, sf):
     return absorb.candidates(views.review(spark, sf)).select("idx", "run_id", "crop_id", "assigned_ean")
 
 
-@query("SELECT crop_id, assigned_ean AS ean FROM fx_review WHERE status = 'labeled' AND assigned_ean < 35")
+@query("SELECT crop_id, assigned_ean AS ean FROM fx_review WHERE status = 'labeled' AND assigned_ean IN (SELECT ean FROM fx_products WHERE activo)")
 def absorb_valid_ean(spark, sf):
     crops = absorb.candidates(views.review(spark, sf)).select("crop_id", F.col("assigned_ean").alias("ean"))
-    valid = views.products(spark, sf).filter("ean < 35").select("ean")
+    valid = views.products(spark, sf).filter("activo").select("ean")
     return absorb.known_codes(crops, valid)
 
 
 _CROPS_SQL = """WITH crops AS (
-  SELECT vec_id AS crop_id, 'EAN' || lpad((label % 8)::VARCHAR, 3, '0') AS ean, embedding FROM embeddings WHERE vec_id % 10 = 0
-  UNION ALL SELECT ref_id + 1000000, ean, embedding FROM fx_catalog_ref WHERE ref_id % 20 = 1)
+  SELECT crop_id, 'EAN' || lpad((label % 8)::VARCHAR, 3, '0') AS ean, q.embedding FROM fx_query q JOIN embeddings e ON vec_id = crop_id
+  UNION ALL SELECT ref_id + 1000000, ean, embedding FROM fx_catalog_ref)
 """
 
 
 def _crops(spark, sf):
-    """Crops to absorb: the query crops under their label and copies of some references."""
-    own = (
-        table(spark, sf, "embeddings")
-        .filter("vec_id % 10 = 0")
-        .selectExpr("vec_id as crop_id", "concat('EAN', lpad(cast(label % 8 as string), 3, '0')) as ean", "embedding")
+    """Crops to absorb: the query crops under their label and copies of the references."""
+    own = table(spark, sf, "embeddings").selectExpr(
+        "vec_id as crop_id", "concat('EAN', lpad(cast(label % 8 as string), 3, '0')) as ean", f"{views.OCCLUDED} as embedding"
     )
-    copies = views.catalog_refs(spark, sf).filter("ref_id % 20 = 1").selectExpr(
+    copies = views.catalog_refs(spark, sf).selectExpr(
         "ref_id + 1000000 as crop_id", "ean", "embedding"
     )
     return own.unionByName(copies)
@@ -213,10 +211,11 @@ def absorb_dedup_greedy(spark, sf):
 
 
 def _labelled_crops(spark, sf):
-    """Labelled review crops with a vector: documents share the embedding of their number modulo 100."""
-    vectors = table(spark, sf, "embeddings").filter("vec_id < 100").selectExpr("vec_id as k", "embedding")
+    """Labelled review crops with a vector: that of the document's number, counted round the embeddings."""
+    vectors = table(spark, sf, "embeddings").selectExpr("vec_id as k", "embedding")
+    n = max(1, vectors.count())
     crops = absorb.candidates(views.review(spark, sf)).selectExpr(
-        "idx as crop_id", "cast(assigned_ean as string) as ean", "idx as seq", "idx % 13 <> 0 as existe", "idx % 100 as k"
+        "idx as crop_id", "cast(assigned_ean as string) as ean", "idx as seq", "idx % 13 <> 0 as existe", f"idx % {n} as k"
     )
     return crops.join(vectors, "k").drop("k").withColumn(
         "embedding", F.when(F.col("crop_id") % 29 != 0, F.col("embedding"))
@@ -226,13 +225,12 @@ def _labelled_crops(spark, sf):
 def _numeric_refs(spark, sf):
     return (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 10 = 1")
         .selectExpr("vec_id as ref_id", "cast(label as string) as ean", "embedding", "'sin' as categoria")
     )
 
 
 def _valid(spark, sf):
-    return views.products(spark, sf).filter("ean < 35").selectExpr("cast(ean as string) as ean")
+    return views.products(spark, sf).filter("activo").selectExpr("cast(ean as string) as ean")
 
 
 @query()

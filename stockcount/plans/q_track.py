@@ -124,8 +124,8 @@ lifecycle AS (
   SELECT a.video_id, a.track_id, min(frame_idx) AS first_frame, max(frame_idx) AS last_frame, count(*)::BIGINT AS hits
   FROM assigned a GROUP BY 1, 2),
 ended AS (
-  SELECT *, CASE WHEN last_frame + 16 <= 719 THEN last_frame + 16 END AS end_frame,
-         CASE WHEN last_frame + 16 <= 719 THEN 'ended_in_update' ELSE 'video_end' END AS ended_reason
+  SELECT *, CASE WHEN last_frame + 16 <= (SELECT max(frame_idx) FROM fx_detections) THEN last_frame + 16 END AS end_frame,
+         CASE WHEN last_frame + 16 <= (SELECT max(frame_idx) FROM fx_detections) THEN 'ended_in_update' ELSE 'video_end' END AS ended_reason
   FROM lifecycle)
 """
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockcount.scale import numbered
@@ -15,32 +15,24 @@ _SKU = "case when event_type = 'error' then 'UNKNOWN' else event_type end"
 
 
 def detections(spark: SparkSession, sf: str) -> DataFrame:
-    first = (
-        table(spark, sf, "events")
-        .selectExpr(
-            "user_id % 10 as video_id",
-            f"{_HOUR} as frame_idx",
-            "user_id as obj_id",
-            "event_id",
-            "least(value / 100.0D, 1.0D) as conf",
-            f"{_SKU} as sku_pred",
-        )
-        .groupBy("video_id", "frame_idx", "obj_id")
-        .agg(F.min(F.struct("event_id", "conf", "sku_pred")).alias("e"))
+    """Every event as a box; further events of a user's hour are what further cameras see of the same object."""
+    events = table(spark, sf, "events").selectExpr(
+        f"{_HOUR} as frame_idx", "user_id as obj_id", "event_id", "least(value / 100.0D, 1.0D) as conf", f"{_SKU} as sku_pred"
     )
-    boxes = first.selectExpr(
-        "video_id",
+    hour = Window.partitionBy("obj_id", "frame_idx").orderBy("event_id")
+    boxes = events.withColumn("camera", F.row_number().over(hour) - 1).selectExpr(
+        "obj_id % 10 + 10 * camera as video_id",
         "frame_idx",
         "obj_id",
-        "e.event_id as event_id",
-        "e.conf as conf",
+        "event_id",
+        "conf",
         "(obj_id div 10 % 20) * 100 + frame_idx % 8 as x1",
         "(obj_id div 200) * 120 as y1",
         "(obj_id div 10 % 20) * 100 + frame_idx % 8 + 60 as x2",
         "(obj_id div 200) * 120 + 90 as y2",
         "2100 as frame_w",
         "1080 as frame_h",
-        "e.sku_pred as sku_pred",
+        "sku_pred",
     )
     # A frame may be crowded: number inside ranges of objects, then shift by the counts before.
     order = [F.col("obj_id")]
@@ -49,10 +41,11 @@ def detections(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
-    """720 hourly frames for every video that the events mention."""
-    videos = table(spark, sf, "events").selectExpr("user_id % 10 as video_id").distinct()
-    return videos.selectExpr(
-        "video_id", "explode(sequence(cast(0 as bigint), cast(719 as bigint))) as frame_idx", "30.0D as fps"
+    """Hourly frames for every video, from the first hour to the last one with an event."""
+    seen = detections(spark, sf)
+    last = table(spark, sf, "events").selectExpr(f"max({_HOUR}) as h").first()["h"] or 0
+    return seen.select("video_id").distinct().selectExpr(
+        "video_id", f"explode(sequence(cast(0 as bigint), cast({last} as bigint))) as frame_idx", "30.0D as fps"
     )
 
 
@@ -101,6 +94,9 @@ def numbered_votes(spark: SparkSession, sf: str) -> DataFrame:
     return ranked.drop("ts", "event_id")
 
 
+OCCLUDED = "transform(embedding, (e, i) -> if(i % (1 + vec_id % 8) = 0, e, 0f))"
+
+
 def _category(table_sql: str, index: str) -> str:
     return f"element_at({table_sql}, cast({index} as int) + 1)"
 
@@ -108,7 +104,6 @@ def _category(table_sql: str, index: str) -> str:
 def catalog_refs(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 10 = 1")
         .selectExpr(
             "vec_id as ref_id",
             "concat('EAN', lpad(cast(label as string), 3, '0')) as ean",
@@ -119,16 +114,16 @@ def catalog_refs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def query_crops(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("vec_id % 10 = 0").selectExpr("vec_id as crop_id", "embedding")
+    """Every vector as a crop of which the catalogue's product shows only each (1 + vec_id % 8)-th dimension."""
+    return table(spark, sf, "embeddings").selectExpr("vec_id as crop_id", f"{OCCLUDED} as embedding")
 
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 10 = 2")
         .selectExpr(
             "vec_id as prompt_id",
-            _category("array('botella','lata','bolsa','frasco')", "vec_id div 10 % 4") + " as categoria",
+            _category("array('botella','lata','bolsa','frasco')", "label % 4") + " as categoria",
             "embedding",
         )
     )
@@ -137,12 +132,11 @@ def prompts(spark: SparkSession, sf: str) -> DataFrame:
 def split_crops(spark: SparkSession, sf: str) -> DataFrame:
     return (
         table(spark, sf, "embeddings")
-        .filter("vec_id % 10 in (0, 3, 4, 5, 6)")
         .selectExpr(
             "vec_id as crop_id",
-            "embedding as full_vec",
-            "transform(embedding, (e, i) -> if(i < 32, e, 0f)) as left_vec",
-            "transform(embedding, (e, i) -> if(i >= 32, e, 0f)) as right_vec",
+            f"{OCCLUDED} as full_vec",
+            f"transform({OCCLUDED}, (e, i) -> if(i < 32, e, 0f)) as left_vec",
+            f"transform({OCCLUDED}, (e, i) -> if(i >= 32, e, 0f)) as right_vec",
             "0 as x1",
             "0 as y1",
             "60 + vec_id * 7 % 90 as x2",
