@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,11 @@ from stockcount.scale import cut
 
 # Where image addresses sit in a result page, and the default limits.
 PRIMARY_PATTERN = r'''<a\b(?=[^>]*\bclass=["'][^"'>]*\biusc\b)[^>]*"murl"\s*:\s*"([^"]*)"'''
-FALLBACK_PATTERN = r'<img\b[^>]*?\s(?:data-)?src="([^"]*)"'
+# An image's src, or its data-src if it has no src or an empty one; both quote styles, any letter case.
+FALLBACK_PATTERN = (
+    r"""(?i)<img\b(?=[^>]*?\ssrc\s*=\s*(?:"[^"]|'[^']))[^>]*?\ssrc\s*=\s*["']([^"'>]*)"""
+    r"""|<img\b(?![^>]*?\ssrc\s*=\s*(?:"[^"]|'[^']))[^>]*?\sdata-src\s*=\s*["']([^"'>]*)"""
+)
 MAX_CANDIDATES = 80
 PER_EAN = 10
 MIN_BYTES = 50_000
@@ -39,7 +45,10 @@ def candidate_urls(
     """
 
     def web(text: Column, pattern: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        # One of the pattern's groups holds the address.
+        parts = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)) for i in range(re.compile(pattern).groups)]
+        found = parts[0] if len(parts) == 1 else F.transform(whole, lambda _, i: F.concat(*[F.get(p, i) for p in parts]))
         return F.filter(F.transform(found, _address), lambda u: u.startswith(scheme))
 
     # The primary address sits in JSON inside an attribute, where quotes are written as entities.

@@ -33,6 +33,11 @@ class TrackerSettings:
     min_hits: int = 3
     min_conf_create: float = 0.55
 
+    def __post_init__(self) -> None:
+        # Boxes that don't touch are told apart by where they lie, so an overlap must be asked for.
+        if not 0 < self.iou <= 1:
+            raise ValueError("iou must be over 0 and at most 1")
+
     @property
     def reach(self) -> int:
         """Longest frame distance a track can bridge: expiry is tested after matching."""

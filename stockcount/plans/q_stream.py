@@ -34,19 +34,44 @@ def _slices(df, order: str, span: int):
         yield i, df.filter(low & high)
 
 
+_BOXES = "video_id long, frame_idx long, det_idx long, x1 long, y1 long, x2 long, y2 long, conf double"
+
+
+def _boxes(spark, sf):
+    return views.detections(spark, sf).select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf")
+
+
 @query(_ISLANDS_SQL + "SELECT video_id, frame_idx, det_idx, track_id, birth_frame, hits, age FROM assigned")
 def stream_track_assign(spark, sf):
-    schema = "video_id long, frame_idx long, det_idx long, x1 long, y1 long, x2 long, y2 long, conf double, ts timestamp"
-    boxes = views.detections(spark, sf).selectExpr(
-        "video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf", _ts("1704067200 + frame_idx * 3600") + " as ts"
-    )
-    replay = _replay(spark, "tracks", schema)
-    for i, part in _slices(boxes, "frame_idx", _FRAMES):
+    replay = _replay(spark, "tracks", _BOXES)
+    for i, part in _slices(_boxes(spark, sf), "frame_idx", _FRAMES):
         replay.feed(part, i)
-        replay.run_to_table(live.track_stream(replay.stream(), frame_ms=3_600_000))
+        replay.run_to_table(live.track_stream(replay.stream()), idle_batches=False)
     return replay.result().filter("kind = 'link'").drop("kind")
 
 
+@query(
+    _ISLANDS_SQL
+    + """SELECT 'link' AS kind, count(*)::BIGINT AS boxes, count(DISTINCT (video_id, track_id))::BIGINT AS tracks FROM assigned
+UNION ALL SELECT 'offered', count(*)::BIGINT, NULL FROM fx_detections UNION ALL SELECT 'late', 0, 0"""
+)
+def stream_track_lag(spark, sf):
+    """Videos out of step: odd ones arrive whole before the even ones begin. Nothing may be lost or late."""
+    boxes = _boxes(spark, sf)
+    replay = _replay(spark, "lag", _BOXES)
+    for i, odd in enumerate((1, 0)):
+        for j, part in _slices(boxes.filter(F.col("video_id") % 2 == odd), "frame_idx", _FRAMES):
+            replay.feed(part, i * _SLICES + j)
+            replay.run_to_table(live.track_stream(replay.stream()), idle_batches=False)
+    out = replay.result()
+    track = F.struct("video_id", "track_id")
+    linked, late = F.col("kind") == "link", F.col("kind") == "late"
+    n = out.agg(
+        F.count_if(linked).alias("l"), F.count_distinct(F.when(linked, track)).alias("t"), F.count_if(late).alias("x")
+    ).crossJoin(boxes.agg(F.count(F.lit(1)).alias("o")))
+    return n.selectExpr("inline(array(struct('link', l, t), struct('offered', o, null), struct('late', x, 0L))) as (kind, boxes, tracks)")
+
+
 @query(
     """WITH v AS (
   SELECT user_id AS entity, ts, event_id, CASE WHEN event_type <> 'error' AND least(value / 100.0, 1.0) >= 0.30 THEN least(value / 100.0, 1.0) END AS sim

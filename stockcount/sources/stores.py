@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stockcount.scale import compact, cut
+
 REVIEW_SCHEMA = """
 crop_id string, id string, timestamp string, execution_id string,
 detection struct<yolo_conf: double, bbox: array<int>>,
@@ -25,13 +27,43 @@ METRICS_SCHEMA = "timestamp string, execution_id string, video_name string, metr
 
 
 def write_refs(refs: DataFrame, path: str, replace_all: bool = True) -> None:
-    """Embedding catalogue partitioned by category, so that a category search prunes directories."""
-    writer = refs.write.partitionBy("categoria").mode("overwrite")
-    writer.option("partitionOverwriteMode", "static" if replace_all else "dynamic").parquet(path)
+    """Embedding catalogue partitioned by category, so that a category search prunes directories.
+
+    With ``replace_all`` the whole catalogue is replaced, otherwise only the products in ``refs``.
+    """
+    if replace_all:
+        _write_categories(refs, path, "static")
+    else:
+        update_refs(refs, path)
+
+
+def _write_categories(refs: DataFrame, path: str, mode: str) -> None:
+    refs.write.partitionBy("categoria").mode("overwrite").option("partitionOverwriteMode", mode).parquet(path)
+
+
+def update_refs(fresh: DataFrame, path: str) -> None:
+    """Replaces the references of the products in ``fresh`` and keeps those of all others.
+
+    Only the categories that hold or receive such a product are written again. What stays of them is
+    checkpointed first, because the same folders are overwritten; a category that loses its last product
+    keeps a row without product, which reading leaves out.
+    """
+    spark = fresh.sparkSession
+    fresh = cut(fresh)
+    stored = spark.read.parquet(path)
+    codes = compact(fresh.select("ean").distinct())
+    held = stored.join(codes, "ean", "left_semi").select("categoria")
+    touched = compact(cut(held.unionByName(fresh.select("categoria")).distinct()))
+    stays = stored.join(touched, stored["categoria"].eqNullSafe(touched["categoria"]), "left_semi").join(codes, "ean", "left_anti")
+    rows = cut(stays.filter("ean is not null").select(*fresh.columns).unionByName(fresh))
+    used = rows.select("categoria").distinct()
+    emptied = touched.join(used, touched["categoria"].eqNullSafe(used["categoria"]), "left_anti")
+    blank = emptied.select(*[F.col(c) if c == "categoria" else F.lit(None).cast(t).alias(c) for c, t in fresh.dtypes])
+    _write_categories(rows.unionByName(blank), path, "dynamic")
 
 
 def read_refs(spark: SparkSession, path: str, categories: list[str] | None = None) -> DataFrame:
-    refs = spark.read.parquet(path)
+    refs = spark.read.parquet(path).filter("ean is not null")
     return refs if categories is None else refs.filter(F.col("categoria").isin(categories))
 
 

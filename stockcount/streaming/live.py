@@ -18,14 +18,14 @@ TRACK_EVENTS = (
 )
 
 
-def _track_processor(settings: TrackerSettings, frame_ms: int):
+def _track_processor(settings: TrackerSettings, idle_ms: int):
     """Processor class, defined here so that workers receive it with the query."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     advance, reach = frame_step(settings), settings.reach
 
     class VideoTracks(StatefulProcessor):
-        """Live tracks of one video. State: last frame, next id, last event time and live tracks."""
+        """Live tracks of one video. State: last frame, next id and live tracks."""
 
         def init(self, handle):
             self.handle = handle
@@ -35,7 +35,7 @@ def _track_processor(settings: TrackerSettings, frame_ms: int):
             import json
 
             if not self.state.exists():
-                return {"last": None, "next": 1, "ts": 0, "tracks": []}
+                return {"last": None, "next": 1, "tracks": []}
             return json.loads(self.state.get()[0])
 
         def save(self, state):
@@ -68,17 +68,15 @@ def _track_processor(settings: TrackerSettings, frame_ms: int):
                         state["next"] += 1
                     out.append(("link", frame, det, t[8], t[4], t[6], frame - t[4] + 1))
                 state["last"] = frame
-            if len(pdf):
-                state["ts"] = max(state["ts"], int(pdf["ts"].max().timestamp() * 1000))
-                for timer in self.handle.listTimers():
-                    self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-                self.handle.registerTimer(state["ts"] + reach * frame_ms)
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
             state["tracks"] = tracks
             self.save(state)
             yield self.frame(key, out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            """No frame within reach can arrive any more: what is live has ended."""
+            """The video has been silent for long: what is live has ended."""
             state = self.load()
             out = [("end", t[7] + reach, -1, t[8], t[4], t[6], 0) for t in state["tracks"]]
             state["tracks"] = []
@@ -99,20 +97,19 @@ def _track_processor(settings: TrackerSettings, frame_ms: int):
     return VideoTracks()
 
 
-def track_stream(
-    detections: DataFrame, settings: TrackerSettings = DEFAULTS, frame_ms: int = 1000, delay: str = "0 seconds"
-) -> DataFrame:
-    """Track events of a stream of boxes with an event time ``ts``.
+def track_stream(detections: DataFrame, settings: TrackerSettings = DEFAULTS, idle_ms: int = 3_600_000) -> DataFrame:
+    """Track events of a stream of boxes.
 
     ``link`` rows tie a box to a track, ``end`` rows close a track, ``late`` rows are boxes of frames
-    already passed. Needs the RocksDB state store.
+    their video has already passed. Every video advances by its own frames alone, so one that lags
+    behind the others loses nothing: no watermark drops rows. Tracks of a video from which nothing has come for
+    ``idle_ms`` of processing time end. Needs the RocksDB state store.
     """
-    marked = detections.withWatermark("ts", delay)
-    return marked.groupBy("video_id").transformWithStateInPandas(
-        statefulProcessor=_track_processor(settings, frame_ms),
+    return detections.groupBy("video_id").transformWithStateInPandas(
+        statefulProcessor=_track_processor(settings, idle_ms),
         outputStructType=TRACK_EVENTS,
         outputMode="Append",
-        timeMode="EventTime",
+        timeMode="ProcessingTime",
     )
 
 
@@ -171,11 +168,16 @@ class Replay:
     def feed(self, rows: DataFrame, slice_no: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.source}/s{slice_no:05d}")
 
-    def run_to_table(self, output: DataFrame) -> None:
+    def run_to_table(self, output: DataFrame, idle_batches: bool = True) -> None:
+        """One run over what is there. Timers on processing time ask for batches without data for ever: switch these off."""
         # State partitions stay fixed for the life of a checkpoint: one per core is enough for a replay.
         key = "spark.sql.shuffle.partitions"
         partitions = min(int(self.spark.conf.get(key)), self.spark.sparkContext.defaultParallelism)
-        settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, key: str(partitions)}
+        settings = {
+            "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+            "spark.sql.streaming.noDataMicroBatches.enabled": str(idle_batches).lower(),
+            key: str(partitions),
+        }
         before = {k: self.spark.conf.get(k) for k in settings}
         for k, v in settings.items():
             self.spark.conf.set(k, v)

@@ -5,12 +5,11 @@ from stockcount.streaming import live
 from tests.test_tracking import SCHEMA, crowd
 
 
-def feed(spark, tmp_path, slices, delay="0 seconds"):
-    replay = live.Replay(spark, str(tmp_path), SCHEMA + ", ts timestamp")
+def feed(spark, tmp_path, slices):
+    replay = live.Replay(spark, str(tmp_path), SCHEMA)
     for i, rows in enumerate(slices):
-        part = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "timestamp_seconds(1704067200 + frame_idx) as ts")
-        replay.feed(part, i)
-        replay.run_to_table(live.track_stream(replay.stream(), frame_ms=1000, delay=delay))
+        replay.feed(spark.createDataFrame(rows, SCHEMA), i)
+        replay.run_to_table(live.track_stream(replay.stream()), idle_batches=False)
     return replay.result()
 
 
@@ -27,8 +26,22 @@ def test_stream_equals_batch(spark, tmp_path):
 def test_late_boxes_and_ends(spark, tmp_path):
     box = (0, 0, 60, 60, 0.9)
     slices = [[(0, 0, 0, *box), (0, 5, 0, *box)], [(0, 3, 0, *box), (0, 22, 0, *box)]]
-    # Within the allowed delay a passed frame reaches the tracker, which sets it aside.
-    out = feed(spark, tmp_path, slices, "10 seconds").collect()
+    # A passed frame reaches the tracker, which sets it aside.
+    out = feed(spark, tmp_path, slices).collect()
     assert [(r.frame_idx, r.track_id) for r in out if r.kind == "late"] == [(3, -1)]
     assert [(r.frame_idx, r.track_id, r.hits) for r in out if r.kind == "end"] == [(21, 1, 2)]
     assert sorted((r.frame_idx, r.track_id) for r in out if r.kind == "link") == [(0, 1), (5, 1), (22, 2)]
+
+
+def test_a_lagging_video_loses_nothing(spark, tmp_path):
+    rows = crowd(3, videos=2, frames=60, objects=4)
+    first, second = ([r for r in rows if r[0] == v] for v in (0, 1))
+    half = [r for r in second if r[1] < 30]
+    late = [r for r in second if r[1] == 10]
+    out = feed(spark, tmp_path, [first, half, [r for r in second if r[1] >= 30] + late]).collect()
+    links = {(r.video_id, r.frame_idx, r.det_idx, r.track_id) for r in out if r.kind == "link"}
+    batch = T.track_assign(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert links == {(r.video_id, r.frame_idx, r.det_idx, r.track_id) for r in batch}
+    # Every box offered is linked, set aside as late, or was left unlinked by the batch tracker as well.
+    assert sum(r.kind == "late" for r in out) == len(late)
+    assert len(links) + (len(rows) - len(batch)) == len(rows)
