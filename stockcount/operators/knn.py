@@ -25,6 +25,13 @@ def usable(df: DataFrame, dimension: int | None, col: str = "embedding") -> Data
     return df.filter(F.col(col).isNotNull()) if dimension is None else df.filter(F.size(col) == dimension)
 
 
+def common_size(refs: DataFrame) -> int | None:
+    """The vector size that most references have; the smaller one of equals. A small aggregation."""
+    sizes = refs.filter(F.size("embedding") > 0).groupBy(F.size("embedding").alias("d")).count()
+    found = sizes.orderBy(F.desc("count"), "d").first()
+    return found["d"] if found else None
+
+
 def mean_vectors(refs: DataFrame, key: str) -> DataFrame:
     """Mean of the normalised vectors per key, combined on the map side."""
     unit = array_to_vector(vec.normalize(F.col("embedding")))
@@ -37,7 +44,12 @@ def centroids(refs: DataFrame, key: str = "ean") -> DataFrame:
 
 
 def search(queries: DataFrame, refs: DataFrame, k: int = 3, dimension: int | None = None, **kw) -> DataFrame:
-    """The ``k`` products most similar to each crop over the whole catalogue."""
+    """The ``k`` products most similar to each crop over the whole catalogue.
+
+    Vectors of another size than ``dimension`` (the common one of the references if not given) match nothing.
+    """
+    dimension = dimension or common_size(refs)
+    refs = usable(refs, dimension)
     q = usable(queries, dimension).select(F.lit(WHOLE).alias("scope"), F.col("crop_id").alias("key"), F.col("embedding").alias("vec"))
     r = refs.select(F.lit(WHOLE).alias("scope"), F.col("ean").alias("label"), F.col("embedding").alias("vec"))
     return _named(best_labels(q, r, k, **kw))
@@ -59,6 +71,8 @@ def search_in_category(
     fallback crops go through one join on the scope. Crops with a column ``tag`` keep it and appear
     with a null product when nothing is found.
     """
+    dimension = dimension or common_size(refs)
+    refs = usable(refs, dimension)
     category = F.lower("categoria")
     known = refs.select(category.alias("known")).filter("known <> ''").distinct()
     # The crops carry their vectors: keep them in place as long as the categories are few.
@@ -77,8 +91,13 @@ def search_in_category(
     return _named(best_labels(q, r, k, **kw))
 
 
-def search_detailed(queries: DataFrame, refs: DataFrame, k: int = 3) -> DataFrame:
-    """Best ``k`` products by centroid, with the maximum and mean similarity to their references."""
+def search_detailed(queries: DataFrame, refs: DataFrame, k: int = 3, dimension: int | None = None) -> DataFrame:
+    """Best ``k`` products by centroid, with the maximum and mean similarity to their references.
+
+    Vectors of another size than ``dimension`` (the common one if not given) match nothing.
+    """
+    dimension = dimension or common_size(refs)
+    queries, refs = usable(queries, dimension), usable(refs, dimension)
     means = mean_vectors(refs, "ean")
     by_center = means.select(
         F.lit(WHOLE).alias("scope"), F.col("ean").alias("label"), vec.normalize(F.col("mean")).alias("vec")
@@ -106,13 +125,16 @@ def search_detailed(queries: DataFrame, refs: DataFrame, k: int = 3) -> DataFram
 
 
 def classify_packaging(
-    queries: DataFrame, prompts: DataFrame, k: int = 1, min_sim: float = MIN_CATEGORY_SIM
+    queries: DataFrame, prompts: DataFrame, k: int = 1, min_sim: float = MIN_CATEGORY_SIM, dimension: int | None = None
 ) -> DataFrame:
     """Packaging category per crop from per-category prompt centroids.
 
     Columns crop_id, rank, categoria, similitud, detectada; ``detectada`` is ``otro`` below the
-    minimum. A zero vector gets the first category with similarity 0.
+    minimum. A zero vector gets the first category with similarity 0, a vector of another size than the
+    prompts' none at all.
     """
+    dimension = dimension or common_size(prompts)
+    queries, prompts = usable(queries, dimension), usable(prompts, dimension)
     q = queries.select(F.lit(WHOLE).alias("scope"), F.col("crop_id").alias("key"), F.col("embedding").alias("vec"))
     r = centroids(prompts, "categoria").select(
         F.lit(WHOLE).alias("scope"), F.col("categoria").alias("label"), F.col("centroid").alias("vec")
@@ -132,8 +154,10 @@ def tag_packaging(crops: DataFrame, prompts: DataFrame, skip: Column | None = No
 
     The category centroids are few: after a check of their number they travel to the tasks and each
     row is classified where it lies, without moving vectors. With more of them the crops are matched
-    like against any other catalogue.
+    like against any other catalogue. On both ways a vector of another size than the prompts' gets null.
     """
+    size = common_size(prompts)
+    prompts = usable(prompts, size)
     few = centroids(prompts, "categoria").limit(FEW_CATEGORIES + 1)
     rows = few.collect()
     wanted = F.col("embedding") if skip is None else F.when(~skip, F.col("embedding"))
@@ -141,7 +165,7 @@ def tag_packaging(crops: DataFrame, prompts: DataFrame, skip: Column | None = No
         return crops.withColumn("detectada", F.lit(NO_CATEGORY))
     if len(rows) > FEW_CATEGORIES:
         open_crops = crops.select("crop_id", wanted.alias("embedding")).filter(F.col("embedding").isNotNull())
-        found = classify_packaging(open_crops, prompts, 1, min_sim).select("crop_id", "detectada")
+        found = classify_packaging(open_crops, prompts, 1, min_sim, size).select("crop_id", "detectada")
         return crops.join(found, "crop_id", "left")
     return crops.withColumn("detectada", _classifier(rows, crops, min_sim)(wanted))
 

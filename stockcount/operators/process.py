@@ -39,7 +39,8 @@ def process_videos(
 ) -> Outcome:
     """Filter, link, identify once, vote, count.
 
-    ``boxes`` has the box columns, frame_w, frame_h, conf and ``embedding``. Each box is identified
+    ``boxes`` has the box columns, frame_w, frame_h, conf and ``embedding``; with ``left_vec`` and
+    ``right_vec`` doubtful wide boxes are split and the better half may decide. Each box is identified
     once; votes, frame counts and the review queue read the stored result.
     """
     kept = det.tracking_filter(boxes)
@@ -47,11 +48,12 @@ def process_videos(
     key = F.concat_ws("/", "video_id", "frame_idx", "det_idx").alias("crop_id")
     place = ["video_id", "frame_idx", "det_idx"]
     usable = det.crop_rects(kept)
-    result = cut(
-        ident.identify(usable.select(key, "embedding"), refs, prompts).select(
-            "crop_id", "detectada", "status", "ean", "confianza", "top_matches"
-        )
-    )
+    if {"left_vec", "right_vec"} <= set(boxes.columns):
+        shape = ["left_vec", "right_vec", "x1", "y1", "x2", "y2", "frame_w", "frame_h", "conf"]
+        found = ident.identify_boxes(usable.select(key, F.col("embedding").alias("full_vec"), *shape), refs, prompts)
+    else:
+        found = ident.identify(usable.select(key, "embedding"), refs, prompts)
+    result = cut(found.select("crop_id", "detectada", "status", "ean", "confianza", "top_matches"))
     parts = F.split("crop_id", "/")
     located = result.withColumns({c: F.get(parts, F.lit(i)).cast("long") for i, c in enumerate(place)})
     ballots = assigned.join(located, place).select(

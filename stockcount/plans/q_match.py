@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockcount.functions import vectors as vec
@@ -9,7 +11,8 @@ from stockcount.functions.numbers import decimals
 from stockcount.operators import identify as ident
 from stockcount.operators import knn
 from stockcount.plans.registry import query
-from stockcount.sources import views
+from stockcount.scale import shared_dir
+from stockcount.sources import stores, views
 from stockcount.sources.tables import table
 
 
@@ -175,6 +178,23 @@ def catalog_replace_refs(spark, sf):
     return knn.replace_refs(views.catalog_refs(spark, sf), fresh).select("ref_id", "ean")
 
 
+@query(
+    """WITH fresh AS (
+  SELECT vec_id + 1000000 AS ref_id, 'EAN' || lpad(label::VARCHAR, 3, '0') AS ean, 'botella' AS categoria FROM embeddings WHERE label < 4),
+s AS (SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT ean FROM fresh) UNION ALL SELECT * FROM fresh)
+SELECT ean, categoria, count(*)::BIGINT AS n, sum(ref_id)::BIGINT AS suma FROM s WHERE categoria IN ('botella', 'bolsa') GROUP BY 1, 2"""
+)
+def catalog_store_update(spark, sf):
+    """The stored catalogue after some products were replaced; two categories are read back."""
+    path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"
+    refs = views.catalog_refs(spark, sf)
+    stores.write_refs(refs, path)
+    moved = refs.filter("substring(ean, 4) < '004'").withColumns({"ref_id": F.col("ref_id") + 1_000_000, "categoria": F.lit("botella")})
+    stores.update_refs(moved, path)
+    kept = stores.read_refs(spark, path, ["botella", "bolsa"])
+    return kept.groupBy("ean", "categoria").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_id").alias("suma"))
+
+
 @query("SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT 'EAN' || lpad(label::VARCHAR, 3, '0') FROM embeddings WHERE label < 5)")
 def catalog_remove_refs(spark, sf):
     gone = (
@@ -247,6 +267,20 @@ def identify_stats(spark, sf):
     return ident.session_stats(_identified(spark, sf))
 
 
+@query(
+    _FULL
+    + """SELECT key AS crop_id, CASE WHEN key % 20 = 1 THEN 'unknown' ELSE status END AS status,
+       CASE WHEN key % 20 = 1 THEN 'UNKNOWN' ELSE ean END AS ean, CASE WHEN key % 20 = 1 THEN 0.0::DOUBLE ELSE conf END AS confianza FROM f_res"""
+)
+def identify_wrong_size(spark, sf):
+    """Vectors of another size among the crops find nothing; the others are not affected."""
+    crops = views.query_crops(spark, sf).withColumn(
+        "embedding", F.when(F.col("crop_id") % 20 == 1, F.slice("embedding", 1, 32)).otherwise(F.col("embedding"))
+    )
+    out = ident.identify(crops, views.catalog_refs(spark, sf), views.prompts(spark, sf))
+    return out.select("crop_id", "status", "ean", "confianza")
+
+
 def _profile_sql(name: str, unknown: float, match: float, margin: float) -> str:
     return (
         f"SELECT '{name}' AS perfil, CASE WHEN s1 IS NULL OR s1 < {unknown}::DOUBLE THEN 'unknown' "

@@ -67,6 +67,20 @@ def run_detail(spark, sf):
     return runs.detail(views.run_items(spark, sf), views.products(spark, sf))
 
 
+@query(
+    """WITH r AS (SELECT max(ejecucion_id) AS id FROM fx_run_items)
+SELECT id, video_nombre, (row_number() OVER (ORDER BY cantidad_dedup DESC, i.ean) - 1)::INTEGER AS pos, i.ean, p.descripcion, i.cantidad_dedup, i.cantidad_raw
+FROM fx_run_items i JOIN r ON ejecucion_id = id JOIN fx_runs USING (id) JOIN fx_products p ON p.ean = i.ean"""
+)
+def run_detail_nested(spark, sf):
+    """The items nested in the latest run that has any, in their order."""
+    items = views.run_items(spark, sf)
+    last = items.agg(F.max("ejecucion_id").alias("id")).first()["id"]
+    nested = runs.run_detail(last, views.runs(spark, sf), items, views.products(spark, sf))
+    flat = nested.select("id", "video_nombre", F.posexplode("detecciones").alias("pos", "d"))
+    return flat.select("id", "video_nombre", "pos", "d.ean", "d.descripcion", "d.cantidad_dedup", "d.cantidad_raw")
+
+
 @query(
     """WITH u AS (SELECT ean, sum(cantidad_dedup)::BIGINT AS cantidad FROM fx_run_items GROUP BY 1)
 SELECT u.ean, u.cantidad, coalesce(p.descripcion, '') AS nombre
@@ -110,20 +124,20 @@ def run_register_rows(spark, sf):
 @query(
     """WITH m AS (
   SELECT run_id, run_id % 5 AS serie, printf('%.4f', 100.0::DOUBLE * count_if(decision = 'unknown') / count(*))::DOUBLE AS unknown_pct,
-         printf('%.4f', 100.0::DOUBLE * count_if(status = 'pending') / count(*))::DOUBLE AS pending_pct FROM fx_review GROUP BY 1)
-SELECT run_id, serie, unknown_pct, pending_pct,
+         printf('%.4f', 100.0::DOUBLE * count_if(decision = 'ambiguous') / count(*))::DOUBLE AS ambiguous_pct FROM fx_review GROUP BY 1)
+SELECT run_id, serie, unknown_pct, ambiguous_pct,
        printf('%.4f', unknown_pct - lag(unknown_pct) OVER (PARTITION BY serie ORDER BY run_id))::DOUBLE AS delta_unknown_pct,
-       printf('%.4f', pending_pct - lag(pending_pct) OVER (PARTITION BY serie ORDER BY run_id))::DOUBLE AS delta_pending_pct
+       printf('%.4f', ambiguous_pct - lag(ambiguous_pct) OVER (PARTITION BY serie ORDER BY run_id))::DOUBLE AS delta_ambiguous_pct
 FROM m"""
 )
 def metrics_trend(spark, sf):
     total = F.count(F.lit(1))
     share = lambda cond: decimals(100.0 * F.count_if(cond) / total, 4)
     metrics = views.review(spark, sf).groupBy("run_id").agg(
-        share(F.col("decision") == "unknown").alias("unknown_pct"), share(F.col("status") == "pending").alias("pending_pct")
+        share(F.col("decision") == "unknown").alias("unknown_pct"), share(F.col("decision") == "ambiguous").alias("ambiguous_pct")
     )
     series = metrics.withColumn("serie", F.col("run_id") % 5)
-    return runs.metrics_trend(series, "serie", "run_id", ["unknown_pct", "pending_pct"])
+    return runs.metrics_trend(series, "serie", "run_id", ["unknown_pct", "ambiguous_pct"])
 
 
 @query(

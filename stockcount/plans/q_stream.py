@@ -69,7 +69,7 @@ def stream_track_lag(spark, sf):
     n = out.agg(
         F.count_if(linked).alias("l"), F.count_distinct(F.when(linked, track)).alias("t"), F.count_if(late).alias("x")
     ).crossJoin(boxes.agg(F.count(F.lit(1)).alias("o")))
-    return n.selectExpr("inline(array(struct('link', l, t), struct('offered', o, null), struct('late', x, 0L))) as (kind, boxes, tracks)")
+    return n.selectExpr("stack(3, 'link', l, t, 'offered', o, cast(null as bigint), 'late', x, 0L) as (kind, boxes, tracks)")
 
 
 @query(

@@ -97,6 +97,20 @@ def track_summary(spark, sf):
     return votes.track_summary(votes.track_decisions(views.votes(spark, sf)))
 
 
+@query(
+    _DECISION_SQL
+    + """SELECT d.track_id, d.final_sku, p.sku, p.votes, r.rank::INTEGER AS rank FROM decisions d
+JOIN per_sku p USING (track_id) LEFT JOIN (SELECT * FROM ranked WHERE rank <= 5) r ON r.track_id = d.track_id AND r.sku = p.sku"""
+)
+def track_summary_documents(spark, sf):
+    """The nested documents of the summary, laid out per vote with its place among the alternatives."""
+    numbered = views.votes(spark, sf)
+    docs = votes.track_summary_documents(numbered, votes.track_decisions(numbered))
+    flat = docs.select("track_id", "final_sku", F.explode("votes").alias("sku", "votes"), "top_matches")
+    place = F.array_position(F.transform("top_matches", lambda m: m["sku"]), F.col("sku"))
+    return flat.select("track_id", "final_sku", "sku", "votes", F.nullif(place, F.lit(0)).cast("int").alias("rank"))
+
+
 # The boxes of the fixture carry object identities and never overlap between objects, so linking them
 # must give back the sessions of each object broken at gaps of more than 16 frames.
 _ISLANDS_SQL = """

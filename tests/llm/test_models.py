@@ -157,7 +157,7 @@ def test_machine_learns_a_pair_that_no_sum_of_weights_can():
         feature += held
         y.append(int(a != b))
     owner, feature, y = np.array(owner), np.array(feature), np.array(y, float)
-    model = toxicity.train(owner, feature, y, 22, rounds=600)
+    model = toxicity.train(owner, feature, y, 22, steps=600)
     right = ((toxicity._logits(model, owner, feature, len(y)) > 0) == (y > 0)).mean()
     assert right > 0.95
 

@@ -102,7 +102,9 @@ def test_records_empty_table(spark, tmp_path):
 def test_damaged_records_are_found():
     record = records.frame(7, np.array([1, 2, 3], dtype=np.uint32))
     doc_id, ids = records.unframe(record)
-    assert doc_id == 7 and ids.tolist() == [1, 2, 3] and struct.unpack_from("<Q", record)[0] == 9 + 12
+    assert doc_id == 7 and ids.tolist() == [1, 2, 3] and struct.unpack_from("<Q", record)[0] == 10 + 6
+    wide = records.unframe(records.frame(7, np.array([1, 1 << 20], dtype=np.uint32)))[1]
+    assert wide.tolist() == [1, 1 << 20]
     assert records.unframe(records.frame(None, ids))[0] is None
     for k in range(len(record)):
         bad = bytearray(record)
