@@ -148,7 +148,24 @@ def det_topk_per_frame(spark, sf):
     return top.select("video_id", "frame_idx", "rank", "l_orderkey", "l_linenumber", "conf")
 
 
-@query()
+# Frame by frame the boxes in order of confidence, each against those kept so far.
+@query(
+    """WITH RECURSIVE b AS (SELECT *, l_orderkey * 10 + l_linenumber AS box_id FROM fx_raw_boxes WHERE conf >= 0.25),
+o AS (SELECT *, row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY conf DESC, box_id) AS r FROM b WHERE x2 > x1 AND y2 > y1),
+g AS (
+  SELECT DISTINCT video_id, frame_idx, 0::BIGINT AS r, []::STRUCT(id BIGINT, x1 BIGINT, y1 BIGINT, x2 BIGINT, y2 BIGINT)[] AS kept FROM o
+  UNION ALL
+  SELECT g.video_id, g.frame_idx, o.r, CASE WHEN len(list_filter(g.kept, lambda k:
+      greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))
+      > 0.55::DOUBLE * ((k.x2 - k.x1) * (k.y2 - k.y1) + (o.x2 - o.x1) * (o.y2 - o.y1)
+        - greatest(0, least(k.x2, o.x2) - greatest(k.x1, o.x1)) * greatest(0, least(k.y2, o.y2) - greatest(k.y1, o.y1))))) = 0
+    THEN list_append(g.kept, {'id': o.box_id, 'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2}) ELSE g.kept END
+  FROM g JOIN o ON o.video_id = g.video_id AND o.frame_idx = g.frame_idx AND o.r = g.r + 1),
+won AS (
+  SELECT unnest(list_transform(kept, lambda k: k.id)) AS box_id FROM (
+    SELECT kept FROM g QUALIFY row_number() OVER (PARTITION BY video_id, frame_idx ORDER BY r DESC) = 1))
+SELECT video_id, frame_idx, box_id, conf, x1, y1, x2, y2 FROM b WHERE x2 <= x1 OR y2 <= y1 OR box_id IN (SELECT box_id FROM won)"""
+)
 def det_nms(spark, sf):
     boxes = det.confident(views.raw_boxes(spark, sf)).withColumn(
         "box_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")

@@ -203,7 +203,29 @@ def absorb_dedup_existing(spark, sf):
     return verdicts.select("crop_id", "ean", decimals("max_sim", 6).alias("max_sim"), "duplicado")
 
 
-@query()
+def _greedy_sql(source: str) -> str:
+    """CTEs ending in won(crop_id): of ``source`` (crop_id, ean, seq, v, max_sim) what is kept, one after the other."""
+    return f"""f AS (SELECT *, row_number() OVER (PARTITION BY ean ORDER BY seq) AS r FROM {source} WHERE coalesce(max_sim, -1) < 0.95),
+g AS (
+  SELECT DISTINCT ean, 0::BIGINT AS r, []::STRUCT(id BIGINT, v DOUBLE[])[] AS kept FROM f
+  UNION ALL
+  SELECT g.ean, f.r, CASE WHEN len(list_filter(g.kept, lambda k: list_cosine_similarity(k.v, f.v) >= 0.95)) = 0
+    THEN list_append(g.kept, {{'id': f.crop_id, 'v': f.v}}) ELSE g.kept END
+  FROM g JOIN f ON f.ean = g.ean AND f.r = g.r + 1),
+won AS (
+  SELECT unnest(list_transform(kept, lambda k: k.id)) AS crop_id FROM (
+    SELECT kept FROM g QUALIFY row_number() OVER (PARTITION BY ean ORDER BY r DESC) = 1))"""
+
+
+@query(
+    _CROPS_SQL.replace("WITH ", "WITH RECURSIVE ")
+    + """, offered AS (
+  SELECT crop_id, ean, embedding::DOUBLE[] AS v FROM crops UNION ALL SELECT crop_id + 5000000, ean, embedding::DOUBLE[] FROM crops),
+near AS (SELECT o.crop_id, max(list_cosine_similarity(v, r.embedding::DOUBLE[])) AS m FROM offered o JOIN fx_catalog_ref r USING (ean) GROUP BY 1),
+measured AS (SELECT o.crop_id, o.ean, o.crop_id AS seq, o.v, m AS max_sim FROM offered o LEFT JOIN near USING (crop_id)), """
+    + _greedy_sql("measured")
+    + " SELECT crop_id FROM won"
+)
 def absorb_dedup_greedy(spark, sf):
     crops = _crops(spark, sf)
     twice = crops.unionByName(crops.withColumn("crop_id", F.col("crop_id") + 5_000_000))
@@ -233,12 +255,35 @@ def _valid(spark, sf):
     return views.products(spark, sf).filter("activo").selectExpr("cast(ean as string) as ean")
 
 
-@query()
+_OUTCOMES_SQL = (
+    """WITH RECURSIVE c AS (
+  SELECT idx AS crop_id, assigned_ean::VARCHAR AS ean, idx AS seq, idx % 13 <> 0 AS existe,
+         CASE WHEN idx % 29 <> 0 THEN embedding::DOUBLE[] END AS v, assigned_ean IN (SELECT ean FROM fx_products WHERE activo) AS valido
+  FROM fx_review JOIN embeddings ON vec_id = idx % (SELECT count(*) FROM embeddings)
+  WHERE status = 'labeled' AND assigned_ean IS NOT NULL),
+near AS (
+  SELECT crop_id, max(list_cosine_similarity(v, e.embedding::DOUBLE[])) AS m FROM c JOIN embeddings e ON e.label::VARCHAR = c.ean
+  WHERE v IS NOT NULL GROUP BY 1),
+measured AS (SELECT crop_id, ean, seq, v, m AS max_sim FROM c LEFT JOIN near USING (crop_id) WHERE valido AND existe AND v IS NOT NULL), """
+    + _greedy_sql("measured")
+    + f""", outcome AS (
+  SELECT crop_id, ean, seq, v, CASE WHEN NOT valido THEN '{absorb.INVALID}' WHEN NOT existe THEN '{absorb.MISSING}'
+         WHEN v IS NULL OR crop_id IN (SELECT crop_id FROM won) THEN '{absorb.COPIED}' ELSE '{absorb.DUPLICATE}' END AS resultado FROM c)
+"""
+)
+
+
+@query(_OUTCOMES_SQL + "SELECT crop_id, ean, seq, resultado FROM outcome")
 def absorb_outcomes(spark, sf):
     return absorb.outcomes(_labelled_crops(spark, sf), _numeric_refs(spark, sf), _valid(spark, sf))
 
 
-@query()
+@query(
+    _OUTCOMES_SQL
+    + f"""SELECT count_if(resultado = '{absorb.COPIED}')::BIGINT AS copiados,
+       count_if(resultado IN ('{absorb.INVALID}', '{absorb.MISSING}'))::BIGINT AS errores,
+       count_if(resultado = '{absorb.DUPLICATE}')::BIGINT AS dedup_skipped, count_if(resultado = '{absorb.INVALID}')::BIGINT AS invalid_ean FROM outcome"""
+)
 def absorb_summary(spark, sf):
     return absorb.summary(absorb_outcomes(spark, sf))
 
@@ -258,7 +303,14 @@ def absorb_target_names(spark, sf):
     return absorb.target_names(crops)
 
 
-@query()
+@query(
+    _OUTCOMES_SQL
+    + f""", info AS (SELECT ean::VARCHAR AS ean, packaging_type_id AS categoria, descripcion FROM fx_products),
+copied AS (SELECT * FROM outcome WHERE resultado = '{absorb.COPIED}')
+SELECT label::VARCHAR AS ean, vec_id::VARCHAR AS ref_id, coalesce(i.categoria, 'sin') AS categoria, i.descripcion
+FROM embeddings LEFT JOIN (SELECT * FROM info WHERE ean IN (SELECT ean FROM copied)) i ON i.ean = label::VARCHAR
+UNION ALL SELECT c.ean, 'crop-' || crop_id::VARCHAR, i.categoria, i.descripcion FROM copied c LEFT JOIN info i ON i.ean = c.ean WHERE v IS NOT NULL"""
+)
 def absorb_apply(spark, sf):
     info = views.products(spark, sf).selectExpr(
         "cast(ean as string) as ean", "packaging_type_id as categoria", "descripcion"
