@@ -84,7 +84,12 @@ def _final_sku(p: VoteProfile) -> Column:
 def track_decisions(votes: DataFrame, profile: VoteProfile | str = BALANCED) -> DataFrame:
     """One decision per track; a track without scored frames is UNKNOWN with zero confidence."""
     p = vote_profile(profile) if isinstance(profile, str) else profile
-    return track_tallies(votes, p).select(
+    return decide_tallies(track_tallies(votes, p), p)
+
+
+def decide_tallies(tallies: DataFrame, p: VoteProfile = BALANCED) -> DataFrame:
+    """The decision of each row of ``track_tallies``; works on a stream as well."""
+    return tallies.select(
         "track_id",
         _final_sku(p).alias("final_sku"),
         F.coalesce(decimals(F.col("top_votes") / F.col("frames_scored"), 4), F.lit(0.0)).alias("confidence"),

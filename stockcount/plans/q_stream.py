@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from stockcount.plans.q_track import _ISLANDS_SQL
+from stockcount.plans.q_track import _DECISION_SQL, _ISLANDS_SQL
 from stockcount.plans.registry import query
 from stockcount.scale import shared_dir
 from stockcount.sources import views
@@ -87,7 +87,7 @@ def stream_vote_sessions(spark, sf):
     rows = views_votes_with_time(spark, sf)
     replay = _replay(spark, "sessions", "entity long, sku string, sim double, ts timestamp")
     for i, part in _slices(rows, "hour", _FRAMES):
-        replay.feed(part.drop("hour"), i)
+        replay.feed(part.select("entity", "sku", "sim", "ts"), i)
         replay.run_to_table(live.vote_sessions(replay.stream(), "16 hours", "1 hour"))
     closed = replay.result()
     return closed.select(
@@ -100,11 +100,28 @@ def stream_vote_sessions(spark, sf):
     )
 
 
+@query(
+    _DECISION_SQL
+    + """SELECT * FROM decisions WHERE track_id IN (
+  SELECT user_id * 100 + day(ts) FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)"""
+)
+def stream_track_decisions(spark, sf):
+    """Tracks decided while their votes arrive; those still open at the end of the stream are not out yet."""
+    rows = views_votes_with_time(spark, sf)
+    replay = _replay(spark, "decisions", "track_id long, sku string, sim double, ts timestamp, event_id long")
+    for i, part in _slices(rows, "hour", _FRAMES):
+        replay.feed(part.select("track_id", "sku", "sim", "ts", "event_id"), i)
+        replay.run_to_table(live.vote_decisions(replay.stream(), 24 * 3_600_000, "1 hour"))
+    return replay.result()
+
+
 def views_votes_with_time(spark, sf):
     """Votes with an event time; a timestamp without zone cannot carry a watermark."""
     micros = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01', ts)"
     return table(spark, sf, "events").selectExpr(
         "user_id as entity",
+        "user_id * 100 + dayofmonth(ts) as track_id",
+        "event_id",
         "case when event_type = 'error' then 'UNKNOWN' else event_type end as sku",
         "least(value / 100.0D, 1.0D) as sim",
         f"timestamp_micros({micros}) as ts",

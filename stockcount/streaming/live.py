@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stockcount.functions.decision import VoteProfile
+from stockcount.functions.numbers import decimals
 from stockcount.operators.inventory import frame_counts
 from stockcount.operators.tracking import DEFAULTS, TrackerSettings, frame_step
+from stockcount.operators.votes import BALANCED, decide_tallies, scored_vote
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 TRACK_EVENTS = (
@@ -128,6 +131,76 @@ def vote_sessions(votes: DataFrame, gap: str, delay: str, min_sim: float = 0.30)
     )
 
 
+TALLIES = "track_id long, frames_seen long, frames_scored long, top_sku string, top_votes long, top_sim_sum double"
+
+
+def _vote_processor(gap_ms: int):
+    """Processor class of open tracks, defined here so that workers receive it with the query."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class OpenTracks(StatefulProcessor):
+        """Votes per product of one track. State: frames seen, last time, and per product votes, sum and first vote."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.state = handle.getValueState("track", "blob string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            import json
+
+            state = json.loads(self.state.get()[0]) if self.state.exists() else {"seen": 0, "last": 0, "skus": {}}
+            for pdf in rows:
+                state["seen"] += len(pdf)
+                state["last"] = max(state["last"], int(pdf["us"].max()) // 1000)
+                for sku, part in pdf[pdf["sku"].notna()].groupby("sku"):
+                    votes, total, first = state["skus"].get(sku, (0, 0.0, None))
+                    here = min([int(u), int(e)] for u, e in zip(part["us"], part["event_id"]))
+                    state["skus"][sku] = (votes + len(part), total + float(part["sim4"].sum()), min(first or here, here))
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+            self.handle.registerTimer(state["last"] + gap_ms)
+            self.state.update((json.dumps(state),))
+            yield self.frame([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            """The pause is over the gap: the track is closed with what it has."""
+            import json
+
+            state = json.loads(self.state.get()[0])
+            self.state.clear()
+            best = min(((-n, first, sku, total) for sku, (n, total, first) in state["skus"].items()), default=None)
+            scored = sum(n for n, _, _ in state["skus"].values())
+            lead = (best[2], -best[0], best[3]) if best else (None, None, None)
+            yield self.frame([(key[0], state["seen"], scored, *lead)])
+
+        def frame(self, rows):
+            import pandas as pd
+
+            names = ["track_id", "frames_seen", "frames_scored", "top_sku", "top_votes", "top_sim_sum"]
+            return pd.DataFrame(rows, columns=names).astype({"top_votes": "Int64", "top_sim_sum": "Float64"})
+
+        def close(self):
+            pass
+
+    return OpenTracks()
+
+
+def vote_decisions(votes: DataFrame, gap_ms: int, delay: str, profile: VoteProfile = BALANCED) -> DataFrame:
+    """The decision of a track as soon as it has been silent for ``gap_ms``, from a stream of its votes.
+
+    ``votes`` has track_id, sku, sim, ts and event_id, which orders votes of equal time. Needs the RocksDB
+    state store.
+    """
+    marked = votes.withWatermark("ts", delay).withColumn("sim4", decimals("sim", 4))
+    ready = marked.select(
+        "track_id", "ts", F.unix_micros("ts").alias("us"), "event_id", F.when(scored_vote(profile.min_sim_vote), F.col("sku")).alias("sku"), "sim4"
+    )
+    tallies = ready.groupBy("track_id").transformWithStateInPandas(
+        statefulProcessor=_vote_processor(gap_ms), outputStructType=TALLIES, outputMode="Append", timeMode="EventTime"
+    )
+    return decide_tallies(tallies, profile)
+
+
 def review_stream(records: DataFrame, delay: str) -> DataFrame:
     """Review queue entries without repeated crops."""
     return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["crop_id"])
