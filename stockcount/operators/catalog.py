@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +38,10 @@ SYNC_FIELDS = ("descripcion", "packaging_type_id", "brand", "size", "variant")
 UPDATABLE = (*SYNC_FIELDS, "n_imagenes", "embeddings_calculados", "embeddings_path", "fecha_embeddings", "activo")
 
 
+# Search terms that meet a product at once.
+TERMS_PER_BLOCK = 500
+
+
 def packaging_seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PACKAGING_SEED, "id string, nombre string, prompts array<string>")
 
@@ -68,19 +70,27 @@ def products_of(products: DataFrame, packaging_type: str) -> DataFrame:
     return products.filter(F.col("activo") & (F.col("packaging_type_id") == packaging_type)).orderBy("descripcion")
 
 
-def search_products(products: DataFrame, terms: Sequence[str], limit: int = 20) -> DataFrame:
+def search_products(products: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """First ``limit`` products per search term, matched case-insensitively on code or description.
 
-    An empty term returns the first products. Terms are tested on each product row, the ranking
-    keeps ``limit`` rows per term and task before anything is shuffled.
+    ``terms`` has a column ``busqueda``; an empty term returns the first products. The terms are a stated
+    set: they are gathered into blocks, each block meets all products, and only hits leave the row of a
+    product and block. The ranking keeps ``limit`` rows per term and task before anything is shuffled.
     """
+    wanted = terms.select("busqueda").filter("busqueda is not null").distinct()
+    blocks = max(1, -(-wanted.count() // TERMS_PER_BLOCK))
+    of_block = F.pmod(F.xxhash64("busqueda"), F.lit(blocks))
+    packed = wanted.groupBy(of_block.alias("_b")).agg(F.collect_list("busqueda").alias("_terms")).select("_terms")
     text_ean, text_desc = F.lower(F.col("ean").cast("string")), F.lower("descripcion")
-    wanted = [t.lower().strip() for t in terms]
-    hits = [F.when(text_ean.contains(w) | text_desc.contains(w), F.lit(t)) for t, w in zip(terms, wanted)]
+
+    def matches(term: Column) -> Column:
+        low = F.lower(F.trim(term))
+        return text_ean.contains(low) | F.coalesce(text_desc.contains(low), F.lit(False))
+
     order = Window.partitionBy("busqueda").orderBy("packaging_type_id", "descripcion", "ean")
     return (
-        products.withColumn("busqueda", F.explode(F.array(*hits)))
-        .filter(F.col("busqueda").isNotNull())
+        products.crossJoin(F.broadcast(packed) if blocks <= 100 else packed)
+        .withColumn("busqueda", F.explode(F.filter("_terms", matches)))
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select("busqueda", "rank", "ean", "descripcion")

@@ -78,11 +78,9 @@ def product_list(spark, sf):
     return catalog.list_products(views.products(spark, sf), views.packaging(spark, sf)).drop("activo")
 
 
-_SEARCH = ["RING", "brand#1", "12", ""]
-
-
 @query(
-    """WITH t AS (SELECT unnest(['RING', 'brand#1', '12', '']) AS busqueda),
+    """WITH t AS (SELECT upper(split_part(p_type, ' ', 1)) AS busqueda FROM part UNION SELECT lower(p_brand) FROM part
+  UNION SELECT (p_size)::VARCHAR FROM part UNION SELECT ''),
 h AS (
   SELECT t.busqueda, p.ean, p.descripcion,
          row_number() OVER (PARTITION BY t.busqueda ORDER BY p.packaging_type_id, p.descripcion, p.ean) AS rank
@@ -92,7 +90,9 @@ SELECT busqueda, rank::INTEGER AS rank, ean, descripcion FROM h WHERE rank <= 20
 )
 def product_search(spark, sf):
     listed = catalog.list_products(views.products(spark, sf), views.packaging(spark, sf))
-    return catalog.search_products(listed, _SEARCH)
+    part = table(spark, sf, "part")
+    terms = part.select(F.explode(F.expr("array(upper(split_part(p_type, ' ', 1)), lower(p_brand), cast(p_size as string), '')")).alias("busqueda"))
+    return catalog.search_products(listed, terms)
 
 
 @query(
