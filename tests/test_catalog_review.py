@@ -148,6 +148,19 @@ def test_stores_round_trip(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "debug"), header=True).count() == 2
 
 
+def test_search_terms_in_several_blocks(spark, monkeypatch):
+    products = spark.createDataFrame([(i, f"Product {i:03d} {'Red' if i % 3 else 'blue'}", "t") for i in range(60)], "ean long, descripcion string, packaging_type_id string")
+    terms = [" RED", "blue", "", "no such", *[f"{i:03d}" for i in range(60)]]
+    frame = spark.createDataFrame([(t,) for t in [*terms, None, "blue"]], "busqueda string")
+    for size in (500, 7):
+        monkeypatch.setattr(catalog, "TERMS_PER_BLOCK", size)
+        got = {}
+        for r in catalog.search_products(products, frame, limit=5).orderBy("busqueda", "rank").collect():
+            got.setdefault(r.busqueda, []).append(r.ean)
+        assert got[" RED"] == [1, 2, 4, 5, 7] and got["blue"] == [0, 3, 6, 9, 12] and got[""] == [0, 1, 2, 3, 4]
+        assert "no such" not in got and all(got[f"{i:03d}"] == [i] for i in range(60))
+
+
 def test_updating_a_product_leaves_the_others(spark, tmp_path):
     schema = "ean string, ref_id long, categoria string, embedding array<float>"
     rows = [("A", 1, "lata", [1.0]), ("B", 2, "lata", [2.0]), ("C", 3, "bolsa", [3.0]), ("D", 4, "caja", [4.0])]
