@@ -4,7 +4,8 @@ A data file is a run of records, little-endian:
 
     length of the payload     8 bytes unsigned
     masked checksum of these  4 bytes
-    payload                   doc_id (8 bytes signed), flag (1 byte: 1 if there is an id), ids (4 bytes unsigned each)
+    payload                   doc_id (8 bytes signed), known (1 byte: 1 if there is an id), width (1 byte),
+                              ids (unsigned, width bytes each: 2 if the record's ids fit, else 4)
     masked checksum of it     4 bytes
 
 A masked checksum is CRC-32 turned right by 15 bits plus 0xA282EAD8, so that checksums of data that hold
@@ -49,7 +50,8 @@ def masked(data: bytes) -> int:
 
 
 def frame(doc_id: int | None, ids: np.ndarray) -> bytes:
-    payload = struct.pack("<qB", doc_id or 0, doc_id is not None) + ids.astype("<u4").tobytes()
+    width = 2 if len(ids) == 0 or ids.max() < 1 << 16 else 4
+    payload = struct.pack("<qBB", doc_id or 0, doc_id is not None, width) + ids.astype(f"<u{width}").tobytes()
     length = struct.pack("<Q", len(payload))
     return b"".join([length, struct.pack("<I", masked(length)), payload, struct.pack("<I", masked(payload))])
 
@@ -64,8 +66,8 @@ def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
         raise ValueError("length of a record is damaged")
     if struct.unpack("<I", record[-4:])[0] != masked(payload):
         raise ValueError("payload of a record is damaged")
-    doc_id, known = struct.unpack_from("<qB", payload)
-    return doc_id if known else None, np.frombuffer(payload, dtype="<u4", offset=9)
+    doc_id, known, width = struct.unpack_from("<qBB", payload)
+    return doc_id if known else None, np.frombuffer(payload, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
 def _opened(address: str) -> tuple[fs.FileSystem, str]:
