@@ -1,8 +1,8 @@
 """Interpolated modified Kneser-Ney model of word pairs, counted in Spark, read from mapped files.
 
 Counting. A task turns its texts into 64-bit word hashes and its word pairs into distinct pairs with counts, and
-packs these by bucket into binary blocks: left hashes once with run lengths, right hashes, counts. A bucket is
-chosen by the left word and ``SALT`` parts of the right word, so the most frequent word's pairs are spread. One task per bucket merges its
+packs these by bucket into binary blocks: left hashes once with run lengths, right hashes, counts. A bucket is chosen by the left
+word and a part of the right word, so the most frequent word's pairs are spread over at least ``SALT`` buckets, more with more of them. One task per bucket merges its
 blocks, writes the bucket's pairs as two files, sorted 64-bit pair hashes and their counts, and emits per word
 what the pairs add to its statistics; these meet in a second aggregation and are written as sorted tables too.
 
@@ -41,7 +41,7 @@ from stockcount.scale import cut, shared_dir
 from llm.batches import Words, mixed, slices
 from llm.text import LOWER, UPPER
 
-#: Parts over which the pairs of one left word are spread.
+#: Least number of parts over which the pairs of one left word are spread; it grows with the buckets.
 SALT = 8
 #: Bytes of text a bucket's pairs come from, about.
 BUCKET_BYTES = 24_000_000
@@ -87,7 +87,7 @@ def pair_hash(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def bucket_of(left: np.ndarray, right: np.ndarray, buckets: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        part = (right >> np.uint64(7)) % np.uint64(SALT)
+        part = (right >> np.uint64(7)) % np.uint64(max(SALT, buckets // 8))
         return (mixed(left + part * np.uint64(0xD6E8FEB86659FD93)) % np.uint64(buckets)).astype(np.int64)
 
 
@@ -154,6 +154,22 @@ def pair_blocks(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("text").mapInArrow(task, "bucket int, lefts binary, runs binary, rights binary, many binary")
 
 
+def _narrow(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each, after a byte that says how many."""
+    most = int(counts.max()) if len(counts) else 0
+    size = next(n for n in (1, 2, 4, 8) if most < 1 << 8 * n)
+    return bytes([size]) + counts.astype(f"<u{size}").tobytes()
+
+
+def _rows(block: bytes, n: int) -> list[np.ndarray]:
+    """The arrays of n counts that ``_narrow`` made, one after the other."""
+    out, at = [], 0
+    while at < len(block):
+        out.append(np.frombuffer(block, f"<u{block[at]}", n, at + 1))
+        at += 1 + block[at] * n
+    return out
+
+
 def _opened(address: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
 
@@ -187,22 +203,23 @@ def merge_pairs(blocks: DataFrame, folder: str) -> DataFrame:
         left, right, counts = _summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])
         del parts
         bucket = int(frame["bucket"].iloc[0])
-        file = f"pairs-{bucket:06d}-{uuid.uuid4().hex}"
         keys = pair_hash(left, right)
         order = np.argsort(keys)
+        numbers = _narrow(counts[order])
+        file = f"pairs-{bucket:06d}-{uuid.uuid4().hex}-{numbers[0]}"  # the last part: bytes of a count
         _write(folder, f"{file}.key", keys[order])
-        _write(folder, f"{file}.num", counts[order].astype("<u4"))
+        _write(folder, f"{file}.num", np.frombuffer(numbers, np.uint8, offset=1))
         del keys, order
         kinds = np.minimum(counts, 3)
         word, where = np.unique(left, return_inverse=True)
-        lefts = np.stack([np.bincount(where, kinds == k, len(word)) for k in (1, 2, 3)] + [np.bincount(where, counts, len(word))])
+        lefts = [np.bincount(where, kinds == k, len(word)) for k in (1, 2, 3)] + [np.bincount(where, counts, len(word))]
         other, where = np.unique(right, return_inverse=True)
-        rights = np.stack([np.bincount(where, minlength=len(other)), np.bincount(where, counts, len(other))])
+        rights = [np.bincount(where, minlength=len(other)), np.bincount(where, counts, len(other))]
         seen = np.bincount(np.minimum(counts, 5), minlength=6)
         return pd.DataFrame({
             "bucket": [bucket], "file": [file], "c1": [seen[1]], "c2": [seen[2]], "c3": [seen[3]], "c4": [seen[4]],
-            "left_words": [word.tobytes()], "left_stats": [lefts.astype("<i8").tobytes()],
-            "right_words": [other.tobytes()], "right_stats": [rights.astype("<i8").tobytes()],
+            "left_words": [word.tobytes()], "left_stats": [b"".join(map(_narrow, lefts))],
+            "right_words": [other.tobytes()], "right_stats": [b"".join(map(_narrow, rights))],
         })
 
     schema = "bucket int, file string, c1 long, c2 long, c3 long, c4 long, left_words binary, left_stats binary, right_words binary, right_stats binary"
@@ -215,16 +232,16 @@ def merge_words(merged: DataFrame, folder: str, parts: int) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                for side, at, width in (("left", 0, 4), ("right", 4, 2)):
+                for side, at in (("left", 0), ("right", 4)):
                     words = np.frombuffer(row[f"{side}_words"], "<u8")
-                    stats = np.frombuffer(row[f"{side}_stats"], "<i8").reshape(width, -1)
+                    stats = _rows(row[f"{side}_stats"], len(words))
                     ends = np.searchsorted(_part(words, parts), np.arange(parts + 1))
                     for p in range(parts):
                         a, b = ends[p], ends[p + 1]
                         if a < b:
                             yield pa.RecordBatch.from_pydict({
                                 "part": pa.array([p], pa.int32()), "at": pa.array([at], pa.int32()),
-                                "words": pa.array([words[a:b].tobytes()], pa.binary()), "stats": pa.array([stats[:, a:b].tobytes()], pa.binary()),
+                                "words": pa.array([words[a:b].tobytes()], pa.binary()), "stats": pa.array([b"".join(_narrow(x[a:b]) for x in stats)], pa.binary()),
                             })
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
@@ -234,8 +251,8 @@ def merge_words(merged: DataFrame, folder: str, parts: int) -> DataFrame:
         for w, at, stats in zip(words, frame["at"], frame["stats"], strict=True):
             own = where[done : done + len(w)]
             done += len(w)
-            rows = np.frombuffer(stats, "<i8").reshape(-1, len(w))
-            table[at : at + len(rows), own] += rows
+            for k, row in enumerate(_rows(stats, len(w))):
+                table[at + k, own] += row
         part = int(frame["part"].iloc[0])
         file = f"words-{part:06d}-{uuid.uuid4().hex}"
         _write(folder, f"{file}.key", word)
@@ -273,7 +290,7 @@ def fit(docs: DataFrame, folder: str | None = None) -> dict:
     folder = folder or f"{shared_dir(spark).rstrip('/')}/ngrams-{uuid.uuid4().hex}"
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
-    parts = max(2, buckets // 8)
+    parts = max(2, buckets // 4)
     merged = cut(merge_pairs(pair_blocks(docs, buckets), folder))
     words = merge_words(merged, folder, parts).toPandas()  # one row per part
     pairs = merged.select("bucket", "file", "c1", "c2", "c3", "c4").toPandas()  # one row per bucket
@@ -310,7 +327,7 @@ class Model:
             self.files[name] = _mapped(self.m["folder"], name, dtype)
         return self.files[name]
 
-    def _found(self, sorted_keys: np.ndarray, files: dict, groups: np.ndarray, columns: dict[str, str]) -> dict[str, np.ndarray]:
+    def _found(self, sorted_keys: np.ndarray, files: dict, groups: np.ndarray, columns: list[str]) -> dict[str, np.ndarray]:
         """Columns of the given keys (0 where absent); each key's file is that of its group."""
         out = {c: np.zeros(len(sorted_keys), dtype=np.int64) for c in columns}
         order = np.argsort(groups, kind="stable")
@@ -323,12 +340,13 @@ class Model:
             keys, wanted = self._file(f"{stem}.key", "<u8"), sorted_keys[at]
             place = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
             hit = keys[place] == wanted if len(keys) else np.zeros(len(wanted), bool)
-            for c, dtype in columns.items():
+            for c in columns:
+                dtype = f"<u{stem.rsplit('-', 1)[1]}" if c == "num" else "<i8"
                 out[c][at[hit]] = self._file(f"{stem}.{c}", dtype)[place[hit]]
         return out
 
     def words(self, hashes: np.ndarray) -> dict[str, np.ndarray]:
-        return self._found(hashes, self.m["word_files"], _part(hashes, self.m["parts"]), dict.fromkeys(STATS, "<i8"))
+        return self._found(hashes, self.m["word_files"], _part(hashes, self.m["parts"]), STATS)
 
     def score(self, tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 p of each token after the one before it, and its count in training."""
@@ -344,7 +362,7 @@ class Model:
         low = (before - e[np.minimum(before, 3)]) / max(m["pairs"], 1) + self.rest / (m["types"] + 1)
         pairs = pair_hash(left, tokens)
         pair, first, back = np.unique(pairs, return_index=True, return_inverse=True)
-        seen = self._found(pair, m["pair_files"], bucket_of(left[first], tokens[first], m["buckets"]), {"num": "<u4"})["num"][back]
+        seen = self._found(pair, m["pair_files"], bucket_of(left[first], tokens[first], m["buckets"]), ["num"])["num"][back]
         total = w["left"][left_code]
         gamma = (d[1] * w["n1"] + d[2] * w["n2"] + d[3] * w["n3"])[left_code]
         with np.errstate(divide="ignore", invalid="ignore"):
