@@ -32,9 +32,10 @@ from llm.batches import Words, slices
 from llm.text import broadcast_if_few
 
 BUCKETS = 1 << 20
-FEATURES = 16_384
+FEATURES = 8_192
 #: Bound of the rows the machine is fitted on.
 MOST_ROWS = 20_000
+BATCH = 2_000
 RANK = 8
 STANDS_OUT = 3.0
 BEGINNINGS = (4, 5, 6)
@@ -118,7 +119,7 @@ def choose(counts: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, float]:
 
 def _logits(model: dict, owner: np.ndarray, feature: np.ndarray, texts: int) -> np.ndarray:
     """owner is sorted."""
-    out = np.full(texts, model["w0"])
+    out = np.full(texts, model["w0"], dtype=np.float64)
     if len(owner):
         at = np.flatnonzero(np.diff(owner, prepend=-1))
         v = model["v"][feature]
@@ -127,35 +128,48 @@ def _logits(model: dict, owner: np.ndarray, feature: np.ndarray, texts: int) ->
     return out
 
 
-def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, rounds: int = 250) -> dict:
-    """Fits the machine by Adam over all rows; owner (sorted) and feature list which row holds which feature."""
+def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, steps: int = 250) -> dict:
+    """Fits the machine by Adam in batches of ``BATCH`` rows, at least ``steps`` steps in whole rounds over the rows.
+
+    owner (sorted) and feature list which row holds which feature.
+    """
     rng = np.random.default_rng(5)
     p0 = (y.sum() + 1) / (len(y) + 2)
-    model = {"w0": float(np.log(p0 / (1 - p0))), "w": np.zeros(features), "v": rng.normal(0, 0.05, (features, RANK))}
+    w0 = np.array(np.log(p0 / (1 - p0)), dtype=np.float32)
+    model = {"w0": w0, "w": np.zeros(features, np.float32), "v": rng.normal(0, 0.05, (features, RANK)).astype(np.float32)}
     if features == 0 or len(owner) == 0 or y.min() == y.max():
         return model
-    by_feature = np.argsort(feature, kind="stable")
-    starts = np.flatnonzero(np.diff(feature[by_feature], prepend=-1))
-    used = feature[by_feature][starts]
-    at = np.flatnonzero(np.diff(owner, prepend=-1))
-    rows = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(owner))))
+    batches = range(0, len(y), BATCH)
     m = {k: np.zeros_like(model[k]) for k in model}
     s2 = {k: np.zeros_like(model[k]) for k in model}
-    for step in range(1, rounds + 1):
-        g = (1 / (1 + np.exp(-_logits(model, owner, feature, len(y)))) - y) / len(y)
-        v = model["v"][feature]
-        sums = np.add.reduceat(v, at, axis=0)
-        each = g[owner][:, None] * (sums[rows] - v)
-        gv, gw = 1e-4 * model["v"], 1e-5 * model["w"]
-        gv[used] += np.add.reduceat(each[by_feature], starts, axis=0)
-        gw[used] += np.add.reduceat(g[owner][by_feature], starts)
-        for k, grad in (("w0", g.sum()), ("w", gw), ("v", gv)):
+    for step in range(1, -(-steps // len(batches)) * len(batches) + 1):
+        first = batches[(step - 1) % len(batches)]
+        target = y[first : first + BATCH]
+        a, b = np.searchsorted(owner, [first, first + len(target)])
+        for k, grad in _gradient(model, owner[a:b] - first, feature[a:b], target).items():
             m[k] = 0.9 * m[k] + 0.1 * grad
             s2[k] = 0.99 * s2[k] + 0.01 * grad * grad
             model[k] = model[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s2[k] / (1 - 0.99**step)) + 1e-8)
     return model
 
 
+def _gradient(model: dict, owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean logistic loss over some rows, with a small pull of all weights to 0."""
+    g = (1 / (1 + np.exp(-_logits(model, owner, feature, len(y)))) - y) / len(y)
+    gv, gw = 1e-4 * model["v"], 1e-5 * model["w"]
+    if len(owner):
+        at = np.flatnonzero(np.diff(owner, prepend=-1))
+        v = model["v"][feature]
+        sums = np.repeat(np.add.reduceat(v, at, axis=0), np.diff(np.append(at, len(owner))), axis=0)
+        each = (g[owner, None] * (sums - v)).astype(np.float32)
+        order = np.argsort(feature, kind="stable")
+        starts = np.flatnonzero(np.diff(feature[order], prepend=-1))
+        used = feature[order][starts]
+        gv[used] += np.add.reduceat(each[order], starts, axis=0)
+        gw[used] += np.add.reduceat(g[owner][order], starts)
+    return {"w0": np.float32(g.sum()), "w": gw, "v": gv}
+
+
 def _numbered(buckets: np.ndarray) -> np.ndarray:
     number = np.full(BUCKETS, -1, dtype=np.int64)
     number[buckets] = np.arange(len(buckets))
