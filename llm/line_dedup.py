@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from stockcount.scale import cut
 
-from llm.text import BLANKS, LOWER, UPPER, private
+from llm.text import BLANKS, LOWER, UPPER, broadcast_if_few, private
 
 #: Words of all bitmaps together that may be broadcast (8 bytes each).
 BITMAP_WORDS = 4_000_000
@@ -58,7 +58,8 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Da
         .where(F.col("n_docs") >= min_docs)
         .select("h", "g", "keeper")
     )
-    return ranged.join(keepers, ["h", "g"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "position")
+    # Both sides of the join are plain tables: a small one is broadcast, otherwise Spark can split a hot line.
+    return ranged.join(broadcast_if_few(cut(keepers)), ["h", "g"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "position")
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
