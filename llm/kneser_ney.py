@@ -26,6 +26,7 @@ probability of one unknown word; repeated rows count each time; further columns
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
 
@@ -36,9 +37,10 @@ import xxhash
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from stockcount.scale import cut, shared_dir
+from stockcount.scale import shared_dir
 
 from llm.batches import Words, mixed, slices
+from llm.files import opened
 from llm.text import LOWER, UPPER
 
 #: Least number of parts over which the pairs of one left word are spread; it grows with the buckets.
@@ -170,19 +172,15 @@ def _rows(block: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-def _opened(address: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
-
-
 def _write(folder: str, name: str, array: np.ndarray) -> None:
-    system, root = _opened(folder)
+    system, root = opened(folder)
     system.create_dir(root, recursive=True)
     with system.open_output_stream(f"{root}/{name}") as out:
         out.write(memoryview(np.ascontiguousarray(array)).cast("B") if len(array) else b"")
 
 
 def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
-    system, root = _opened(folder)
+    system, root = opened(folder)
     if isinstance(system, fs.LocalFileSystem):
         try:
             return np.memmap(f"{root}/{name}", dtype=dtype, mode="r")
@@ -192,16 +190,17 @@ def _mapped(folder: str, name: str, dtype: str) -> np.ndarray:
         return np.frombuffer(f.read(), dtype)
 
 
-def merge_pairs(blocks: DataFrame, folder: str) -> DataFrame:
-    """Writes a bucket's sorted pairs; emits per bucket its file's name, counts of counts, and word statistics.
+def merge_pairs(blocks: DataFrame, folder: str, parts: int) -> DataFrame:
+    """Writes each bucket's sorted pairs; emits what they add to the statistics of words, by part of the words.
 
-    A row: bucket, file, c1..c4 (numbers of pairs seen once to four times), words and stats (binary columns).
+    Rows: part, at (first row of the statistics they add to), words, stats; and for each bucket one row of part
+    -1 that has in ``info`` its bucket, file and numbers of pairs seen once to four times.
     """
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpacked(b) for b in frame.to_dict("records")]
-        left, right, counts = _summed(*[np.concatenate(x) for x in zip(*parts, strict=True)])
-        del parts
+        blocks_of = [_unpacked(b) for b in frame.to_dict("records")]
+        left, right, counts = _summed(*[np.concatenate(x) for x in zip(*blocks_of, strict=True)])
+        del blocks_of
         bucket = int(frame["bucket"].iloc[0])
         keys = pair_hash(left, right)
         order = np.argsort(keys)
@@ -210,64 +209,49 @@ def merge_pairs(blocks: DataFrame, folder: str) -> DataFrame:
         _write(folder, f"{file}.key", keys[order])
         _write(folder, f"{file}.num", np.frombuffer(numbers, np.uint8, offset=1))
         del keys, order
+        seen = np.bincount(np.minimum(counts, 5), minlength=6)
+        out = [(-1, 0, b"", b"", json.dumps({"bucket": bucket, "file": file} | {f"c{k}": int(seen[k]) for k in (1, 2, 3, 4)}))]
         kinds = np.minimum(counts, 3)
         word, where = np.unique(left, return_inverse=True)
         lefts = [np.bincount(where, kinds == k, len(word)) for k in (1, 2, 3)] + [np.bincount(where, counts, len(word))]
         other, where = np.unique(right, return_inverse=True)
         rights = [np.bincount(where, minlength=len(other)), np.bincount(where, counts, len(other))]
-        seen = np.bincount(np.minimum(counts, 5), minlength=6)
-        return pd.DataFrame({
-            "bucket": [bucket], "file": [file], "c1": [seen[1]], "c2": [seen[2]], "c3": [seen[3]], "c4": [seen[4]],
-            "left_words": [word.tobytes()], "left_stats": [b"".join(map(_narrow, lefts))],
-            "right_words": [other.tobytes()], "right_stats": [b"".join(map(_narrow, rights))],
-        })
-
-    schema = "bucket int, file string, c1 long, c2 long, c3 long, c4 long, left_words binary, left_stats binary, right_words binary, right_stats binary"
-    return blocks.groupBy("bucket").applyInPandas(merge, schema)
-
-
-def merge_words(merged: DataFrame, folder: str, parts: int) -> DataFrame:
-    """Sums word statistics by hash range and writes each part; emits part, file, n_words, totals."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                for side, at in (("left", 0), ("right", 4)):
-                    words = np.frombuffer(row[f"{side}_words"], "<u8")
-                    stats = _rows(row[f"{side}_stats"], len(words))
-                    ends = np.searchsorted(_part(words, parts), np.arange(parts + 1))
-                    for p in range(parts):
-                        a, b = ends[p], ends[p + 1]
-                        if a < b:
-                            yield pa.RecordBatch.from_pydict({
-                                "part": pa.array([p], pa.int32()), "at": pa.array([at], pa.int32()),
-                                "words": pa.array([words[a:b].tobytes()], pa.binary()), "stats": pa.array([b"".join(_narrow(x[a:b]) for x in stats)], pa.binary()),
-                            })
+        for words, at, stats in ((word, 0, lefts), (other, 4, rights)):
+            ends = np.searchsorted(_part(words, parts), np.arange(parts + 1))
+            for p, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+                if a < b:
+                    out.append((p, at, words[a:b].tobytes(), b"".join(_narrow(x[a:b]) for x in stats), ""))
+        return pd.DataFrame(out, columns=["part", "at", "words", "stats", "info"])
+
+    return blocks.groupBy("bucket").applyInPandas(merge, "part int, at int, words binary, stats binary, info string")
+
+
+def merge_words(rows: DataFrame, folder: str) -> DataFrame:
+    """Sums the statistics of each part's words and writes them; emits part and info (of a part, or of a bucket)."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame["part"].iloc[0])
+        if part < 0:
+            return frame[["part", "info"]]
         words = [np.frombuffer(x, "<u8") for x in frame["words"]]
         word, where = np.unique(np.concatenate(words), return_inverse=True)
-        table, done = np.zeros((6, len(word))), 0
+        table, done = np.zeros((6, len(word)), dtype=np.int64), 0
         for w, at, stats in zip(words, frame["at"], frame["stats"], strict=True):
             own = where[done : done + len(w)]
             done += len(w)
             for k, row in enumerate(_rows(stats, len(w))):
-                table[at + k, own] += row
-        part = int(frame["part"].iloc[0])
+                table[at + k, own] += row.astype(np.int64)
         file = f"words-{part:06d}-{uuid.uuid4().hex}"
         _write(folder, f"{file}.key", word)
         for name, row in zip(STATS, table.astype("<i8"), strict=True):
             _write(folder, f"{file}.{name}", row)
-        before = table[4].astype(np.int64)
+        before = table[4]
         seen = np.bincount(np.minimum(before, 5), minlength=6)
-        return pd.DataFrame({
-            "part": [part], "file": [file], "types": [int((table[5] > 0).sum())], "tokens": [int(table[5].sum())], "pairs": [int(before.sum())],
-            "c1": [seen[1]], "c2": [seen[2]], "c3": [seen[3]], "c4": [seen[4]], "more": [int((before > 2).sum())],
-        })
+        info = {"file": file, "types": (table[5] > 0).sum(), "tokens": table[5].sum(), "pairs": before.sum(), "more": (before > 2).sum()}
+        info |= {f"c{k}": seen[k] for k in (1, 2, 3, 4)}
+        return pd.DataFrame({"part": [part], "info": [json.dumps({k: v if k == "file" else int(v) for k, v in info.items()})]})
 
-    split_rows = merged.select("left_words", "left_stats", "right_words", "right_stats").mapInArrow(split, "part int, at int, words binary, stats binary")
-    schema = "part int, file string, types long, tokens long, pairs long, c1 long, c2 long, c3 long, c4 long, more long"
-    return split_rows.groupBy("part").applyInPandas(merge, schema)
+    return rows.groupBy("part").applyInPandas(merge, "part int, info string")
 
 
 def _part(words: np.ndarray, parts: int) -> np.ndarray:
@@ -291,17 +275,18 @@ def fit(docs: DataFrame, folder: str | None = None) -> dict:
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
     parts = max(2, buckets // 4)
-    merged = cut(merge_pairs(pair_blocks(docs, buckets), folder))
-    words = merge_words(merged, folder, parts).toPandas()  # one row per part
-    pairs = merged.select("bucket", "file", "c1", "c2", "c3", "c4").toPandas()  # one row per bucket
+    # A row for each bucket and each part of the words. A task that runs again writes files of new names and equal content.
+    found = merge_words(merge_pairs(pair_blocks(docs, buckets), folder, parts), folder).collect()
+    pairs = [json.loads(r["info"]) for r in found if r["part"] < 0]
+    words = {r["part"]: json.loads(r["info"]) for r in found if r["part"] >= 0}
+    total = lambda rows, name: sum(r[name] for r in rows)
     return {
         "folder": folder, "buckets": buckets, "parts": parts,
-        "pair_files": dict(zip(pairs["bucket"].tolist(), pairs["file"], strict=True)),
-        "word_files": dict(zip(words["part"].tolist(), words["file"], strict=True)),
-        "types": int(words["types"].sum()), "tokens": int(words["tokens"].sum()), "pairs": int(words["pairs"].sum()),
-        "d": discounts(*[float(pairs[f"c{k}"].sum()) for k in (1, 2, 3, 4)]),
-        "e": discounts(*[float(words[f"c{k}"].sum()) for k in (1, 2, 3, 4)]),
-        "t": [int(words["c1"].sum()), int(words["c2"].sum()), int(words["more"].sum())],
+        "pair_files": {r["bucket"]: r["file"] for r in pairs}, "word_files": {p: r["file"] for p, r in words.items()},
+        "types": total(words.values(), "types"), "tokens": total(words.values(), "tokens"), "pairs": total(words.values(), "pairs"),
+        "d": discounts(*[float(total(pairs, f"c{k}")) for k in (1, 2, 3, 4)]),
+        "e": discounts(*[float(total(words.values(), f"c{k}")) for k in (1, 2, 3, 4)]),
+        "t": [total(words.values(), "c1"), total(words.values(), "c2"), total(words.values(), "more")],
     }
 
 

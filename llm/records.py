@@ -31,12 +31,12 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from stockcount.scale import cut, shared_dir
 
+from llm.files import opened
 from llm.tokens import encoded
 
 HEAD = 12
@@ -70,17 +70,13 @@ def unframe(record: bytes) -> tuple[int | None, np.ndarray]:
     return doc_id if known else None, np.frombuffer(payload, dtype=f"<u{width}", offset=10).astype("<u4")
 
 
-def _opened(address: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(address if "://" in address or address.startswith("file:") else f"file://{address}")
-
-
 def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Writes the files and returns their manifest: file, n_records, n_ids, first_id (of all files), checkpointed."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         name = f"part-{context.partitionId():06d}-{uuid.uuid4().hex}"
-        system, root = _opened(folder)
+        system, root = opened(folder)
         data, index, begin, ids_before, n = None, [], 0, 0, 0
         for rows, each in encoded(batches, tokenizer, end_id):
             if data is None:
@@ -116,7 +112,7 @@ def index_of(manifest: DataFrame) -> DataFrame:
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for files in frames:
             for file, first in zip(files["file"], files["first_id"], strict=True):
-                system, path = _opened(file)
+                system, path = opened(file)
                 with system.open_input_stream(f"{path}.idx") as f:
                     rows = np.frombuffer(f.read(), dtype=INDEX)
                 columns = {"begin": rows["begin"], "size": rows["size"], "start": rows["ids_before"] + np.uint64(first)}
@@ -132,7 +128,7 @@ def read_records(index: DataFrame, with_ids: bool = False) -> DataFrame:
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for wanted in frames:
             for file, rows in wanted.groupby("file", sort=False):
-                system, path = _opened(file)
+                system, path = opened(file)
                 out = []
                 with system.open_input_file(f"{path}.rec") as f:
                     for begin, size, start in zip(rows["begin"], rows["size"], rows["start"], strict=True):
