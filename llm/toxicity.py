@@ -1,9 +1,9 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms of a word are the word in lower case and its beginnings of four to six letters, hashed to ``BUCKETS``. All labelled rows
-are counted in Spark: for every bucket, how many documents hold it and how many of these are toxic. Buckets whose
-share of toxic documents stands out most become the features, at most ``FEATURES``. On them a factorization
-machine is fitted,
+are counted in Spark: for every bucket, how many documents hold it and how many of these are toxic. Every bucket whose
+share of toxic documents stands out becomes a feature, however many these are; ``BUCKETS`` bounds the model. On them a
+factorization machine is fitted,
 
     logit = w0 + sum of w_i + sum over pairs of <v_i, v_j>,
 
@@ -20,8 +20,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -32,10 +32,11 @@ from llm.batches import Words, slices
 from llm.text import broadcast_if_few
 
 BUCKETS = 1 << 20
-FEATURES = 8_192
 #: Bound of the rows the machine is fitted on.
 MOST_ROWS = 20_000
 BATCH = 2_000
+#: Held terms whose vectors are worked on at once.
+PART = 250_000
 RANK = 8
 STANDS_OUT = 3.0
 BEGINNINGS = (4, 5, 6)
@@ -106,26 +107,43 @@ def term_counts(rows: DataFrame) -> DataFrame:
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
 
 
-def choose(counts: DataFrame, most: int = FEATURES) -> tuple[np.ndarray, float]:
-    """The buckets that stand out most, in order, and the smoothed share of toxic rows."""
+def choose(counts: DataFrame) -> tuple[np.ndarray, float]:
+    """All buckets that stand out, in order, and the smoothed share of toxic rows."""
     total = counts.where("bucket = -1").first()
     n, bad = (total["n"], total["toxic"]) if total else (0, 0)
     share = (bad + 1) / (n + 2)
     z = (F.col("toxic") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    first = counts.where((F.col("bucket") >= 0) & (F.col("n") >= 3)).select("bucket", F.abs(z).alias("z")).where(F.col("z") > STANDS_OUT)
-    got = first.orderBy(F.desc("z"), "bucket").limit(most).toPandas()
-    return np.sort(got["bucket"].to_numpy(dtype=np.int64)), share
+    got = counts.where((F.col("bucket") >= 0) & (F.col("n") >= 3) & (F.abs(z) > STANDS_OUT)).select("bucket").toArrow()
+    return np.sort(got.column("bucket").to_numpy()), share
+
+
+def _parts(owner: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Bounds of whole rows with at most ``PART`` entries together (or one row); owner is sorted."""
+    a = 0
+    while a < len(owner):
+        b = len(owner)
+        if b - a > PART:
+            b = int(np.searchsorted(owner, owner[a + PART]))
+            b = b if b > a else int(np.searchsorted(owner, owner[a], side="right"))
+        yield a, b
+        a = b
+
+
+def _sums(model: dict, owner: np.ndarray, feature: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The logit of each row and the sum of its vectors; owner is sorted."""
+    out, sums = np.full(texts, model["w0"], dtype=np.float64), np.zeros((texts, RANK), dtype=np.float32)
+    alone = model["w"] - 0.5 * (model["v"] * model["v"]).sum(1)
+    for a, b in _parts(owner):
+        at = np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+        rows = owner[a:b][at]
+        sums[rows] = np.add.reduceat(model["v"][feature[a:b]], at, axis=0)
+        out[rows] += np.add.reduceat(alone[feature[a:b]], at)
+    return out + 0.5 * (sums * sums).sum(1), sums
 
 
 def _logits(model: dict, owner: np.ndarray, feature: np.ndarray, texts: int) -> np.ndarray:
     """owner is sorted."""
-    out = np.full(texts, model["w0"], dtype=np.float64)
-    if len(owner):
-        at = np.flatnonzero(np.diff(owner, prepend=-1))
-        v = model["v"][feature]
-        s = np.add.reduceat(v, at, axis=0)
-        out[owner[at]] += np.add.reduceat(model["w"][feature], at) + 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), at))
-    return out
+    return _sums(model, owner, feature, texts)[0]
 
 
 def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int, steps: int = 250) -> dict:
@@ -147,27 +165,29 @@ def train(owner: np.ndarray, feature: np.ndarray, y: np.ndarray, features: int,
         target = y[first : first + BATCH]
         a, b = np.searchsorted(owner, [first, first + len(target)])
         for k, grad in _gradient(model, owner[a:b] - first, feature[a:b], target).items():
-            m[k] = 0.9 * m[k] + 0.1 * grad
-            s2[k] = 0.99 * s2[k] + 0.01 * grad * grad
-            model[k] = model[k] - 0.05 * (m[k] / (1 - 0.9**step)) / (np.sqrt(s2[k] / (1 - 0.99**step)) + 1e-8)
+            m[k] *= 0.9
+            m[k] += 0.1 * grad
+            s2[k] *= 0.99
+            s2[k] += 0.01 * grad * grad
+            model[k] -= 0.05 / (1 - 0.9**step) * m[k] / (np.sqrt(s2[k] / (1 - 0.99**step)) + 1e-8)
     return model
 
 
 def _gradient(model: dict, owner: np.ndarray, feature: np.ndarray, y: np.ndarray) -> dict:
     """Of the mean logistic loss over some rows, with a small pull of all weights to 0."""
-    g = (1 / (1 + np.exp(-_logits(model, owner, feature, len(y)))) - y) / len(y)
+    logits, sums = _sums(model, owner, feature, len(y))
+    g = ((1 / (1 + np.exp(-logits)) - y) / len(y)).astype(np.float32)
     gv, gw = 1e-4 * model["v"], 1e-5 * model["w"]
-    if len(owner):
-        at = np.flatnonzero(np.diff(owner, prepend=-1))
-        v = model["v"][feature]
-        sums = np.repeat(np.add.reduceat(v, at, axis=0), np.diff(np.append(at, len(owner))), axis=0)
-        each = (g[owner, None] * (sums - v)).astype(np.float32)
-        order = np.argsort(feature, kind="stable")
-        starts = np.flatnonzero(np.diff(feature[order], prepend=-1))
-        used = feature[order][starts]
-        gv[used] += np.add.reduceat(each[order], starts, axis=0)
-        gw[used] += np.add.reduceat(g[owner][order], starts)
-    return {"w0": np.float32(g.sum()), "w": gw, "v": gv}
+    pulled = g[:, None] * sums
+    for a, b in _parts(owner):
+        order = np.argsort(feature[a:b], kind="stable")
+        held, row = feature[a:b][order], owner[a:b][order]
+        starts = np.flatnonzero(np.diff(held, prepend=-1))
+        used = held[starts]
+        own = np.add.reduceat(g[row], starts)
+        gv[used] += np.add.reduceat(pulled[row], starts, axis=0) - own[:, None] * model["v"][used]
+        gw[used] += own
+    return {"w0": g.sum(), "w": gw, "v": gv}
 
 
 def _numbered(buckets: np.ndarray) -> np.ndarray:
@@ -185,18 +205,20 @@ def fit(rows: DataFrame, most_rows: int = MOST_ROWS) -> dict:
         for part, texts in slices(batches):
             owner, feature = held_terms(texts, number)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature))
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "features"])
 
     n = rows.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
     some = rows.where(draw < min(1_000_000, 1_200_000 * most_rows // max(n, 1))).orderBy(draw, "doc_id").limit(most_rows)
-    got: pd.DataFrame = some.select("text", "toxic").mapInArrow(task, "toxic int, features array<long>").toPandas()
-    sizes = got["features"].map(len).to_numpy(dtype=np.int64)
-    owner = np.repeat(np.arange(len(got)), sizes)
-    feature = np.concatenate([np.zeros(0, np.int64), *got["features"]]).astype(np.int64)
-    y = (got["toxic"].to_numpy(dtype=np.float64) > 0).astype(np.float64)
-    model = train(owner, feature, y, len(buckets)) if len(got) else {"w0": float(np.log(share / (1 - share))), "w": np.zeros(len(buckets)), "v": np.zeros((len(buckets), RANK))}
+    got = some.select("text", "toxic").mapInArrow(task, "toxic int, features array<int>").toArrow()
+    lists = got.column("features").chunks
+    sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]]).astype(np.int64)
+    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    feature = np.concatenate([np.zeros(0, np.int32), *[x.flatten().to_numpy() for x in lists]])
+    y = (got.column("toxic").to_numpy() > 0).astype(np.float64)
+    del got, lists
+    model = train(owner, feature, y, len(buckets)) if len(y) else {"w0": float(np.log(share / (1 - share))), "w": np.zeros(len(buckets)), "v": np.zeros((len(buckets), RANK))}
     return model | {"buckets": buckets}
 
 

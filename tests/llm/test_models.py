@@ -178,3 +178,22 @@ def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in toxicity.train_and_score(docs, none, fold(3) == 1).collect()} == {0.5}
     assert toxicity.train_and_score(docs_of(spark, []), none, fold(3) == 1).count() == 0
+
+
+def test_every_term_that_stands_out_is_a_feature(spark):
+    # 20,000 common words lean a little, z about 20.5; one term is rare and always toxic, z about 19.5.
+    common = F.struct(F.col("id").alias("bucket"), F.lit(5_000_000).cast("long").alias("n"), F.lit(260_000).cast("long").alias("toxic"))
+    counts = spark.range(20_000).select(common.alias("c")).select("c.*")
+    counts = counts.union(spark.createDataFrame([(-1, 100_000_000, 5_000_000), (700_000, 20, 20), (700_001, 5_000_000, 250_000)], counts.schema))
+    buckets, share = toxicity.choose(counts)
+    assert buckets.tolist() == [*range(20_000), 700_000] and share == pytest.approx(0.05)
+
+
+def test_machine_in_parts_is_the_same(monkeypatch):
+    rng = np.random.default_rng(2)
+    owner = np.sort(rng.integers(0, 300, 4000))
+    feature, y = rng.integers(0, 500, 4000), (rng.random(300) < 0.3).astype(float)
+    whole = toxicity.train(owner, feature, y, 500, steps=3)
+    monkeypatch.setattr(toxicity, "PART", 10)
+    parts = toxicity.train(owner, feature, y, 500, steps=3)
+    assert all(np.allclose(whole[k], parts[k], atol=1e-3) for k in whole)
