@@ -6,7 +6,7 @@ logistic loss, each bit weighted by how well its classifier does on the training
 outvoted by the others. If the runner-up comes close the prediction is flagged as ambiguous.
 
 The classifiers are fitted on the driver from a sample of labelled rows: at most ``PER_LANGUAGE`` rows per language and
-``MOST_ROWS`` in all, the first ones by a hash of the id. Prediction needs the text alone.
+``MOST_ROWS`` in all, the first ones by a hash of id and text. Prediction needs the text alone.
 
 Defined cases: null text or a text without a letter is ``und`` with score 0; with a single language in the
 training rows all other texts get it with score 1; with none all are ``und``; rows without an id may be
@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from llm.batches import slices
+from llm.text import hash_bound
 
 #: Bounds of the training sample.
 PER_LANGUAGE, MOST_ROWS = 400, 2_000
@@ -100,14 +101,14 @@ def decode(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def sample(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> DataFrame:
     """lang, text of the training sample; labelled: doc_id, text, lang."""
     usable = labelled.where("lang is not null and text is not null")
-    sizes = usable.groupBy("lang").count().collect()  # one row per language
+    draw = F.xxhash64("doc_id", "text", F.lit(3))
+    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()  # one row per language
     if not sizes:
         return usable.select("lang", "text").limit(0)
     each = max(1, min(per_language, most // len(sizes)))
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000))
-    often = F.coalesce(*[F.when(F.col("lang") == r["lang"], min(1_000_000, 2_000_000 * (each + 20) // r["count"])) for r in sizes])
+    upto = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(hash_bound(r["n"], 2 * (each + 20), r["least"])).cast("long")) for r in sizes])
     first = F.row_number().over(Window.partitionBy("lang").orderBy(draw, "doc_id", F.xxhash64("text")))
-    return usable.where(draw < often).withColumn("_n", first).where(F.col("_n") <= each).select("lang", "text")
+    return usable.where(draw <= upto).withColumn("_n", first).where(F.col("_n") <= each).select("lang", "text")
 
 
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE, most: int = MOST_ROWS) -> dict | None:

@@ -37,6 +37,11 @@ def broadcast_if_few(df: DataFrame, most: int = FEW_ROWS) -> DataFrame:
     return F.broadcast(df) if fits(df, most) else df
 
 
+def hash_bound(count: int, wanted: int, least: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of ``count`` rows lie; never below ``least``, the first hash there is."""
+    return max(least, min((1 << 63) - 1, (wanted << 64) // max(count, 1) - (1 << 63)))
+
+
 def private(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, so that further columns of the caller can't clash with those an operator adds."""
     return df.select(*[F.col(n) for n in names])

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from stockcount.scale import cut
 
 from llm.batches import Words, slices
-from llm.text import broadcast_if_few
+from llm.text import broadcast_if_few, hash_bound
 
 BUCKETS = 1 << 20
 #: Bound of the rows the machine is fitted on.
@@ -208,9 +208,9 @@ def fit(rows: DataFrame, most_rows: int = MOST_ROWS) -> dict:
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "features"])
 
-    n = rows.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000))
-    some = rows.where(draw < min(1_000_000, 1_200_000 * most_rows // max(n, 1))).orderBy(draw, "doc_id").limit(most_rows)
+    draw = F.xxhash64("doc_id", F.lit(9))
+    n, least = rows.agg(F.count(F.lit(1)), F.coalesce(F.min(draw), F.lit(0).cast("long"))).first()
+    some = rows.where(draw <= F.lit(hash_bound(n, 6 * most_rows // 5, least)).cast("long")).orderBy(draw, "doc_id").limit(most_rows)
     got = some.select("text", "toxic").mapInArrow(task, "toxic int, features array<int>").toArrow()
     lists = got.column("features").chunks
     sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]]).astype(np.int64)

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from llm import kneser_ney, language, toxicity
 from llm.queries import fold, op5_language, op10_toxicity
+from llm.text import hash_bound
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import docs_of, odd_rows, with_clashes, words
@@ -197,3 +198,30 @@ def test_machine_in_parts_is_the_same(monkeypatch):
     monkeypatch.setattr(toxicity, "PART", 10)
     parts = toxicity.train(owner, feature, y, 500, steps=3)
     assert all(np.allclose(whole[k], parts[k], atol=1e-3) for k in whole)
+
+
+@pytest.mark.parametrize("count", [1, 50, 10**4, 10**9, 10**12, 10**18])
+def test_a_sample_of_any_size_keeps_rows(count):
+    """Of ``count`` evenly spread hashes about as many lie within the bound as wanted, and the first always does."""
+    bound, least = hash_bound(count, 840, -(1 << 63) + 5), -(1 << 63) + 5
+    assert least <= bound < 1 << 63
+    assert (bound + (1 << 63)) * count / 2**64 == pytest.approx(min(840, count), rel=1e-6, abs=120 * (count == 10**18))
+    assert hash_bound(count, 840, (1 << 63) - 1) == (1 << 63) - 1
+
+
+def test_language_sample_with_huge_counts(spark, monkeypatch):
+    rows = [(i, f"text {i}", ["en", "de"][i % 2], "s", 0) for i in range(60)]
+    count = F.count
+    monkeypatch.setattr(F, "count", lambda c: count(c) * F.lit(10**12))  # a hot language of 3 * 10**13 rows
+    sizes = {r["lang"] for r in language.sample(docs_of(spark, rows)).collect()}
+    assert sizes == {"en", "de"}
+    labelled = docs_of(spark, rows).withColumn("toxic", (F.col("doc_id") % 4 == 0).cast("int"))
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda owner, feature, y, features: seen.append(len(y)) or {"w0": 0.0})
+    toxicity.fit(labelled)
+    assert seen and seen[0] >= 1
+
+
+def test_language_sample_of_rows_without_id(spark):
+    docs = docs_of(spark, [(None, f"text {i}", "en", "s", 0) for i in range(3000)])
+    assert language.sample(docs, per_language=50, most=80).count() == 50
