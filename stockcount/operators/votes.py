@@ -87,8 +87,8 @@ def track_decisions(votes: DataFrame, profile: VoteProfile | str = BALANCED) ->
     return decide_tallies(track_tallies(votes, p), p)
 
 
-def decide_tallies(tallies: DataFrame, p: VoteProfile = BALANCED) -> DataFrame:
-    """The decision of each row of ``track_tallies``; works on a stream as well."""
+def decide_tallies(tallies: DataFrame, p: VoteProfile = BALANCED, *more: str) -> DataFrame:
+    """The decision of each row of ``track_tallies`` and ``more`` of its columns; works on a stream as well."""
     return tallies.select(
         "track_id",
         _final_sku(p).alias("final_sku"),
@@ -96,6 +96,7 @@ def decide_tallies(tallies: DataFrame, p: VoteProfile = BALANCED) -> DataFrame:
         F.coalesce(decimals(F.col("top_sim_sum") / F.col("top_votes"), 4), F.lit(0.0)).alias("avg_sim"),
         F.col("frames_seen").alias("frames_validos"),
         "frames_scored",
+        *more,
     )
 
 

@@ -15,6 +15,7 @@ from stockcount.streaming import live
 
 _SLICES = 2
 _FRAMES = 720
+_PAUSE = 24 * 3_600_000
 
 
 def _replay(spark, name, schema):
@@ -106,13 +107,18 @@ def stream_vote_sessions(spark, sf):
   SELECT user_id * 100 + day(ts) FROM events GROUP BY 1 HAVING max(ts) + INTERVAL 24 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)"""
 )
 def stream_track_decisions(spark, sf):
-    """Tracks decided while their votes arrive; those still open at the end of the stream are not out yet."""
+    """Tracks decided while their votes arrive; those still open at the end of the stream are not out yet.
+
+    A track that is silent for a whole slice is closed, by its own processing-time timer. The last slice is empty.
+    """
     rows = views_votes_with_time(spark, sf)
     replay = _replay(spark, "decisions", "track_id long, sku string, sim double, ts timestamp, event_id long")
-    for i, part in _slices(rows, "hour", _FRAMES):
+    for i, part in [*_slices(rows, "hour", _FRAMES), (_SLICES, rows.limit(0))]:
         replay.feed(part.select("track_id", "sku", "sim", "ts", "event_id"), i)
-        replay.run_to_table(live.vote_decisions(replay.stream(), 24 * 3_600_000, "1 hour"))
-    return replay.result()
+        replay.run_to_table(live.vote_decisions(replay.stream(), _PAUSE, idle_ms=1), idle_batches=False)
+    end = rows.agg((F.unix_millis(F.max("ts")) - 3_600_000).alias("_end"))
+    out = replay.result().crossJoin(F.broadcast(end)).filter(F.col("last_ms") + _PAUSE <= F.col("_end"))
+    return out.filter("kind = 'decision'").drop("kind", "last_ms", "ts", "event_id", "_end")
 
 
 def views_votes_with_time(spark, sf):

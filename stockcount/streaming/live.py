@@ -131,53 +131,85 @@ def vote_sessions(votes: DataFrame, gap: str, delay: str, min_sim: float = 0.30)
     )
 
 
-TALLIES = "track_id long, frames_seen long, frames_scored long, top_sku string, top_votes long, top_sim_sum double"
+TALLIES = (
+    "track_id long, kind string, frames_seen long, frames_scored long, top_sku string, top_votes long, top_sim_sum double, "
+    "last_ms long, ts timestamp, event_id long"
+)
 
 
-def _vote_processor(gap_ms: int):
+def _vote_processor(gap_ms: int, idle_ms: int):
     """Processor class of open tracks, defined here so that workers receive it with the query."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class OpenTracks(StatefulProcessor):
-        """Votes per product of one track. State: frames seen, last time, and per product votes, sum and first vote."""
+        """Votes per product of one track. State: time up to which it is closed, frames seen, last time, and per product
+        votes, sum and first vote."""
 
         def init(self, handle):
             self.handle = handle
             self.state = handle.getValueState("track", "blob string")
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        def load(self):
             import json
 
-            state = json.loads(self.state.get()[0]) if self.state.exists() else {"seen": 0, "last": 0, "skus": {}}
-            for pdf in rows:
-                state["seen"] += len(pdf)
-                state["last"] = max(state["last"], int(pdf["us"].max()) // 1000)
-                for sku, part in pdf[pdf["sku"].notna()].groupby("sku"):
+            return json.loads(self.state.get()[0]) if self.state.exists() else {"closed": None, "seen": 0, "last": None, "skus": {}}
+
+        def save(self, state):
+            import json
+
+            self.state.update((json.dumps(state),))
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
+            state, out = self.load(), []
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+            timeless = pdf["us"].isna()
+            out += [("late", 0, 0, None, None, None, None, None, e) for e in pdf["event_id"][timeless]]
+            pdf = pdf[~timeless].astype({"us": "int64"})
+            for us, event, sku, sim4 in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["sku"], pdf["sim4"]):
+                if state["closed"] is not None and us <= state["closed"] + gap_ms * 1000:
+                    out.append(("late", 0, 0, None, None, None, None, us, event))
+                    continue
+                if state["seen"] and us > state["last"] + gap_ms * 1000:
+                    out.append(self.decided(state))
+                state["seen"] += 1
+                state["last"] = us if state["last"] is None else max(state["last"], us)
+                if sku is not None and sku == sku:
                     votes, total, first = state["skus"].get(sku, (0, 0.0, None))
-                    here = min([int(u), int(e)] for u, e in zip(part["us"], part["event_id"]))
-                    state["skus"][sku] = (votes + len(part), total + float(part["sim4"].sum()), min(first or here, here))
+                    state["skus"][sku] = (votes + 1, total + float(sim4), min(first or [us, event], [us, event]))
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(state["last"] + gap_ms)
-            self.state.update((json.dumps(state),))
-            yield self.frame([])
+            if state["seen"]:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+            self.save(state)
+            yield self.frame(key, out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            """The pause is over the gap: the track is closed with what it has."""
-            import json
+            """Nothing has come for the track for long: it is closed with what it has."""
+            state = self.load()
+            out = [self.decided(state)] if state["seen"] else []
+            self.save(state)
+            yield self.frame(key, out)
 
-            state = json.loads(self.state.get()[0])
-            self.state.clear()
+        def decided(self, state):
+            """The row of what is open, which is closed by this."""
             best = min(((-n, first, sku, total) for sku, (n, total, first) in state["skus"].items()), default=None)
             scored = sum(n for n, _, _ in state["skus"].values())
             lead = (best[2], -best[0], best[3]) if best else (None, None, None)
-            yield self.frame([(key[0], state["seen"], scored, *lead)])
+            row = ("decision", state["seen"], scored, *lead, state["last"] // 1000, None, None)
+            state.update(closed=state["last"], seen=0, last=None, skus={})
+            return row
 
-        def frame(self, rows):
+        def frame(self, key, out):
             import pandas as pd
 
-            names = ["track_id", "frames_seen", "frames_scored", "top_sku", "top_votes", "top_sim_sum"]
-            return pd.DataFrame(rows, columns=names).astype({"top_votes": "Int64", "top_sim_sum": "Float64"})
+            names = ["kind", "frames_seen", "frames_scored", "top_sku", "top_votes", "top_sim_sum", "last_ms", "ts", "event_id"]
+            pdf = pd.DataFrame(out, columns=names)
+            pdf.insert(0, "track_id", key[0])
+            pdf["ts"] = pd.to_datetime(pdf["ts"].astype("Int64"), unit="us", utc=True)
+            numbers = {c: "Int64" for c in ("frames_seen", "frames_scored", "top_votes", "last_ms", "event_id")}
+            return pdf.astype({"track_id": "int64", "top_sim_sum": "Float64", **numbers})
 
         def close(self):
             pass
@@ -185,20 +217,23 @@ def _vote_processor(gap_ms: int):
     return OpenTracks()
 
 
-def vote_decisions(votes: DataFrame, gap_ms: int, delay: str, profile: VoteProfile = BALANCED) -> DataFrame:
-    """The decision of a track as soon as it has been silent for ``gap_ms``, from a stream of its votes.
+def vote_decisions(votes: DataFrame, gap_ms: int, idle_ms: int = 3_600_000, profile: VoteProfile = BALANCED) -> DataFrame:
+    """Decisions of tracks and late votes, from a stream of votes.
 
-    ``votes`` has track_id, sku, sim, ts and event_id, which orders votes of equal time. Needs the RocksDB
-    state store.
+    ``decision`` rows have the decision of a track and ``last_ms``, its last vote; ``late`` rows are votes for what
+    was closed before or that have no time, with their ts and event_id. A track is closed by its own next vote after a pause of more than
+    ``gap_ms``, or when nothing has come for it for ``idle_ms`` of processing time. No watermark drops rows, so a
+    track that lags behind the others loses nothing. ``votes`` has track_id, sku, sim, ts and event_id, which orders
+    votes of equal time. Needs the RocksDB state store.
     """
-    marked = votes.withWatermark("ts", delay).withColumn("sim4", decimals("sim", 4))
+    marked = votes.withColumn("sim4", decimals("sim", 4))
     ready = marked.select(
-        "track_id", "ts", F.unix_micros("ts").alias("us"), "event_id", F.when(scored_vote(profile.min_sim_vote), F.col("sku")).alias("sku"), "sim4"
+        "track_id", F.unix_micros("ts").alias("us"), "event_id", F.when(scored_vote(profile.min_sim_vote), F.col("sku")).alias("sku"), "sim4"
     )
     tallies = ready.groupBy("track_id").transformWithStateInPandas(
-        statefulProcessor=_vote_processor(gap_ms), outputStructType=TALLIES, outputMode="Append", timeMode="EventTime"
+        statefulProcessor=_vote_processor(gap_ms, idle_ms), outputStructType=TALLIES, outputMode="Append", timeMode="ProcessingTime"
     )
-    return decide_tallies(tallies, profile)
+    return decide_tallies(tallies, profile, "kind", "last_ms", "ts", "event_id")
 
 
 def review_stream(records: DataFrame, delay: str) -> DataFrame:
