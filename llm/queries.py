@@ -8,7 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from llm import contamination, jaccard, kneser_ney, language, line_dedup, packing, perspectives, quality, records, toxicity
+from llm import (
+    alignment,
+    contamination,
+    exact_dedup,
+    hard_negatives,
+    jaccard,
+    kneser_ney,
+    language,
+    line_dedup,
+    packing,
+    perspectives,
+    quality,
+    records,
+    toxicity,
+)
 from llm.tokens import vocabulary
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +83,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.train_and_score(documents, labels, fold(3) == 1)
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.prepared(table(spark, sf_dir, "embeddings").withColumn("label", moved))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
+
+
 _BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
@@ -172,6 +200,35 @@ select conv_id, perspective, turn, role, name, segment, seg_end - length(segment
 from laid
 """
 
+OP11_SQL = """
+with held as (select doc_id, coalesce(text, '') as t from documents),
+numbered as (
+  select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
+         row_number() over (partition by t order by doc_id desc nulls last) as place, sha256(t) as text_sha256 from held)
+select doc_id, keep_id, group_size, place = 1 as kept, text_sha256 from numbered
+"""
+
+OP12_SQL = """
+with sound as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is not null and isfinite(x) and abs(x) < 16384)) = len(embedding)),
+scored as (
+  select a.vec_id as anchor_id, c.vec_id as id, a.label = c.label as own, list_dot_product(a.v, c.v)::bigint as score
+  from sound a join sound c on a.vec_id <> c.vec_id and len(a.v) = len(c.v) where a.vec_id % 100 = 0),
+positives as (
+  select anchor_id, id as positive_id, score as positive_score from scored where own
+  qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+windows as (
+  select anchor_id, positive_id, positive_score, id as negative_id, score as negative_score,
+         row_number() over (partition by anchor_id, positive_id order by score desc, id) as rank
+  from positives join scored using (anchor_id)
+  where not own and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score)
+select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from windows where rank <= 10
+"""
+
 QUERIES: dict[str, tuple[Query, str | None]] = {
     "op1_packing": (op1_packing, None),
     "op2_jaccard_join": (op2_jaccard_join, None),
@@ -183,5 +240,8 @@ QUERIES: dict[str, tuple[Query, str | None]] = {
     "op8_records": (op8_records, None),
     "op9_line_dedup": (op9_line_dedup, OP9_SQL),
     "op10_toxicity": (op10_toxicity, None),
+    "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
+    "op12_hard_negatives": (op12_hard_negatives, OP12_SQL),
+    "op13_alignment": (op13_alignment, None),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }

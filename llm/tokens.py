@@ -26,14 +26,14 @@ REMEMBERED = 400_000
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
 
-def _printable() -> dict[int, str]:
+def byte_alphabet() -> dict[int, str]:
     """Byte to printable character, the byte-level alphabet: printable bytes stand for themselves, the rest follow at 256."""
     same = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in same]
     return {b: chr(b) for b in same} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-_LATIN = {c: "".join(_printable()[b] for b in chr(c).encode()) for c in range(128, 256)}
+_LATIN = {c: "".join(byte_alphabet()[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 def vocabulary(name: str) -> str:

@@ -18,5 +18,5 @@ def test_matches_duckdb(spark, name):
 
 def test_each_operator_is_registered_once():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert "pipeline" in QUERIES
