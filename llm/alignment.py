@@ -6,8 +6,8 @@ last one. Fragments of neighbouring ranges compose: the left tail and the right
 is associative, and a range without tokens is its identity, so fragments may be composed in any tree.
 
 - Both tokenizers work on their own on what a single space begins, if no white space is around: no token crosses such a
-  place. The smallest ranges are these units; each distinct one of a slice is tokenized and aligned once and remembered.
-- A text of up to ``LONG`` bytes is composed of the fragments of its units inside one task.
+  place. The smallest ranges are these units; each distinct one of a slice of texts is tokenized and aligned once.
+- A text of up to ``LONG`` bytes is composed of the fragments of its units, which have no open ends, inside one task.
 - A longer text is cut at units into segments, which spread over tasks. Each yields the fragments of its byte ranges of
   ``RANGE`` bytes. Closed groups stay as they are; only open ends go up a tree of ``FAN`` fragments at a time, in rounds.
   At last the groups of a text pass through one task in order, as a stream, for the digest alone.
@@ -25,7 +25,6 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from hashlib import sha256
-from itertools import accumulate
 from typing import NamedTuple
 
 import numpy as np
@@ -47,8 +46,9 @@ from llm.tokens import byte_alphabet
 #: Bytes beyond which a text is spread over tasks, of a segment and of a range.
 LONG, SEGMENT, RANGE = 32_768, 16_384, 4_096
 FAN = 8
-#: Units a worker remembers, pairs a task counts before handing them on, pairs of a table of counts that workers read.
-REMEMBERED, COUNTED, FEW_PAIRS = 200_000, 2_000_000, 8_000_000
+#: Units that go to the tokenizers in one run, bytes of text worked on at once, pairs a task counts before handing them on, pairs of a table of counts that workers read.
+RUN = 1024
+AT_ONCE, COUNTED, FEW_PAIRS = 1_500_000, 2_000_000, 8_000_000
 
 Ids = tuple[int, ...]
 Group = tuple[Ids, Ids]
@@ -76,16 +76,14 @@ def compose(x: Fragment, y: Fragment) -> Fragment:
     return Fragment(x.head, (*x.closed, joined(x.tail, y.head), *y.closed), y.tail)
 
 
-def fragment(a: Ids, a_ends: list[int], b: Ids, b_ends: list[int]) -> Fragment:
-    """The fragment of the tokens of one range, with the byte offsets at which they end."""
-    ends = sorted(set(a_ends) & set(b_ends))
-    groups, i, j = [], 0, 0
-    for end in ends:
-        k, m = a_ends.index(end, i) + 1, b_ends.index(end, j) + 1
-        groups.append((a[i:k], b[j:m]))
-        i, j = k, m
-    rest = (a[i:], b[j:])
-    return Fragment(groups[0], tuple(groups[1:]), rest) if groups else Fragment(rest)
+def fragment(a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> tuple[bool, list[np.ndarray]]:
+    """The fragment of the tokens of one range, with the byte offsets at which they end: whether there is a common end, then ids
+    of head and tail (A's and B's each), ids of the closed groups one after the other, and the numbers of ids in each."""
+    ends = np.intersect1d(a_ends, b_ends)
+    if len(ends) == 0:
+        return False, [a, b, *[a[:0]] * 6]
+    p, q = np.searchsorted(a_ends, ends) + 1, np.searchsorted(b_ends, ends) + 1
+    return True, [a[: p[0]], b[: q[0]], a[p[-1] :], b[q[-1] :], a[p[0] : p[-1]], b[q[0] : q[-1]], np.diff(p), np.diff(q)]
 
 
 def groups_of(whole: Fragment) -> list[Group]:
@@ -114,19 +112,65 @@ def unit_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(starts)
 
 
-class Unit(NamedTuple):
-    """Both tokenizers' ids of a unit, and what its groups come to; ``sound`` if both give its bytes back."""
+class Units(NamedTuple):
+    """Aligned units. Ids and linked pairs are one after the other, with the bounds of each unit's; those of a unit that is not
+    ``sound``, because a tokenizer does not give its bytes back, are none."""
 
-    a: Ids
-    b: Ids
-    text: str
-    n_groups: int
-    pairs: Ids
-    sound: bool
+    sound: np.ndarray
+    a: np.ndarray
+    a_bounds: np.ndarray
+    b: np.ndarray
+    b_bounds: np.ndarray
+    n_groups: np.ndarray
+    pairs: np.ndarray
+    pair_bounds: np.ndarray
+    texts: list[str]
+
+
+def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each start, ``size`` numbers."""
+    return np.arange(int(sizes.sum())) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+
+
+def _reordered(sizes: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Places of the members of groups of the given sizes when the groups are put into another order."""
+    return _spans((np.cumsum(sizes) - sizes)[order], sizes[order])
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+class _Entries:
+    """Bytes of a vocabulary's entries, and their numbers as text with what follows inside a group and at its end."""
+
+    def __init__(self, entries: list[bytes], last: str) -> None:
+        self.sizes = np.array([len(x) for x in entries], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.data = np.frombuffer(b"".join(entries), np.uint8)
+        numbers = range(len(entries))
+        self.inside, self.last = (np.array([f"{i}{x}" for i in numbers], dtype=object) for x in (",", last))
+
+    def tokens(self, lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and how many each unit has."""
+        n = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for ids in lists for i in ids), np.int64, int(n.sum())), n
+
+    def given_back(self, ids: np.ndarray, n: np.ndarray, data: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Which units' tokens are the unit's bytes."""
+        bounds = _bounds(n)
+        same = _summed(self.sizes[ids], bounds) == sizes
+        of_same = np.repeat(same, n)
+        ids = ids[of_same]
+        ours = self.data[_spans(self.starts[ids], self.sizes[ids])]
+        theirs = data[np.repeat(same, sizes)]
+        unit = np.repeat(np.flatnonzero(same), sizes[same])
+        same[unit[ours != theirs]] = False
+        return same
 
 
 class Aligner:
-    """Aligned units; one for each worker and pair of vocabulary files."""
+    """Both tokenizers; one for each worker and pair of vocabulary files."""
 
     _own: dict[tuple[str, str], Aligner] = {}
 
@@ -141,14 +185,12 @@ class Aligner:
         byte_of = {c: b for b, c in byte_alphabet().items()}
         special = self.a.get_added_tokens_decoder()
         entries = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
-        self.a_bytes = [c.encode() if i in special else bytes(byte_of[x] for x in c) for i, c in enumerate(entries)]
+        self.of_a = _Entries([c.encode() if i in special else bytes(byte_of[x] for x in c) for i, c in enumerate(entries)], "|")
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
-        self.b_bytes = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.of_b = _Entries([bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)], ";")
         # No piece may go on after white space, or units would not stand alone.
         self.alone = not any("▁" in p.lstrip("▁") for p in pieces)
-        self.a_sizes = np.array([len(x) for x in self.a_bytes], dtype=np.int64)
-        self.b_sizes = np.array([len(x) for x in self.b_bytes], dtype=np.int64)
-        self.units: dict[bytes, Unit] = {}
+        self.size = len(pieces)
 
     @classmethod
     def of(cls, path_a: str, path_b: str) -> Aligner:
@@ -156,30 +198,64 @@ class Aligner:
             cls._own[path_a, path_b] = cls(path_a, path_b)
         return cls._own[path_a, path_b]
 
-    def unit(self, raw: bytes, a: Ids, b: Ids) -> Unit:
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(a_parts) != raw or b"".join(b_parts) != raw:
-            return Unit((), (), "", 0, (), False)
-        groups = groups_of(fragment(a, list(accumulate(map(len, a_parts))), b, list(accumulate(map(len, b_parts)))))
-        size = len(self.b_bytes)
-        pairs = tuple([x * size + y for p, q in groups for x in p for y in q])
-        return Unit(a, b, ";".join(map(written, groups)), len(groups), pairs, True)
-
-    def known(self, distinct: list[bytes]) -> list[Unit]:
-        """The units of the given bytes, each of which begins with a space."""
-        if len(self.units) + len(distinct) > REMEMBERED:
-            self.units = {}
-        new = [raw for raw in distinct if raw not in self.units]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            texts = [raw.decode() for raw in part]
-            a = self.a.encode_batch_fast(texts, add_special_tokens=False)
-            b = self.b.encode([t[1:] for t in texts], num_threads=1)
-            for raw, x, y in zip(part, a, b, strict=True):
-                self.units[raw] = self.unit(raw, tuple(x.ids), tuple(y))
-        return [self.units[raw] for raw in distinct]
-
-    def split(self, texts: pa.Array) -> tuple[list[Unit], np.ndarray, np.ndarray]:
+    def encoded(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Ids of A and how many each run of bytes has, the same of B, and whether both give the run's bytes back."""
+        runs = pa.Array.from_buffers(pa.large_string(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+        texts, sizes = runs.to_pylist(), np.diff(bounds)
+        a, n_a = self.of_a.tokens([x.ids for x in self.a.encode_batch_fast(texts, add_special_tokens=False)])
+        b, n_b = self.of_b.tokens(self.b.encode([t[1:] for t in texts], num_threads=1) if texts else [])
+        held = data[bounds[0] : bounds[-1]]
+        return a, n_a, b, n_b, self.of_a.given_back(a, n_a, held, sizes) & self.of_b.given_back(b, n_b, held, sizes)
+
+    def aligned(self, distinct: pa.Array) -> Units:
+        """The given units, each of which begins with a space.
+
+        Neighbours go to the tokenizers in one run, as long as a unit may begin where they meet. A run that does not come back
+        whole is taken apart into its units.
+        """
+        offsets = np.frombuffer(distinct.buffers()[1], np.int64)[: len(distinct) + 1]
+        data = np.frombuffer(distinct.buffers()[2], np.uint8)[: offsets[-1]]
+        sizes, each = np.diff(offsets), np.arange(len(distinct))
+        safe = np.zeros(len(data) + 1, dtype=bool)
+        if self.alone and len(data):
+            safe[unit_starts(data, np.array([0]))] = True
+        heads = np.flatnonzero(~safe[offsets[:-1]] | (each % RUN == 0))
+        a, n_a, b, n_b, whole = self.encoded(data, offsets[np.append(heads, len(distinct))])
+        sound = np.repeat(whole, np.diff(np.append(heads, len(distinct))))
+        if not whole.all():
+            apart = each[~sound]
+            units = pc.take(distinct, pa.array(apart))
+            held = np.frombuffer(units.buffers()[2], np.uint8)
+            c, n_c, d, n_d, single = self.encoded(held, np.frombuffer(units.buffers()[1], np.int64)[: len(units) + 1])
+            # Sound runs and units in the order of their first unit.
+            order = np.argsort(np.concatenate([heads[whole], apart[single]]), kind="stable")
+            merge = lambda x, n, y, m: np.concatenate([x[np.repeat(whole, n)], y[np.repeat(single, m)]])[_reordered(np.concatenate([n[whole], m[single]]), order)]
+            a, b = merge(a, n_a, c, n_c), merge(b, n_b, d, n_d)
+            sound[apart] = single
+        ends = np.cumsum(np.where(sound, sizes, 0))
+        # Offsets run over all sound units: each unit's end is a common one.
+        a_ends, b_ends = np.cumsum(self.of_a.sizes[a]), np.cumsum(self.of_b.sizes[b])
+        n_a, n_b = (np.diff(np.searchsorted(x, ends, "right"), prepend=0) for x in (a_ends, b_ends))
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        a_last, b_last = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
+        g_a, g_b = np.diff(a_last, prepend=0), np.diff(b_last, prepend=0)
+        n_groups = np.diff(np.searchsorted(common, ends, "right"), prepend=0)
+        links = g_a * g_b
+        group = np.repeat(np.arange(len(common)), links)
+        nth = _spans(np.zeros(len(common), dtype=np.int64), links)
+        pairs = a[(a_last - g_a)[group] + nth // g_b[group]] * self.size + b[(b_last - g_b)[group] + nth % g_b[group]]
+        n_links = _summed(links, _bounds(n_groups))
+        # Numbers as text in the order of the groups: A's, the last with a bar, then B's, the last with a semicolon.
+        shown = np.empty(len(a) + len(b), dtype=object)
+        at_a, at_b = np.arange(len(a)) + np.repeat(b_last - g_b, g_a), np.arange(len(b)) + np.repeat(a_last, g_b)
+        shown[at_a], shown[at_b] = self.of_a.inside[a], self.of_b.inside[b]
+        shown[at_a[a_last - 1]], shown[at_b[b_last - 1]] = self.of_a.last[a[a_last - 1]], self.of_b.last[b[b_last - 1]]
+        bounds = _bounds(n_a + n_b).tolist()
+        shown = shown.tolist()
+        texts = ["".join(shown[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+        return Units(sound, a, _bounds(n_a), b, _bounds(n_b), n_groups, pairs, _bounds(n_links), texts)
+
+    def split(self, texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
         """Distinct units of texts that each begin with a space, codes of all units, and bounds of each text's units."""
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
         data = np.frombuffer(texts.buffers()[2], np.uint8)[: offsets[-1]]
@@ -187,20 +263,17 @@ class Aligner:
         bounds = np.append(starts, offsets[-1])
         units = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), texts.buffers()[2]])
         coded = units.dictionary_encode()
-        return self.known(coded.dictionary.to_pylist()), coded.indices.to_numpy(), np.searchsorted(starts, offsets)
+        return self.aligned(coded.dictionary), coded.indices.to_numpy(), np.searchsorted(starts, offsets)
 
 
 def spaced(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), texts, pa.scalar("", pa.large_string()))
 
 
-def _gathered(parts: list[Ids], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The numbers of the coded parts one after the other, and how many each has."""
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    flat = np.fromiter((x for p in parts for x in p), np.int64, int(sizes.sum()))
-    starts, n = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
-    at = np.arange(int(n.sum())) + np.repeat(starts - (np.cumsum(n) - n), n)
-    return flat[at], n
+def _gathered(flat: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the coded units one after the other, and how many each has."""
+    n = np.diff(bounds)[codes]
+    return flat[_spans(bounds[codes], n)], n
 
 
 def _summed(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -216,22 +289,21 @@ def short_texts(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner.of(path_a, path_b)
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=AT_ONCE):
             held = pc.binary_length(texts).to_numpy(zero_copy_only=False) > 0
-            # An empty text is a single space here, a unit that is not sound.
+            # An empty text is a single space here.
             units, codes, bounds = aligner.split(spaced(texts))
-            sound = held & (_summed(np.array([not u.sound for u in units], dtype=np.int64)[codes], bounds) == 0)
-            numbers = [np.array([f(u) for u in units], dtype=np.int64)[codes] for f in (lambda u: len(u.a), lambda u: len(u.b), lambda u: u.n_groups, lambda u: len(u.pairs))]
-            sums = [np.where(sound, _summed(x, bounds), 0) for x in numbers]
-            names = [u.text for u in units]
-            digests = [
-                sha256(";".join([names[c] for c in codes[a:b]]).encode()).hexdigest() if good else ""
-                for good, a, b in zip(sound.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)
-            ]
-            owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-            good = sound[owner]
-            flat, n = _gathered([u.pairs for u in units], codes[good])
-            keyed, times = np.unique(np.repeat(owner[good], n) << 32 | flat, return_counts=True)
+            sound = held & (_summed(~units.sound[codes], bounds) == 0)
+            numbers = [np.diff(units.a_bounds), np.diff(units.b_bounds), units.n_groups, np.diff(units.pair_bounds)]
+            sums = [np.where(sound, _summed(x[codes], bounds), 0) for x in numbers]
+            digests, listed = [], codes.tolist()
+            for good, x, y in zip(sound.tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                whole = "".join([units.texts[c] for c in listed[x:y]])[:-1] if good else ""
+                digests.append(sha256(whole.encode()).hexdigest() if good else "")
+            good = np.repeat(sound, np.diff(bounds))
+            flat, n = _gathered(units.pairs, units.pair_bounds, codes[good])
+            owner = np.repeat(np.arange(len(texts)), np.diff(bounds))[good]
+            keyed, times = np.unique(np.repeat(owner, n) << 32 | flat, return_counts=True)
             ends = np.searchsorted(keyed, np.arange(len(texts) + 1) << 32).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -252,7 +324,7 @@ def segments(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         alone, key = Aligner.of(path_a, path_b).alone, TaskContext.get().partitionId() << 33
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=AT_ONCE):
             for doc_id, text in zip(rows.column("doc_id").to_pylist(), texts, strict=True):
                 raw = b" " + text.as_py().encode()
                 starts = unit_starts(np.frombuffer(raw, np.uint8), np.array([0])) if alone else np.array([0])
@@ -281,26 +353,20 @@ def range_fragments(pieces: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for frame in frames:
             out = []
             for r in frame.itertuples(index=False):
-                texts = pa.array([r.piece], pa.large_binary())
-                units, codes, _ = aligner.split(texts)
-                if not all(u.sound for u in units):
+                units, codes, _ = aligner.split(pa.array([r.piece], pa.large_binary()))
+                if not units.sound.all():
                     out.append((r.key, r.start, False, False, *[[]] * 8))
                     continue
-                a, _ = _gathered([u.a for u in units], codes)
-                b, _ = _gathered([u.b for u in units], codes)
-                a_ends, b_ends = r.start + np.cumsum(aligner.a_sizes[a]), r.start + np.cumsum(aligner.b_sizes[b])
+                a, _ = _gathered(units.a, units.a_bounds, codes)
+                b, _ = _gathered(units.b, units.b_bounds, codes)
+                a_ends, b_ends = r.start + np.cumsum(aligner.of_a.sizes[a]), r.start + np.cumsum(aligner.of_b.sizes[b])
                 last = r.start + len(r.piece)
-                # A range holds the tokens that end in it, after its first byte's offset up to the next range's.
+                # A range holds the tokens that end after its first byte's offset, up to the next range's.
                 for low in [r.start, *range((r.start // RANGE + 1) * RANGE, last, RANGE)]:
                     high = min((low // RANGE + 1) * RANGE, last)
                     (i, j), (k, m) = np.searchsorted(a_ends, [low, high], "right"), np.searchsorted(b_ends, [low, high], "right")
-                    x, y, x_ends, y_ends = a[i:j], b[k:m], a_ends[i:j], b_ends[k:m]
-                    ends = np.intersect1d(x_ends, y_ends)
-                    if len(ends) == 0:
-                        out.append((r.key, low, True, False, x, y, *[[]] * 6))
-                        continue
-                    p, q = np.searchsorted(x_ends, ends) + 1, np.searchsorted(y_ends, ends) + 1
-                    out.append((r.key, low, True, True, x[: p[0]], y[: q[0]], x[p[-1] :], y[q[-1] :], x[p[0] : p[-1]], y[q[0] : q[-1]], np.diff(p), np.diff(q)))
+                    closing, parts = fragment(a[i:j], a_ends[i:j], b[k:m], b_ends[k:m])
+                    out.append((r.key, low, True, closing, *parts))
             yield pd.DataFrame(out, columns=names)
 
     names = [c.split()[0] for c in FRAGMENT.split(", ")]
@@ -465,8 +531,8 @@ def _written(df: DataFrame, spark: SparkSession, name: str) -> tuple[DataFrame,
 def aligned(docs: DataFrame, path_a: str, path_b: str, long: int = LONG, few_pairs: int = FEW_PAIRS) -> DataFrame:
     """SUMMARY of each row of ``docs`` with n_best and count_sum; A's file is byte-level BPE, B's a SentencePiece model."""
     spark, aligner = docs.sparkSession, Aligner.of(path_a, path_b)
-    size = len(aligner.b_bytes)
-    if len(aligner.a_bytes) * size >= 1 << 31:
+    size = aligner.size
+    if len(aligner.of_a.sizes) * size >= 1 << 31:
         raise ValueError("a pair of ids must fit into 31 bits")
     docs = private(docs, "doc_id", "text")
     is_long = F.coalesce(F.octet_length("text") > long, F.lit(False))

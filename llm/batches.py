@@ -12,15 +12,17 @@ import pyarrow.compute as pc
 SLICE_BYTES = 6_000_000
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """Runs of rows with at most ``SLICE_BYTES`` of text (or one row), and their texts with null as empty."""
+def slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Runs of rows with at most ``most`` bytes of text (or one row), and their texts with null as empty."""
     for batch in batches:
         texts = pc.fill_null(batch.column(text).cast(pa.large_string()), "")
         ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         at = 0
         while at < len(ends):
             done = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, done + SLICE_BYTES, side="right")))
+            to = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield batch.slice(at, to - at), texts.slice(at, to - at)
             at = to
 
