@@ -14,12 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stockcount.scale import fits
+from stockcount.scale import compact
 
 QUERY_ROWS = 1024
 REF_ROWS = 4096
-# References up to this number are broadcast in packed form (200 MB at 512 doubles each).
-BROADCAST_REFS = 50_000
+# References up to these bytes are broadcast in packed form.
+BROADCAST_BYTES = 128_000_000
+# Queries of a scope that share a lane, beyond it.
+LANE_QUERIES = 65_536
 WHOLE = "*"
 
 
@@ -97,6 +99,26 @@ def _similarity(score: str):
     return cosine if score == "cosine" else box_iou
 
 
+def best_in_block(sims, labels, k: int):
+    """Row, label and similarity of the ``k`` best labels per row of a block; equal labels are neighbours."""
+    import numpy as np
+
+    starts = np.concatenate(([0], np.flatnonzero(labels[1:] != labels[:-1]) + 1))
+    best = np.maximum.reduceat(sims, starts, axis=1)
+    names = labels[starts]
+    if best.shape[1] > k:
+        floor = np.partition(best, -k, axis=1)[:, -k]
+        rows, cols = np.nonzero(best >= floor[:, None])
+    else:
+        rows, cols = np.nonzero(np.ones_like(best, dtype=bool))
+    vals = best[rows, cols]
+    order = np.lexsort((cols, -vals, rows))
+    rows, cols, vals = rows[order], cols[order], vals[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], names[cols[keep]], vals[keep]
+
+
 def _matcher(k: int, score: str, tagged: bool):
     """Task-side scoring of one packed query row against one packed reference row.
 
@@ -122,25 +144,12 @@ def _matcher(k: int, score: str, tagged: bool):
                     continue
                 q = np.frombuffer(mat, dtype="float64").reshape(int(n), -1)
                 r = np.frombuffer(ref_mat, dtype="float64").reshape(int(ref_n), -1)
-                labels = np.asarray(labels)
-                starts = np.concatenate(([0], np.flatnonzero(labels[1:] != labels[:-1]) + 1))
-                best = np.maximum.reduceat(similarity(q, r), starts, axis=1)
-                names = labels[starts]
-                if best.shape[1] > k:
-                    floor = np.partition(best, -k, axis=1)[:, -k]
-                    rows, cols = np.nonzero(best >= floor[:, None])
-                else:
-                    rows, cols = np.nonzero(np.ones_like(best, dtype=bool))
-                vals = best[rows, cols]
-                order = np.lexsort((cols, -vals, rows))
-                rows, cols, vals = rows[order], cols[order], vals[order]
-                first = np.searchsorted(rows, rows, side="left")
-                keep = np.arange(len(rows)) - first < k
-                out_key.append(np.asarray(keys)[rows[keep]])
-                out_label.append(names[cols[keep]])
-                out_sim.append(vals[keep])
+                rows, names, vals = best_in_block(similarity(q, r), np.asarray(labels), k)
+                out_key.append(np.asarray(keys)[rows])
+                out_label.append(names)
+                out_sim.append(vals)
                 if tagged:
-                    out_tag.append(np.asarray(tags, dtype=object)[rows[keep]])
+                    out_tag.append(np.asarray(tags, dtype=object)[rows])
             if out_key:
                 result = pd.DataFrame(
                     {
@@ -194,31 +203,39 @@ def _pack(
     return df.select(*cols).mapInPandas(_packer(rows, unit, drop_zero, ordered, tagged), schema)
 
 
+def packed_bytes(refs: DataFrame) -> int:
+    """Bytes of the packed vectors of ``refs``."""
+    return refs.agg(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0
+
+
 def _meet(
     chunks: DataFrame,
     blocks: DataFrame,
+    queries: DataFrame,
     refs: DataFrame,
-    broadcast_refs: int,
+    broadcast_bytes: int,
     on: Column | None = None,
     how: str = "inner",
 ) -> DataFrame:
     """Joins packed queries with the packed references of their scope.
 
-    References of a checked size are broadcast. Beyond it the query side of a scope is spread over
-    lanes and its reference blocks are copied to each lane, so that no task receives a whole scope.
+    References of a checked size in bytes are broadcast. Beyond it the queries of a scope are spread over lanes
+    by their number, and its reference blocks are copied to its own lanes alone, so that no task receives a whole
+    hot scope and a scope with few queries has its blocks once.
     """
-    if fits(refs, broadcast_refs):
+    if packed_bytes(refs) <= broadcast_bytes:
         joined = chunks.join(F.broadcast(blocks), "scope", how)
     else:
-        lanes = max(64, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        laned = chunks.withColumn("lane", F.pmod(F.xxhash64("mat"), F.lit(lanes)).cast("int"))
-        copies = blocks.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-        joined = laned.join(copies, ["scope", "lane"], how)
+        asked = queries.filter("scope is not null").groupBy("scope").agg(F.count(F.lit(1)).alias("asked"))
+        lanes = compact(asked.select("scope", F.ceil(F.col("asked") / LANE_QUERIES).cast("int").alias("lanes")))
+        laned = chunks.join(lanes, "scope", "left").withColumn("lane", F.pmod(F.xxhash64("mat"), F.col("lanes")).cast("int"))
+        copies = blocks.join(lanes, "scope").withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)))
+        joined = laned.drop("lanes").join(copies.drop("lanes"), ["scope", "lane"], how)
     return joined if on is None else joined.filter(on)
 
 
 def block_hits(
-    queries: DataFrame, refs: DataFrame, k: int, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
+    queries: DataFrame, refs: DataFrame, k: int, score: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """(key, label, sim) rows, at most ``k`` per query and block.
 
@@ -237,7 +254,7 @@ def block_hits(
     cols = ["keys", "mat", "n", "labels", "ref_mat", "ref_n", *(["tags"] if tagged else [])]
     schema = f"key {q_type}, label {l_type}, sim double" + (", tag string" if tagged else "")
     hits = (
-        _meet(chunks, blocks, refs, broadcast_refs, how="left" if tagged else "inner")
+        _meet(chunks, blocks, queries, refs, broadcast_bytes, how="left" if tagged else "inner")
         .select(*cols)
         .mapInPandas(_matcher(k, score, tagged), schema)
     )
@@ -245,10 +262,10 @@ def block_hits(
 
 
 def best_labels(
-    queries: DataFrame, refs: DataFrame, k: int, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
+    queries: DataFrame, refs: DataFrame, k: int, score: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """The ``k`` best labels per query: key, label, sim, rank; ties go to the smaller label."""
-    hits = block_hits(queries, refs, k, score, broadcast_refs)
+    hits = block_hits(queries, refs, k, score, broadcast_bytes)
     tag = ["tag"] if "tag" in queries.columns else []
     # One exchange on the query serves both the maximum over blocks and the ranking.
     merged = hits.repartition("key").groupBy("key", "label", *tag).agg(F.max("sim").alias("sim"))
@@ -257,15 +274,15 @@ def best_labels(
 
 
 def best_score(
-    queries: DataFrame, refs: DataFrame, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
+    queries: DataFrame, refs: DataFrame, score: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Highest score per query over every reference of its scope: key, sim."""
     flat = refs.select("scope", F.lit(0).alias("label"), "vec")
-    return block_hits(queries, flat, 1, score, broadcast_refs).groupBy("key").agg(F.max("sim").alias("sim"))
+    return block_hits(queries, flat, 1, score, broadcast_bytes).groupBy("key").agg(F.max("sim").alias("sim"))
 
 
 def with_earlier_partner(
-    items: DataFrame, threshold: float, strict: bool, score: str = "cosine", broadcast_refs: int = BROADCAST_REFS
+    items: DataFrame, threshold: float, strict: bool, score: str = "cosine", broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Keys of the items that have a close item of their scope before them in the order (o1, o2)."""
     unit = score == "cosine"
@@ -281,7 +298,7 @@ def with_earlier_partner(
     )
     # Blocks that lie entirely after a chunk cannot matter to it.
     return (
-        _meet(chunks, blocks, items, broadcast_refs, on=F.col("ref_low") <= F.col("high"))
+        _meet(chunks, blocks, items, items, broadcast_bytes, on=F.col("ref_low") <= F.col("high"))
         .select("keys", "mat", "n", "o1", "o2", "ref_mat", "ref_n", "ref_o1", "ref_o2")
         .mapInPandas(_earlier(score, threshold, strict), f"key {k_type}")
         .distinct()

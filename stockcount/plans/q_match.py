@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from stockcount.functions import vectors as vec
 from stockcount.functions.numbers import decimals
 from stockcount.operators import identify as ident
-from stockcount.operators import knn
+from stockcount.operators import knn, pivots
 from stockcount.plans.registry import query
 from stockcount.scale import shared_dir
 from stockcount.sources import stores, views
@@ -103,6 +103,29 @@ def knn_max_topk(spark, sf):
     return hits.withColumn("similitud", decimals("similitud", 6))
 
 
+@query(
+    f"""WITH {_REFS}, q AS (SELECT crop_id, {_unit('embedding::DOUBLE[]')} AS v FROM fx_query),
+s AS (SELECT q.crop_id, r.ean, max(list_dot_product(q.v, r.v)) AS sim FROM q, refs r GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY crop_id ORDER BY sim DESC, ean) AS rank FROM s)
+SELECT crop_id, rank::INTEGER AS rank, ean, round(sim, 6) AS similitud, TRUE AS cuadra FROM t WHERE rank <= 3"""
+)
+def knn_pruned(spark, sf):
+    """The same rows through the pivot index; ``cuadra``: no block was met twice and none skipped that was not met."""
+    hits, counts = _pruned(spark, sf)
+    fine = counts.select(((F.col("met") <= F.col("pairs")) & (F.col("skipped") <= F.col("met"))).alias("cuadra"))
+    return hits.withColumn("similitud", decimals("similitud", 6)).crossJoin(F.broadcast(fine))
+
+
+@query()
+def knn_pruned_blocks(spark, sf):
+    """Pairs of crop chunks and reference blocks, those met in tasks, and those skipped there."""
+    return _pruned(spark, sf)[1]
+
+
+def _pruned(spark, sf):
+    return pivots.search_pruned(views.query_crops(spark, sf), pivots.build_index(views.catalog_refs(spark, sf), 64), k=3)
+
+
 _CATEGORY_OF = "['Botella','lata','bolsa','frasco',''][crop_id // 10 % 5 + 1]"
 
 

@@ -21,8 +21,8 @@ def frame(spark, names, rows, types):
     return spark.createDataFrame(rows, ", ".join(f"{n} {t}" for n, t in zip(names, types)))
 
 
-@pytest.mark.parametrize("broadcast_refs", [100_000, 0])
-def test_topk_equals_brute_force(spark, monkeypatch, broadcast_refs):
+@pytest.mark.parametrize("broadcast_bytes", [100_000_000, 0])
+def test_topk_equals_brute_force(spark, monkeypatch, broadcast_bytes):
     monkeypatch.setattr(blockmatch, "QUERY_ROWS", 7)
     monkeypatch.setattr(blockmatch, "REF_ROWS", 5)
     q, r = vectors(1, 40), vectors(2, 90)
@@ -33,7 +33,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, broadcast_refs):
         spark, ["ean", "embedding"], [(lab, v.tolist()) for lab, v in zip(labels, r)], ["string", "array<float>"]
     ).repartition(4)
     got = {}
-    for row in knn.search(queries, refs, k=4, broadcast_refs=broadcast_refs).collect():
+    for row in knn.search(queries, refs, k=4, broadcast_bytes=broadcast_bytes).collect():
         got.setdefault(row.crop_id, []).append((row["rank"], row.ean, row.similitud))
     sims = unit(q.astype("float64")) @ unit(r.astype("float64")).T
     for i in range(40):
