@@ -4,7 +4,7 @@ The link of one video is sequential, but boxes that can never overlap, or lie fu
 than a track survives, do not influence each other. The video is therefore cut, first at gaps in
 time longer than a track's life, then into islands of boxes whose x- and y-extents never meet.
 Each part runs on its own, reads its boxes as a sorted stream and holds only its live tracks, and
-the result equals that of the uncut video.
+the result equals that of the uncut video. A part that is still large is linked in chunks of time (``crowd``).
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stockcount.functions import geometry as geo
-from stockcount.scale import cut, numbered, running_sum
+from stockcount.operators.crowd import CHUNK_BOXES, PART, link_chunks, time_chunks
+from stockcount.scale import compact, cut, numbered, running_sum
 
 FRAME_BUCKET = 4096
 LANE_BOXES = 20_000
@@ -124,8 +125,8 @@ def _islands(spans: DataFrame, keys: list[str], low: str, high: str, name: str)
     return spans.join(swept.select(*keys, low, name), [*keys, low])
 
 
-def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_BOXES) -> DataFrame:
-    """Adds ``segment`` and ``lane``: boxes in different (video, segment, lane) never share a track.
+def corner_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_BOXES) -> DataFrame:
+    """video_id, cell, x1, y1, boxes with the ``segment`` and ``lane`` of each corner.
 
     Islands are hashed to lanes; a segment gets one lane per ``lane_boxes`` boxes.
     """
@@ -138,15 +139,23 @@ def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_
         .groupBy("video_id", "segment")
         .agg(F.ceil(F.sum("boxes") / F.lit(lane_boxes)).alias("lanes"))
     )
-    split = spans.drop("boxes").join(segments, ["video_id", "cell"])
+    split = spans.join(segments, ["video_id", "cell"])
     split = _islands(split, ["video_id", "segment"], "x1", "x2", "island_x")
     split = _islands(split, ["video_id", "segment", "island_x"], "y1", "y2", "island_y")
     lane = F.pmod(F.xxhash64("island_x", "island_y"), F.col("lanes")).cast("int")
-    placed = split.join(sizes, ["video_id", "segment"]).select(
-        "video_id", "cell", "x1", "y1", "segment", lane.alias("lane")
+    return split.join(sizes, ["video_id", "segment"]).select(
+        "video_id", "cell", "x1", "y1", "segment", lane.alias("lane"), "boxes"
     )
+
+
+def _in_parts(detections: DataFrame, corners: DataFrame, reach: int) -> DataFrame:
     cell = F.floor(F.col("frame_idx") / F.lit(reach + 1))
-    return detections.withColumn("cell", cell).join(placed, ["video_id", "cell", "x1", "y1"]).drop("cell")
+    return detections.withColumn("cell", cell).join(corners.drop("boxes"), ["video_id", "cell", "x1", "y1"])
+
+
+def independent_parts(detections: DataFrame, reach: int, lane_boxes: int = LANE_BOXES) -> DataFrame:
+    """Adds ``segment`` and ``lane``: boxes in different (video, segment, lane) never share a track."""
+    return _in_parts(detections, corner_parts(detections, reach, lane_boxes), reach).drop("cell")
 
 
 _LINKED = (
@@ -154,9 +163,11 @@ _LINKED = (
 )
 
 
-def frame_step(settings: TrackerSettings):
+def frame_step(settings: TrackerSettings, ties: list[tuple] | None = None):
     """Task-side advance of the live tracks by the boxes of one frame.
 
+    ``ties`` collects the pairs of free tracks that overlapped a box alike, of which the earlier one in order got it.
+
     Live tracks are lists in order of birth: four corners, birth frame, birth box, hits, last matched
     frame. The step returns the live tracks, those that expired before the frame, and one tuple
     (frame, box, track) per linked box.
@@ -201,10 +212,13 @@ def frame_step(settings: TrackerSettings):
             # The sort is stable: equal overlaps keep the order of boxes, then of tracks.
             pairs.sort(key=lambda p: -p[0])
             taken = set()
-            for _, d, t in pairs:
+            for n, (overlap, d, t) in enumerate(pairs):
                 if owner[d] is None and t not in taken:
                     owner[d] = tracks[t]
                     taken.add(t)
+                    while ties is not None and (n := n + 1) < len(pairs) and pairs[n][:2] == (overlap, d):
+                        if pairs[n][2] not in taken:
+                            ties.append((tracks[t], tracks[pairs[n][2]]))
         linked = []
         for d, trk in enumerate(owner):
             if trk is not None:
@@ -279,22 +293,33 @@ def _linker(settings: TrackerSettings):
     return link
 
 
-def link_detections(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES) -> DataFrame:
+def link_detections(
+    detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES, chunk_boxes: int = CHUNK_BOXES
+) -> DataFrame:
     """One row per box that belongs to a track: the track's birth (frame, box), hits and age so far."""
-    parts = independent_parts(
-        detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf"), settings.reach, lane_boxes
-    )
-    keys = ["video_id", "segment", "lane"]
+    slim = detections.select("video_id", "frame_idx", "det_idx", "x1", "y1", "x2", "y2", "conf")
+    corners = corner_parts(slim, settings.reach, lane_boxes)
+    chunks = time_chunks(corners, chunk_boxes)
+    parts = _in_parts(slim, corners, settings.reach)
+    crowded = None
+    if not chunks.isEmpty():
+        which = compact(chunks.select(*PART).distinct())
+        # Read again in every round.
+        crowded = link_chunks(cut(parts.join(which, PART, "left_semi")), chunks, settings)
+        parts = parts.join(which, PART, "left_anti")
     # A fixed number of partitions keeps the kernel spread even when the rows are few bytes.
     tasks = int(detections.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = parts.repartition(tasks, *keys).sortWithinPartitions(*keys, "frame_idx", "det_idx")
-    return ordered.groupBy(*keys).applyInPandas(_linker(settings), _LINKED)
+    ordered = parts.drop("cell").repartition(tasks, *PART).sortWithinPartitions(*PART, "frame_idx", "det_idx")
+    linked = ordered.groupBy(*PART).applyInPandas(_linker(settings), _LINKED)
+    return linked if crowded is None else linked.unionByName(crowded)
 
 
-def track_assign(detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES) -> DataFrame:
+def track_assign(
+    detections: DataFrame, settings: TrackerSettings = DEFAULTS, lane_boxes: int = LANE_BOXES, chunk_boxes: int = CHUNK_BOXES
+) -> DataFrame:
     """Links with track ids, numbered per video from 1 in order of birth."""
     # Read three times below; the grouped kernel must run once.
-    linked = cut(link_detections(detections, settings, lane_boxes))
+    linked = cut(link_detections(detections, settings, lane_boxes, chunk_boxes))
     births = linked.filter(F.col("hits") == 1).select("video_id", "birth_frame", "birth_det")
     ids = numbered(
         births,

@@ -167,6 +167,12 @@ def track_assign(spark, sf):
     return tracking.track_assign(views.detections(spark, sf))
 
 
+@query(_ISLANDS_SQL + "SELECT *, hits >= 3 AS track_valid FROM assigned")
+def track_assign_chunks(spark, sf):
+    """Every video in chunks of time of about fifty boxes, linked side by side."""
+    return tracking.track_assign(views.detections(spark, sf), chunk_boxes=50)
+
+
 @query(_ISLANDS_SQL + "SELECT * FROM ended")
 def track_lifecycle(spark, sf):
     assigned = tracking.track_assign(views.detections(spark, sf))

@@ -100,6 +100,44 @@ def test_equals_model(spark, seed, lane_boxes):
     assert life == ended
 
 
+def dense(seed, frames=240, objects=14, size=60, low=False, still=False):
+    """One video whose boxes overlap in every frame, without a pause."""
+    rnd = random.Random(seed)
+    pos, rows = [(rnd.randrange(0, 120), rnd.randrange(0, 60)) for _ in range(objects)], []
+    for f in range(frames):
+        d = 0
+        for o in range(objects):
+            if not still:
+                x, y = pos[o]
+                pos[o] = (min(150, max(0, x + rnd.randrange(-14, 15))), min(80, max(0, y + rnd.randrange(-8, 9))))
+            if rnd.random() < 0.8:
+                x, y = pos[o]
+                # Objects that are never sure extend tracks only, so a guess may lack them.
+                conf = 0.6 if low and f < 20 else 0.3 if low else round(rnd.random(), 2)
+                rows.append((0, f, d, x, y, x + size, y + size - 10, conf))
+                d += 1
+    return rows
+
+
+@pytest.mark.parametrize("kind", [{}, {"low": True}, {"still": True}, {"size": 120}])
+def test_chunks_of_a_crowd_equal_the_model(spark, kind):
+    rows = dense(5, **kind)
+    expected, _ = model(rows, 240)
+    got = T.track_assign(spark.createDataFrame(rows, SCHEMA).repartition(4), chunk_boxes=600)
+    assert {(r.video_id, r.frame_idx, r.det_idx, r.track_id, r.hits, r.age) for r in got.collect()} == expected
+
+
+def test_chunks_are_bounded(spark):
+    df = spark.createDataFrame(dense(6), SCHEMA)
+    corners = T.corner_parts(df, 16)
+    chunks = T.time_chunks(corners, 200)
+    per_cell = corners.groupBy("video_id", "segment", "lane", "cell").agg(F.sum("boxes").alias("n"))
+    most = per_cell.agg(F.max("n")).first()[0]
+    sizes = chunks.join(per_cell, ["video_id", "segment", "lane", "cell"]).groupBy("chunk").agg(F.sum("n").alias("n"), F.count_if(~F.col("warm")).alias("own")).collect()
+    assert len(sizes) > 8 and all(r.own > 0 and r.n <= 200 + 8 * most for r in sizes)
+    assert T.time_chunks(corners, 10_000).isEmpty()
+
+
 def test_gap_of_sixteen_continues_and_seventeen_does_not(spark):
     rows = [(0, f, 0, 10, 10, 70, 60, 0.9) for f in (0, 16, 33)] + [(0, 40, 0, 400, 10, 470, 60, 0.54)]
     got = {(r.frame_idx, r.track_id) for r in T.track_assign(spark.createDataFrame(rows, SCHEMA)).collect()}
