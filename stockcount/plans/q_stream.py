@@ -73,24 +73,35 @@ def stream_track_lag(spark, sf):
     return n.selectExpr("stack(3, 'link', l, t, 'offered', o, cast(null as bigint), 'late', x, 0L) as (kind, boxes, tracks)")
 
 
-@query(
-    """WITH v AS (
+_SESSIONS_SQL = """WITH v AS (
   SELECT user_id AS entity, ts, event_id, CASE WHEN event_type <> 'error' AND least(value / 100.0, 1.0) >= 0.30 THEN least(value / 100.0, 1.0) END AS sim
   FROM events),
 m AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY entity ORDER BY ts, event_id) < INTERVAL 16 HOUR THEN 0 ELSE 1 END AS brk FROM v),
 s AS (SELECT *, sum(brk) OVER (PARTITION BY entity ORDER BY ts, event_id) AS n FROM m),
 g AS (SELECT entity, n, min(ts) AS desde, max(ts) + INTERVAL 16 HOUR AS hasta, count(*)::BIGINT AS frames_seen, count(sim)::BIGINT AS frames_scored,
              coalesce(sum(sim::DECIMAL(18, 6)), 0)::DOUBLE AS sim_sum FROM s GROUP BY 1, 2)
-SELECT entity, epoch_us(desde) AS desde, epoch_us(hasta) AS hasta, frames_seen, frames_scored, round(sim_sum, 4) AS sim_sum
+"""
+
+
+def _session_rows(spark, sf, slices):
+    replay = _replay(spark, "sessions", "entity long, sku string, sim double, ts timestamp, event_id long")
+    for i, part in enumerate(slices):
+        replay.feed(part.select("entity", "sku", "sim", "ts", "event_id"), i)
+        replay.run_to_table(live.session_stream(replay.stream(), 16 * 3_600_000, idle_ms=1), idle_batches=False)
+    return replay.result()
+
+
+@query(
+    _SESSIONS_SQL
+    + """SELECT entity, epoch_us(desde) AS desde, epoch_us(hasta) AS hasta, frames_seen, frames_scored, round(sim_sum, 4) AS sim_sum
 FROM g WHERE hasta <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR"""
 )
 def stream_vote_sessions(spark, sf):
+    """Sessions closed while their votes arrive. An entity silent for a whole slice is closed by its own timer; the last slice is empty."""
     rows = views_votes_with_time(spark, sf)
-    replay = _replay(spark, "sessions", "entity long, sku string, sim double, ts timestamp")
-    for i, part in _slices(rows, "hour", _FRAMES):
-        replay.feed(part.select("entity", "sku", "sim", "ts"), i)
-        replay.run_to_table(live.vote_sessions(replay.stream(), "16 hours", "1 hour"))
-    closed = replay.result()
+    out = _session_rows(spark, sf, [*[part for _, part in _slices(rows, "hour", _FRAMES)], rows.limit(0)])
+    end = rows.agg((F.unix_micros(F.max("ts")) - 3_600_000_000).alias("_end"))
+    closed = out.filter("kind = 'session'").crossJoin(F.broadcast(end)).filter(F.unix_micros("hasta") <= F.col("_end"))
     return closed.select(
         "entity",
         F.unix_micros("desde").alias("desde"),
@@ -101,6 +112,23 @@ def stream_vote_sessions(spark, sf):
     )
 
 
+@query(
+    _SESSIONS_SQL
+    + """SELECT 'session' AS kind, count(*)::BIGINT AS filas, sum(frames_seen)::BIGINT AS votos, sum(frames_scored)::BIGINT AS puntuados FROM g
+UNION ALL SELECT 'late', 0, 0, 0 UNION ALL SELECT 'offered', count(*)::BIGINT, count(*)::BIGINT, NULL FROM events"""
+)
+def stream_vote_lag(spark, sf):
+    """Entities out of step: odd ones arrive whole before the even ones begin. Every vote is in a session, none is late."""
+    rows = views_votes_with_time(spark, sf)
+    halves = [part for odd in (1, 0) for _, part in _slices(rows.filter(F.col("entity") % 2 == odd), "hour", 4 * _FRAMES)]
+    out = _session_rows(spark, sf, [*halves, rows.limit(0)])
+    closed, late = F.col("kind") == "session", F.col("kind") == "late"
+    n = out.agg(
+        F.count_if(closed).alias("s"), F.sum("frames_seen").alias("v"), F.sum("frames_scored").alias("p"), F.count_if(late).alias("l")
+    ).crossJoin(rows.agg(F.count(F.lit(1)).alias("o")))
+    return n.selectExpr("stack(3, 'session', s, v, p, 'late', l, l, l, 'offered', o, o, cast(null as bigint)) as (kind, filas, votos, puntuados)")
+
+
 @query(
     _DECISION_SQL
     + """SELECT * FROM decisions WHERE track_id IN (
@@ -135,20 +163,36 @@ def views_votes_with_time(spark, sf):
     )
 
 
-@query("SELECT crop_id, decision, run_id FROM fx_review WHERE status = 'pending'")
-def stream_review_enqueue(spark, sf):
-    records = views.review(spark, sf).filter("status = 'pending'")
-    span = 1 + (records.agg(F.max("idx")).first()[0] or 0)
-    offered = records.selectExpr(
-        "crop_id", "decision", "run_id", "idx", _ts("1704067200 + idx") + " as ts", "explode(array(1, 2)) as copia"
-    ).drop("copia")
+def _reviewed(spark, sf, slices):
     replay = _replay(spark, "review", "crop_id string, decision string, run_id long, ts timestamp")
-    for i, part in _slices(offered, "idx", span):
-        replay.feed(part.drop("idx"), i)
-        replay.run_to_table(live.review_stream(replay.stream(), "1 minute"))
+    for i, part in enumerate(slices):
+        replay.feed(part.select("crop_id", "decision", "run_id", "ts"), i)
+        replay.run_to_table(live.review_stream(replay.stream()), idle_batches=False)
     return replay.result().select("crop_id", "decision", "run_id")
 
 
+def _offered(spark, sf):
+    """Pending records, each twice."""
+    return views.review(spark, sf).filter("status = 'pending'").selectExpr(
+        "crop_id", "decision", "run_id", "idx", _ts("1704067200 + idx") + " as ts", "explode(array(1, 2)) as copia"
+    )
+
+
+@query("SELECT crop_id, decision, run_id FROM fx_review WHERE status = 'pending'")
+def stream_review_enqueue(spark, sf):
+    offered = _offered(spark, sf)
+    span = 1 + (offered.agg(F.max("idx")).first()[0] or 0)
+    return _reviewed(spark, sf, [part for _, part in _slices(offered, "idx", span)])
+
+
+@query("SELECT crop_id, decision, run_id FROM fx_review WHERE status = 'pending'")
+def stream_review_lag(spark, sf):
+    """Runs out of step: odd ones arrive whole, then even ones, then all once more. Every crop comes out once."""
+    offered = _offered(spark, sf)
+    odd = F.col("run_id") % 2 == 1
+    return _reviewed(spark, sf, [offered.filter(odd), offered.filter(~odd), offered.filter("copia = 2")])
+
+
 @query(
     """SELECT video_id, ean, max(n) AS cantidad FROM (
   SELECT video_id, frame_idx, sku_pred AS ean, count(*)::BIGINT AS n FROM fx_detections GROUP BY 1, 2, 3) GROUP BY 1, 2"""

@@ -71,9 +71,7 @@ def _track_processor(settings: TrackerSettings, idle_ms: int):
                         state["next"] += 1
                     out.append(("link", frame, det, t[8], t[4], t[6], frame - t[4] + 1))
                 state["last"] = frame
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+            _restart_timer(self.handle, timerValues, idle_ms)
             state["tracks"] = tracks
             self.save(state)
             yield self.frame(key, out)
@@ -116,12 +114,19 @@ def track_stream(detections: DataFrame, settings: TrackerSettings = DEFAULTS, id
     )
 
 
-def vote_sessions(votes: DataFrame, gap: str, delay: str, min_sim: float = 0.30) -> DataFrame:
-    """Votes of an entity between pauses longer than ``gap``; works on a stream and on a table."""
-    scored = (F.col("sku") != "UNKNOWN") & (F.col("sim") >= min_sim)
-    source = votes.withWatermark("ts", delay) if votes.isStreaming else votes
+#: Processing time for which a closed track, entity or crop is remembered after nothing more came for it.
+REMEMBER_MS = 7 * 24 * 3_600_000
+
+
+def _scored(min_sim: float):
+    return (F.col("sku") != "UNKNOWN") & (F.col("sim") >= min_sim)
+
+
+def vote_sessions(votes: DataFrame, gap: str, min_sim: float = 0.30) -> DataFrame:
+    """Votes of an entity between pauses of ``gap`` or longer, from a table; ``session_stream`` does so on a stream."""
+    scored = _scored(min_sim)
     return (
-        source.groupBy("entity", F.session_window("ts", gap).alias("w"))
+        votes.groupBy("entity", F.session_window("ts", gap).alias("w"))
         .agg(
             F.count(F.lit(1)).alias("frames_seen"),
             F.count_if(scored).alias("frames_scored"),
@@ -131,38 +136,147 @@ def vote_sessions(votes: DataFrame, gap: str, delay: str, min_sim: float = 0.30)
     )
 
 
+SESSIONS = (
+    "entity long, kind string, desde timestamp, hasta timestamp, frames_seen long, frames_scored long, sim_sum double, "
+    "ts timestamp, event_id long"
+)
+
+
+def _session_processor(gap_ms: int, idle_ms: int, remember_ms: int):
+    """Processor class of open sessions, defined here so that workers receive it with the query."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    gap = gap_ms * 1000
+
+    class OpenSessions(StatefulProcessor):
+        """The session of one entity. State: first and last time and sums while it is open, and with a lifetime the time up to
+        which it was closed. What is open has no lifetime: it goes when it is closed, however long the stream stood still."""
+
+        def init(self, handle):
+            self.handle = handle
+            self.open = handle.getValueState("open", "first long, last long, seen long, scored long, micros long")
+            self.closed = handle.getValueState("closed", "us long", remember_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
+            before = closed = self.closed.get()[0] if self.closed.exists() else None
+            first, last, seen, scored, micros = self.open.get() if self.open.exists() else (None, None, 0, 0, 0)
+            out = []
+            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
+            timeless = pdf["us"].isna()
+            out += [("late", None, None, 0, 0, 0.0, None, e) for e in pdf["event_id"][timeless]]
+            pdf = pdf[~timeless]
+            for us, event, sim in zip(pdf["us"].astype("int64").tolist(), pdf["event_id"].tolist(), pdf["micros"]):
+                # What belongs to a closed session, or to one between that and the open one, comes too late.
+                if (closed is not None and us < closed + gap) or (seen and us + gap <= first):
+                    out.append(("late", None, None, 0, 0, 0.0, us, event))
+                    continue
+                if seen and us >= last + gap:
+                    out.append(("session", first, last + gap, seen, scored, micros / 1e6, None, None))
+                    closed, first, last, seen, scored, micros = last, None, None, 0, 0, 0
+                first, last = (us, us) if not seen else (min(first, us), max(last, us))
+                seen += 1
+                if sim == sim and sim is not None:
+                    scored, micros = scored + 1, micros + int(sim)
+            _restart_timer(self.handle, timerValues, idle_ms if seen else None)
+            if seen:
+                self.open.update((first, last, seen, scored, micros))
+            if closed != before:
+                self.closed.update((closed,))
+            yield self.frame(key, out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            """Nothing has come for the entity for long: its session is closed with what it has."""
+            out = []
+            if self.open.exists():
+                first, last, seen, scored, micros = self.open.get()
+                out.append(("session", first, last + gap, seen, scored, micros / 1e6, None, None))
+                self.closed.update((last,))
+                self.open.clear()
+            yield self.frame(key, out)
+
+        def frame(self, key, out):
+            import pandas as pd
+
+            names = ["kind", "desde", "hasta", "frames_seen", "frames_scored", "sim_sum", "ts", "event_id"]
+            pdf = pd.DataFrame(out, columns=names)
+            pdf.insert(0, "entity", key[0])
+            for c in ("desde", "hasta", "ts"):
+                pdf[c] = pd.to_datetime(pdf[c].astype("Int64"), unit="us", utc=True)
+            return pdf.astype({"entity": "int64", "frames_seen": "int64", "frames_scored": "int64", "sim_sum": "float64", "event_id": "Int64"})
+
+        def close(self):
+            pass
+
+    return OpenSessions()
+
+
+def _restart_timer(handle, timerValues, idle_ms: int | None) -> None:
+    """The one timer of a key: ``idle_ms`` from now, or none."""
+    for timer in list(handle.listTimers()):
+        handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
+    if idle_ms is not None:
+        handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
+
+
+def session_stream(
+    votes: DataFrame, gap_ms: int, idle_ms: int = 3_600_000, remember_ms: int = REMEMBER_MS, min_sim: float = 0.30
+) -> DataFrame:
+    """``session`` rows as ``vote_sessions`` has them, and ``late`` rows, from a stream of votes.
+
+    No watermark: a session is closed by the entity's own next vote after a pause of ``gap_ms`` or more, or when nothing has
+    come for it for ``idle_ms`` of processing time. Votes for what was closed before, or without a time, are ``late`` rows.
+    What was closed is forgotten ``remember_ms`` later, so the state does not grow with all entities ever seen; a vote that
+    comes still later begins a session of its own. ``votes`` has entity, sku, sim, ts and event_id. Needs the RocksDB state store.
+    """
+    micros = F.when(_scored(min_sim), (F.col("sim").cast("decimal(18,6)") * 1_000_000).cast("long"))
+    ready = votes.select("entity", F.unix_micros("ts").alias("us"), "event_id", micros.alias("micros"))
+    return ready.groupBy("entity").transformWithStateInPandas(
+        statefulProcessor=_session_processor(gap_ms, idle_ms, remember_ms), outputStructType=SESSIONS, outputMode="Append", timeMode="ProcessingTime"
+    )
+
+
 TALLIES = (
     "track_id long, kind string, frames_seen long, frames_scored long, top_sku string, top_votes long, top_sim_sum double, "
     "last_ms long, ts timestamp, event_id long"
 )
 
 
-def _vote_processor(gap_ms: int, idle_ms: int):
+def _vote_processor(gap_ms: int, idle_ms: int, remember_ms: int):
     """Processor class of open tracks, defined here so that workers receive it with the query."""
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
     class OpenTracks(StatefulProcessor):
-        """Votes per product of one track. State: time up to which it is closed, frames seen, last time, and per product
-        votes, sum and first vote."""
+        """Votes per product of one track. State: while it is open frames seen, last time, and per product votes, sum and
+        first vote; with a lifetime the time up to which it was closed."""
 
         def init(self, handle):
             self.handle = handle
-            self.state = handle.getValueState("track", "blob string")
+            self.open = handle.getValueState("track", "blob string")
+            self.closed = handle.getValueState("closed", "us long", remember_ms)
 
         def load(self):
             import json
 
-            return json.loads(self.state.get()[0]) if self.state.exists() else {"closed": None, "seen": 0, "last": None, "skus": {}}
+            state = json.loads(self.open.get()[0]) if self.open.exists() else {"seen": 0, "last": None, "skus": {}}
+            return state | {"closed": self.closed.get()[0] if self.closed.exists() else None}
 
-        def save(self, state):
+        def save(self, state, before):
             import json
 
-            self.state.update((json.dumps(state),))
+            if state["closed"] != before:
+                self.closed.update((state["closed"],))
+            if state["seen"]:
+                self.open.update((json.dumps({k: v for k, v in state.items() if k != "closed"}),))
+            elif self.open.exists():
+                self.open.clear()
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             import pandas as pd
 
             state, out = self.load(), []
+            before = state["closed"]
             pdf = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"], kind="stable")
             timeless = pdf["us"].isna()
             out += [("late", 0, 0, None, None, None, None, None, e) for e in pdf["event_id"][timeless]]
@@ -178,18 +292,18 @@ def _vote_processor(gap_ms: int, idle_ms: int):
                 if sku is not None and sku == sku:
                     votes, total, first = state["skus"].get(sku, (0, 0.0, None))
                     state["skus"][sku] = (votes + 1, total + float(sim4), min(first or [us, event], [us, event]))
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer[0] if isinstance(timer, tuple) else timer)
-            if state["seen"]:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + idle_ms)
-            self.save(state)
+            _restart_timer(self.handle, timerValues, idle_ms if state["seen"] else None)
+            self.save(state, before)
             yield self.frame(key, out)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             """Nothing has come for the track for long: it is closed with what it has."""
             state = self.load()
-            out = [self.decided(state)] if state["seen"] else []
-            self.save(state)
+            out = []
+            if state["seen"]:
+                before = state["closed"]
+                out.append(self.decided(state))
+                self.save(state, before)
             yield self.frame(key, out)
 
         def decided(self, state):
@@ -217,13 +331,16 @@ def _vote_processor(gap_ms: int, idle_ms: int):
     return OpenTracks()
 
 
-def vote_decisions(votes: DataFrame, gap_ms: int, idle_ms: int = 3_600_000, profile: VoteProfile = BALANCED) -> DataFrame:
+def vote_decisions(
+    votes: DataFrame, gap_ms: int, idle_ms: int = 3_600_000, profile: VoteProfile = BALANCED, remember_ms: int = REMEMBER_MS
+) -> DataFrame:
     """Decisions of tracks and late votes, from a stream of votes.
 
     ``decision`` rows have the decision of a track and ``last_ms``, its last vote; ``late`` rows are votes for what
     was closed before or that have no time, with their ts and event_id. A track is closed by its own next vote after a pause of more than
     ``gap_ms``, or when nothing has come for it for ``idle_ms`` of processing time. No watermark drops rows, so a
-    track that lags behind the others loses nothing. ``votes`` has track_id, sku, sim, ts and event_id, which orders
+    track that lags behind the others loses nothing. A closed track is forgotten ``remember_ms`` later; a vote that
+    comes still later begins a track anew. ``votes`` has track_id, sku, sim, ts and event_id, which orders
     votes of equal time. Needs the RocksDB state store.
     """
     marked = votes.withColumn("sim4", decimals("sim", 4))
@@ -231,14 +348,47 @@ def vote_decisions(votes: DataFrame, gap_ms: int, idle_ms: int = 3_600_000, prof
         "track_id", F.unix_micros("ts").alias("us"), "event_id", F.when(scored_vote(profile.min_sim_vote), F.col("sku")).alias("sku"), "sim4"
     )
     tallies = ready.groupBy("track_id").transformWithStateInPandas(
-        statefulProcessor=_vote_processor(gap_ms, idle_ms), outputStructType=TALLIES, outputMode="Append", timeMode="ProcessingTime"
+        statefulProcessor=_vote_processor(gap_ms, idle_ms, remember_ms), outputStructType=TALLIES, outputMode="Append", timeMode="ProcessingTime"
     )
     return decide_tallies(tallies, profile, "kind", "last_ms", "ts", "event_id")
 
 
-def review_stream(records: DataFrame, delay: str) -> DataFrame:
-    """Review queue entries without repeated crops."""
-    return records.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["crop_id"])
+def _review_processor(columns: list[str], remember_ms: int):
+    """Processor class of known crops, defined here so that workers receive it with the query."""
+    from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+    class KnownCrops(StatefulProcessor):
+        """Whether a crop has been let through. State: a mark with a lifetime."""
+
+        def init(self, handle):
+            self.mark = handle.getValueState("seen", "seen boolean", remember_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            import pandas as pd
+
+            pdf = pd.concat(list(rows), ignore_index=True)[columns]
+            if self.mark.exists():
+                pdf = pdf.iloc[:0]
+            # A repetition renews the mark, so a crop that keeps coming stays known.
+            self.mark.update((True,))
+            yield pdf.sort_values("ts", kind="stable").iloc[:1]
+
+        def close(self):
+            pass
+
+    return KnownCrops()
+
+
+def review_stream(records: DataFrame, remember_ms: int = REMEMBER_MS) -> DataFrame:
+    """Review queue entries without repeated crops: of those that come together the earliest by ``ts``, afterwards none.
+
+    There is no watermark, so a run that lags behind the others loses nothing. A crop is known for ``remember_ms`` of
+    processing time after it last came. Needs the RocksDB state store.
+    """
+    columns = records.columns
+    return records.groupBy("crop_id").transformWithStateInPandas(
+        statefulProcessor=_review_processor(columns, remember_ms), outputStructType=records.schema, outputMode="Append", timeMode="ProcessingTime"
+    )
 
 
 def refresh_frame_counts(identified: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
@@ -271,6 +421,8 @@ class Replay:
     def __init__(self, spark: SparkSession, root: str, schema: str):
         self.spark, self.root = spark, root
         self.source = f"{root}/in"
+        #: What Spark reported on the batches of the last run.
+        self.progress = []
         self.stream = lambda: spark.readStream.schema(schema).parquet(f"{self.source}/*")
 
     def feed(self, rows: DataFrame, slice_no: int) -> None:
@@ -299,6 +451,7 @@ class Replay:
                 .start()
             )
             query.awaitTermination()
+            self.progress = query.recentProgress
         finally:
             for k, v in before.items():
                 self.spark.conf.set(k, v)

@@ -44,3 +44,57 @@ def test_late_votes_are_rows_and_a_pause_closes(spark, tmp_path):
     assert [(r.kind, r.frames_validos) for r in out if r.kind == "decision"] == [("decision", 2)] * 2
     assert sorted((r.event_id, r.ts is None) for r in out if r.kind == "late") == [(3, False), (5, True)]
     assert sum(r.frames_validos for r in out) + sum(r.kind == "late" for r in out) == len(first + late)
+
+
+SESSION_SCHEMA = "entity long, sku string, sim double, ts timestamp, event_id long"
+
+
+def sessions(spark, tmp_path, slices, **kw):
+    replay = live.Replay(spark, str(tmp_path), SESSION_SCHEMA)
+    for i, rows in enumerate([*slices, []]):
+        replay.feed(spark.createDataFrame(rows, SESSION_SCHEMA), i)
+        replay.run_to_table(live.session_stream(replay.stream(), HOUR, idle_ms=1, **kw), idle_batches=False)
+    return replay
+
+
+def test_sessions_of_lagging_entities_equal_those_of_the_table(spark, tmp_path):
+    rows = [vote(e, 25 * k * (1 + k % 3) + 3000 * (e % 2), 100 * e + k, ["A", "UNKNOWN"][k % 4 == 0], 0.2 + 0.01 * k) for e in range(8) for k in range(30)]
+    odd, even = ([r for r in rows if r[0] % 2 == x] for x in (1, 0))
+    out = sessions(spark, tmp_path, [odd, even]).result()
+    columns = ["entity", "desde", "hasta", "frames_seen", "frames_scored", "sim_sum"]
+    batch = live.vote_sessions(spark.createDataFrame(rows, SESSION_SCHEMA), "60 minutes")
+    got = sorted(tuple(r) for r in out.filter("kind = 'session'").select(columns).collect())
+    assert got == sorted(tuple(r) for r in batch.select(columns).collect())
+    assert out.filter("kind = 'late'").count() == 0 and sum(r[3] for r in got) == len(rows)
+
+
+def test_late_votes_of_sessions_are_rows(spark, tmp_path):
+    first = [vote(1, 0, 0), vote(1, 5, 1), vote(1, 200, 2)]
+    late = [vote(1, 3, 3), vote(1, 100, 4), vote(1, 210, 5), (1, "A", 0.9, None, 6)]
+    out = sessions(spark, tmp_path, [first, late]).result().collect()
+    # The second slice finds the session of minute 200 open or, if its timer came first, closed.
+    assert {r.event_id for r in out if r.kind == "late"} >= {3, 4, 6}
+    assert sum(r.frames_seen for r in out) + sum(r.kind == "late" for r in out) == len(first + late)
+
+
+def test_closed_entities_leave_the_state(spark, tmp_path):
+    import time
+
+    rows = [vote(e, 0, e) for e in range(300)]
+    replay = sessions(spark, tmp_path, [rows], remember_ms=1)
+    time.sleep(0.1)
+    for i in (5, 6):
+        replay.feed(spark.createDataFrame([vote(1000 + i, 0, i)], SESSION_SCHEMA), i)
+        replay.run_to_table(live.session_stream(replay.stream(), HOUR, idle_ms=1, remember_ms=1), idle_batches=False)
+    assert replay.result().filter("kind = 'session'").count() >= 300
+    assert replay.progress[-1]["stateOperators"][0]["numRowsTotal"] < 30
+
+
+def test_review_records_of_lagging_runs_come_out_once(spark, tmp_path):
+    schema = "crop_id string, decision string, run_id long, ts timestamp"
+    rows = [(f"c{r}_{k}", "unknown", r, START + dt.timedelta(hours=24 * (r % 2), minutes=k)) for r in range(4) for k in range(20)]
+    replay = live.Replay(spark, str(tmp_path), schema)
+    for i, part in enumerate([[r for r in rows if r[2] % 2] * 2, [r for r in rows if r[2] % 2 == 0], rows]):
+        replay.feed(spark.createDataFrame(part, schema), i)
+        replay.run_to_table(live.review_stream(replay.stream()), idle_batches=False)
+    assert sorted(r.crop_id for r in replay.result().collect()) == sorted(r[0] for r in rows)
