@@ -44,7 +44,7 @@ from llm.text import broadcast_if_few, private
 from llm.tokens import byte_alphabet
 
 #: Bytes beyond which a text is spread over tasks, of a segment and of a range.
-LONG, SEGMENT, RANGE = 32_768, 16_384, 4_096
+LONG, SEGMENT, RANGE = 65_536, 32_768, 4_096
 FAN = 8
 #: Units that go to the tokenizers in one run, bytes of text worked on at once, pairs a task counts before handing them on, pairs of a table of counts that workers read.
 RUN = 1024
@@ -92,10 +92,6 @@ def groups_of(whole: Fragment) -> list[Group]:
     return [g for g in [whole.head, *whole.closed, *last] if g != NOTHING]
 
 
-def written(group: Group) -> str:
-    return ",".join(map(str, group[0])) + "|" + ",".join(map(str, group[1]))
-
-
 def unit_starts(data: np.ndarray, firsts: np.ndarray) -> np.ndarray:
     """Offsets in UTF-8 data at which a unit begins: where texts begin, and at single spaces between solid characters.
 
@@ -240,21 +236,28 @@ class Aligner:
         a_last, b_last = np.searchsorted(a_ends, common) + 1, np.searchsorted(b_ends, common) + 1
         g_a, g_b = np.diff(a_last, prepend=0), np.diff(b_last, prepend=0)
         n_groups = np.diff(np.searchsorted(common, ends, "right"), prepend=0)
-        links = g_a * g_b
-        group = np.repeat(np.arange(len(common)), links)
-        nth = _spans(np.zeros(len(common), dtype=np.int64), links)
-        pairs = a[(a_last - g_a)[group] + nth // g_b[group]] * self.size + b[(b_last - g_b)[group] + nth % g_b[group]]
-        n_links = _summed(links, _bounds(n_groups))
-        # Numbers as text in the order of the groups: A's, the last with a bar, then B's, the last with a semicolon.
-        shown = np.empty(len(a) + len(b), dtype=object)
-        at_a, at_b = np.arange(len(a)) + np.repeat(b_last - g_b, g_a), np.arange(len(b)) + np.repeat(a_last, g_b)
-        shown[at_a], shown[at_b] = self.of_a.inside[a], self.of_b.inside[b]
-        shown[at_a[a_last - 1]], shown[at_b[b_last - 1]] = self.of_a.last[a[a_last - 1]], self.of_b.last[b[b_last - 1]]
+        n_links = _summed(g_a * g_b, _bounds(n_groups))
+        pairs, shown = self.linked(a, b, g_a, g_b), self.shown(a, b, g_a, g_b)
         bounds = _bounds(n_a + n_b).tolist()
-        shown = shown.tolist()
         texts = ["".join(shown[x:y]) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
         return Units(sound, a, _bounds(n_a), b, _bounds(n_b), n_groups, pairs, _bounds(n_links), texts)
 
+    def linked(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """The pairs of each group of ``n`` ids of A and ``m`` of B, as one number a pair."""
+        links = n * m
+        group = np.repeat(np.arange(len(n)), links)
+        nth = _spans(np.zeros(len(n), dtype=np.int64), links)
+        return a[(np.cumsum(n) - n)[group] + nth // m[group]] * self.size + b[(np.cumsum(m) - m)[group] + nth % m[group]]
+
+    def shown(self, a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> list[str]:
+        """Ids as text, group by group: A's, the last with a bar, then B's, the last with a semicolon."""
+        out = np.empty(len(a) + len(b), dtype=object)
+        a_last, b_last = np.cumsum(n), np.cumsum(m)
+        at_a, at_b = np.arange(len(a)) + np.repeat(b_last - m, n), np.arange(len(b)) + np.repeat(a_last, m)
+        out[at_a], out[at_b] = self.of_a.inside[a], self.of_b.inside[b]
+        out[at_a[a_last - 1]], out[at_b[b_last - 1]] = self.of_a.last[a[a_last - 1]], self.of_b.last[b[b_last - 1]]
+        return out.tolist()
+
     def split(self, texts: pa.Array) -> tuple[Units, np.ndarray, np.ndarray]:
         """Distinct units of texts that each begin with a space, codes of all units, and bounds of each text's units."""
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[: len(texts) + 1]
@@ -412,48 +415,43 @@ def composed(fragments: DataFrame) -> DataFrame:
     return found.unionByName(first).unionByName(last)
 
 
-def _split(r) -> Iterator[Group]:
-    a, b = np.asarray(r.a).tolist(), np.asarray(r.b).tolist()
-    i = j = 0
-    for n, m in zip(r.n_a, r.n_b, strict=True):
-        yield tuple(a[i : i + n]), tuple(b[j : j + m])
-        i, j = i + n, j + m
+def _numbers(r) -> list[np.ndarray]:
+    """Ids of A and B of a row of groups, and how many of each a group has."""
+    return [np.asarray(x, dtype=np.int64) for x in (r.a, r.b, r.n_a, r.n_b)]
 
 
-def digests(groups: DataFrame) -> DataFrame:
+def digests(groups: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """key and the numbers of SUMMARY: each text's groups pass in order; nothing but sums and the digest is held."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, done, state = None, [], None
+        aligner, key, done, state, sums = Aligner.of(path_a, path_b), None, [], None, None
         names = ["key", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
         for frame in frames:
             for r in frame.itertuples(index=False):
                 if r.key != key:
                     if state:
-                        done.append((key, *state[1], state[0].hexdigest()))
-                    key, state = r.key, (sha256(), [0, 0, 0, 0])
-                sums = state[1]
-                for group in _split(r):
-                    state[0].update(((";" if sums[2] else "") + written(group)).encode())
-                    n, m = len(group[0]), len(group[1])
-                    sums[:] = [sums[0] + n, sums[1] + m, sums[2] + 1, sums[3] + n * m]
+                        done.append((key, *sums.tolist(), state.hexdigest()))
+                    key, state, sums = r.key, sha256(), np.zeros(4, dtype=np.int64)
+                a, b, n, m = _numbers(r)
+                state.update((";" * bool(sums[2]) + "".join(aligner.shown(a, b, n, m))[:-1]).encode())
+                sums += (len(a), len(b), len(n), int((n * m).sum()))
             yield pd.DataFrame(done, columns=names)
             done = []
         if state:
-            yield pd.DataFrame([(key, *state[1], state[0].hexdigest())], columns=names)
+            yield pd.DataFrame([(key, *sums.tolist(), state.hexdigest())], columns=names)
 
     ordered = groups.repartition("key").sortWithinPartitions("key", "at", "part")
     return ordered.mapInPandas(task, "key long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string")
 
 
-def links(groups: DataFrame, size: int) -> DataFrame:
-    """key, pair, times: how often a text holds a pair linked; ``size`` of B's vocabulary."""
+def links(groups: DataFrame, path_a: str, path_b: str) -> DataFrame:
+    """key, pair, times: how often a text holds a pair linked."""
 
     def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        aligner = Aligner.of(path_a, path_b)
         for frame in frames:
             for r in frame.itertuples(index=False):
-                pairs = np.array([x * size + y for a, b in _split(r) for x in a for y in b], dtype=np.int64)
-                pair, times = np.unique(pairs, return_counts=True)
+                pair, times = np.unique(aligner.linked(*_numbers(r)), return_counts=True)
                 yield pd.DataFrame({"key": r.key, "pair": pair, "times": times})
 
     return groups.mapInPandas(task, "key long, pair long, times long").groupBy("key", "pair").agg(F.sum("times").alias("times"))
@@ -542,8 +540,8 @@ def aligned(docs: DataFrame, path_a: str, path_b: str, long: int = LONG, few_pai
     sound = fragments.groupBy("key").agg(F.min("sound").alias("sound"))
     unsound = broadcast_if_few(cut(sound.where("not sound").select("key")))
     groups = cut(composed(fragments.join(unsound, "key", "left_anti")))
-    found = cut(links(groups, size))
-    numbers = digests(groups)
+    found = cut(links(groups, path_a, path_b))
+    numbers = digests(groups, path_a, path_b)
 
     counts = pair_counts(short).unionByName(found.groupBy("pair").agg(F.count("key").alias("n"))).groupBy("pair").agg(F.sum("n").alias("n"))
     counts = cut(counts.withColumn("a", F.floor(F.col("pair") / size)))

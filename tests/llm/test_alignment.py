@@ -88,7 +88,7 @@ def test_long_texts_over_several_rounds(spark):
     words = [w for t in strange(2, 300) for w in t.replace("▁", "x").split() if w]
     rnd = random.Random(4)
     text = " ".join(rnd.choice(words) for _ in range(20_000))
-    rows = [(1, text), (2, text[:40_000]), (3, "x" * 50_000), (4, text + "▁"), (5, text[:300])]
+    rows = [(1, text), (2, text[:70_000]), (3, "x" * 70_000), (4, text + "▁"), (5, text[:300])]
     assert found(docs_of(spark, rows)) == brute(rows)
 
 
