@@ -25,6 +25,8 @@ from llm.text import broadcast_if_few, grams, hashed, private, words
 
 WIDTH = 5
 SKETCH = 16
+#: Bytes of item shingles that may be broadcast.
+ITEM_BYTES = 32_000_000
 #: Sketch hashes that must be found when the sketch is a part of the item; at a containment of 0.8 the chance
 #: that fewer than 6 of 16 are found is below 0.0001. A sketch that is the whole item is held to the threshold.
 HITS = 6
@@ -83,26 +85,35 @@ def grams_of(width: int) -> Column:
     return grams("_h", width) if width > 1 else F.transform("_h", lambda x: F.xxhash64(x))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """doc_id, item_id, n_shared, n_item, containment of every pair at or over the threshold."""
+def _holding(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, text_hash, item_id, n_shared, n_item of every text and item at or over the threshold."""
     docs = private(docs, "doc_id", "text")
     shingled = cut(item_shingles(items))
     near = cut(candidates(docs, item_sketches(shingled, threshold)).distinct())
-    right = broadcast_if_few(near.withColumnsRenamed({"doc_id": "_doc", "_text": "_hash"}))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
-    texts = docs.join(right, same).select("doc_id", "item_id", F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("_norm"))
-    pairs = texts.join(broadcast_if_few(shingled.withColumnRenamed("item_id", "_item")), F.col("item_id").eqNullSafe(F.col("_item")))
+    right = broadcast_if_few(near.withColumnsRenamed({"doc_id": "_doc", "_text": "text_hash"}))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("text_hash"))
+    norm = F.concat(F.lit(" "), F.array_join(words(F.col("text")), " "), F.lit(" ")).alias("_norm")
+    texts = docs.join(right, same).select("doc_id", "text_hash", "item_id", norm)
+    pairs = texts.join(_broadcast_if_small(shingled.withColumnRenamed("item_id", "_item")), F.col("item_id").eqNullSafe(F.col("_item")))
     held = F.size(F.filter("shingles", lambda s: F.contains(F.col("_norm"), F.concat(F.lit(" "), s, F.lit(" ")))))
-    return (
-        pairs.select("doc_id", "item_id", held.cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
-        .distinct()
-        .withColumn("containment", F.col("n_shared") / F.col("n_item"))
-        .where(F.col("containment") >= threshold)
-    )
+    counted = pairs.select("doc_id", "text_hash", "item_id", held.cast("long").alias("n_shared"), F.col("n_item").cast("long").alias("n_item"))
+    return counted.distinct().where(F.col("n_shared") / F.col("n_item") >= threshold)
+
+
+def _broadcast_if_small(shingled: DataFrame) -> DataFrame:
+    """Item texts are wide: their bytes are summed before they travel."""
+    total = shingled.agg(F.sum(F.aggregate("shingles", F.lit(0), lambda n, s: n + F.octet_length(s) + 16))).first()[0] or 0
+    return F.broadcast(shingled) if total <= ITEM_BYTES else shingled
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, item_id, n_shared, n_item, containment of every pair at or over the threshold."""
+    found = _holding(docs, items, threshold).drop("text_hash").distinct()
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose id is not among those that hold an item."""
-    bad = cut(contaminated(docs, items, threshold).select(F.col("doc_id").alias("_bad")).distinct())
+    """The rows of ``docs`` whose text holds no item; another text of the same id stays."""
+    bad = cut(_holding(docs, items, threshold).select(F.col("doc_id").alias("_bad"), "text_hash").distinct())
     few = broadcast_if_few(bad)
-    return docs.join(few, docs["doc_id"].eqNullSafe(few["_bad"]), "left_anti")
+    return docs.join(few, docs["doc_id"].eqNullSafe(few["_bad"]) & (F.xxhash64(docs["text"]) == few["text_hash"]), "left_anti")

@@ -86,7 +86,7 @@ def _labels(shingles: np.ndarray, factors: np.ndarray, shifts: np.ndarray, depth
 
 
 def sketched(docs: DataFrame, threshold: float, width: int, trees: int) -> DataFrame:
-    """doc_id, node, n (shingles), labels (a path label per tree)."""
+    """doc_id, text_hash, node, n (shingles), labels (a path label per tree)."""
     depth = matched_depth(threshold, trees)
     rng = np.random.default_rng(7)
     factors = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32) | np.uint32(1)
@@ -102,6 +102,7 @@ def sketched(docs: DataFrame, threshold: float, width: int, trees: int) -> DataF
             yield pa.RecordBatch.from_arrays(
                 [
                     rows.column("doc_id"),
+                    rows.column("text_hash"),
                     pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)),
                     pa.array(np.array(sizes, dtype=np.int64)),
                     pa.ListArray.from_arrays(
@@ -109,10 +110,11 @@ def sketched(docs: DataFrame, threshold: float, width: int, trees: int) -> DataF
                         pa.array(np.concatenate(labels)),
                     ),
                 ],
-                ["doc_id", "node", "n", "labels"],
+                ["doc_id", "text_hash", "node", "n", "labels"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(task, "doc_id long, node long, n long, labels array<long>")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return hashed.mapInArrow(task, "doc_id long, text_hash long, node long, n long, labels array<long>")
 
 
 def clusters(nodes: DataFrame) -> DataFrame:
@@ -233,24 +235,28 @@ def _sketch(docs: DataFrame, threshold: float, width: int, trees: int) -> tuple[
     return known, cut(sketched(known, threshold, width, trees))
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES) -> DataFrame:
-    """doc_id, class_id, n_links per row of ``docs``.
-
-    class_id is the least document id reached over links; n_links counts the other rows at or over the threshold.
-    """
-    known, sketch = _sketch(docs, threshold, width, trees)
-    found = cut(_verified(known, sketch, threshold, width, pairs=False))
+def _classes(sketch: DataFrame, found: DataFrame) -> DataFrame:
+    """node, class_id, n_links, keep_id, keep_hash of nodes with words; keep_id and keep_hash name the row that stands for the class."""
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")).where("a <> b"))
-    nodes = sketch.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first"))
-    whole = (
+    nodes = sketch.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    whole = cut(
         nodes.join(links, "node", "left")
         .join(roots.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left")
         .select("node", F.coalesce("root", "node").alias("root"), "first", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
-    whole = cut(whole)
-    least = whole.groupBy("root").agg(F.min("first").alias("class_id"))
-    by_node = broadcast_if_few(cut(whole.join(least, "root").select("node", "class_id", "n_links")))
+    least = whole.groupBy("root").agg(F.min("first").alias("kept"))
+    return cut(whole.join(least, "root").select("node", F.col("kept.doc_id").alias("class_id"), "n_links", F.col("kept.text_hash").alias("keep_hash")))
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = WIDTH, trees: int = TREES) -> DataFrame:
+    """doc_id, class_id, n_links per row of ``docs``.
+
+    class_id is the least document id reached over links; n_links counts the other rows at or over the threshold.
+    """
+    known, sketch = _sketch(docs, threshold, width, trees)
+    classes = _classes(sketch, cut(_verified(known, sketch, threshold, width, pairs=False)))
+    by_node = broadcast_if_few(classes.drop("keep_hash"))
     alone = sketch.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     lost = docs.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     linked = sketch.where("n > 0").select("doc_id", "node").join(by_node, "node").select("doc_id", "class_id", "n_links")
@@ -265,12 +271,18 @@ def jaccard_pairs(docs: DataFrame, threshold: float = THRESHOLD, width: int = WI
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of every class; of repeated rows one stays. Rows without an id stay."""
-    classes = cut(jaccard_classes(docs))
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    few = broadcast_if_few(gone)
-    left = docs.join(few, docs["doc_id"] == few["_gone"], "left_anti")
-    again = cut(classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    """One text of every class, that of the least id; of repeated rows one stays. Rows without an id stay.
+
+    What goes is told by id and text, so another text of the same id is judged by its own class.
+    """
+    known, sketch = _sketch(docs, THRESHOLD, WIDTH, TREES)
+    classes = _classes(sketch, cut(_verified(known, sketch, THRESHOLD, WIDTH, pairs=False)))
+    held = sketch.where("n > 0").select("doc_id", "text_hash", "node").join(broadcast_if_few(classes), "node")
+    other = (F.col("doc_id") != F.col("class_id")) | (F.col("text_hash") != F.col("keep_hash"))
+    gone = held.where(other).select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    few = broadcast_if_few(cut(gone))
+    left = docs.join(few, (docs["doc_id"] == few["_gone"]) & (F.xxhash64(docs["text"]) == few["_hash"]), "left_anti")
+    again = cut(sketch.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
     if again.isEmpty():
         return left
     few = broadcast_if_few(again)

@@ -6,8 +6,8 @@ documents share spreads over many ranges. Each sorted range is streamed into one
 the partial counts meet in a second, small aggregation. What comes back for a document is not text but a
 bitmap of kept lines, 64 lines to a word, and only for documents that lose a line.
 
-Defined cases: null and empty texts are one empty line; rows with the same document id count as one document
-and are treated alike; rows without a document id neither count nor lose lines; further columns stay untouched.
+Defined cases: null and empty texts are one empty line; rows with the same document id count as one document,
+and each loses the shared lines of its own text; rows without a document id neither count nor lose lines; further columns stay untouched.
 """
 
 from __future__ import annotations
@@ -34,18 +34,18 @@ def line_key(line: Column) -> Column:
 
 
 def line_records(docs: DataFrame, min_chars: int) -> DataFrame:
-    """h, g, doc_id, position: a record per line long enough; two hashes, 96 bits, stand for the key."""
+    """h, g, doc_id, text_hash, position: a record per line long enough; two hashes, 96 bits, stand for the key."""
     lines = private(docs, "doc_id", "text").where("doc_id is not null").select(
-        "doc_id", F.posexplode(line_array(F.col("text"))).alias("position", "line")
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(line_array(F.col("text"))).alias("position", "line")
     )
-    keyed = lines.select("doc_id", "position", line_key(F.col("line")).alias("key")).where(
+    keyed = lines.select("doc_id", "text_hash", "position", line_key(F.col("line")).alias("key")).where(
         F.length("key") >= min_chars
     )
-    return keyed.select(F.xxhash64("key").alias("h"), F.hash("key").alias("g"), "doc_id", "position")
+    return keyed.select(F.xxhash64("key").alias("h"), F.hash("key").alias("g"), "doc_id", "text_hash", "position")
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """doc_id, position of each line that goes: its key is in ``min_docs`` documents, another holds it last."""
+    """doc_id, text_hash, position of each line that goes: its key is in ``min_docs`` documents, another holds it last."""
     records = line_records(docs, min_chars)
     ranged = cut(
         records.repartitionByRange("h", "g", "doc_id").sortWithinPartitions("h", "g", "doc_id", "position")
@@ -59,22 +59,24 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Da
         .select("h", "g", "keeper")
     )
     # Both sides of the join are plain tables: a small one is broadcast, otherwise Spark can split a hot line.
-    return ranged.join(broadcast_if_few(cut(keepers)), ["h", "g"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "position")
+    return ranged.join(broadcast_if_few(cut(keepers)), ["h", "g"]).where(F.col("doc_id") != F.col("keeper")).select("doc_id", "text_hash", "position")
 
 
 def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
-    """doc_id, keep (array of 64-bit words up to the last one with a lost line), n_dropped; lossy documents only."""
+    """doc_id, text_hash, keep (array of 64-bit words up to the last one with a lost line), n_dropped; lossy documents only."""
+    # Rows of one id may have different texts: a bitmap belongs to an id and a text.
+    text = ["doc_id", "text_hash"]
     lost = dropped_lines(docs, min_docs, min_chars).select(
-        "doc_id", F.expr("position div 64").cast("int").alias("word"), F.expr("shiftleft(1L, position % 64)").alias("bit")
+        *text, F.expr("position div 64").cast("int").alias("word"), F.expr("shiftleft(1L, position % 64)").alias("bit")
     ).distinct()
-    by_word = lost.groupBy("doc_id", "word").agg(F.bit_or("bit").alias("mask"), F.count("bit").alias("n"))
-    packed = by_word.groupBy("doc_id").agg(
+    by_word = lost.groupBy(*text, "word").agg(F.bit_or("bit").alias("mask"), F.count("bit").alias("n"))
+    packed = by_word.groupBy(*text).agg(
         F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("masks"), F.sum("n").alias("n_dropped")
     )
     # Words without a lost line are filled in, so that a word is found by its number.
-    filled = packed.select("doc_id", "n_dropped", F.explode("masks").alias("m"), F.element_at("masks", -1)["word"].alias("top"))
+    filled = packed.select(*text, "n_dropped", F.explode("masks").alias("m"), F.element_at("masks", -1)["word"].alias("top"))
     holes = packed.select(
-        "doc_id",
+        *text,
         "n_dropped",
         F.explode(
             F.filter(
@@ -84,11 +86,11 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> Dat
                 lambda r: r["a"] <= r["b"],
             )
         ).alias("r"),
-    ).select("doc_id", "n_dropped", F.explode(F.sequence("r.a", "r.b")).alias("word"), F.lit(0).cast("long").alias("mask"))
-    words = filled.select("doc_id", "n_dropped", F.col("m.word").alias("word"), F.col("m.mask").alias("mask")).unionByName(holes)
-    return words.groupBy("doc_id", "n_dropped").agg(
+    ).select(*text, "n_dropped", F.explode(F.sequence("r.a", "r.b")).alias("word"), F.lit(0).cast("long").alias("mask"))
+    words = filled.select(*text, "n_dropped", F.col("m.word").alias("word"), F.col("m.mask").alias("mask")).unionByName(holes)
+    return words.groupBy(*text, "n_dropped").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("word", "mask"))), lambda x: F.bitwise_not(x["mask"])).alias("keep")
-    ).select("doc_id", "keep", "n_dropped")
+    ).select(*text, "keep", "n_dropped")
 
 
 def kept_text(text: Column, keep: str) -> Column:
@@ -102,11 +104,12 @@ def kept_text(text: Column, keep: str) -> Column:
 def with_bitmaps(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
     """``docs`` with the columns _keep and _n_dropped; bitmaps are broadcast only if their summed size is small."""
     maps = cut(keep_bitmaps(docs, min_docs, min_chars)).select(
-        F.col("doc_id").alias("_doc"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped")
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("keep").alias("_keep"), F.col("n_dropped").alias("_n_dropped")
     )
     total = maps.agg((F.sum(F.size("_keep")) + F.count("_doc")).alias("n")).first()["n"] or 0
     right = F.broadcast(maps) if total <= BITMAP_WORDS else maps
-    return docs.join(right, docs["doc_id"] == right["_doc"], "left").drop("_doc")
+    same = (docs["doc_id"] == right["_doc"]) & (F.xxhash64(docs["text"]) == right["_hash"])
+    return docs.join(right, same, "left").drop("_doc", "_hash")
 
 
 def drop_shared_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:

@@ -12,8 +12,9 @@ text and the newline that ends it.
 Places are running sums in two levels: inside runs of ``RUN`` turn numbers, then over the runs, so the
 messages of one dialogue spread over many tasks.
 
-Defined cases: null text is empty; null speaker is a speaker of the name ``unknown``; messages without a
-dialogue id form one dialogue of the id -1; equal turn numbers are ordered by speaker, then text; repeated rows stay;
+Defined cases: null text is empty; messages of a null speaker are those of one participant, shown with the name ``unknown``
+and apart from a real speaker of that name (its perspective is null); messages without a dialogue id form one dialogue
+of their own, whose id is null; equal turn numbers are ordered by speaker, then text; repeated rows stay;
 a dialogue without a participant gives no rows.
 """
 
@@ -30,7 +31,7 @@ SYSTEM = "system"
 
 def participants(turns: DataFrame) -> DataFrame:
     """conv_id, perspective: the distinct speakers of a dialogue."""
-    return turns.where(F.col("speaker") != SYSTEM).select("conv_id", F.col("speaker").alias("perspective")).distinct()
+    return turns.where(~F.col("speaker").eqNullSafe(SYSTEM)).select(F.col("conv_id").alias("_seen"), F.col("speaker").alias("perspective")).distinct()
 
 
 def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
@@ -39,21 +40,23 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     Places count code points from the start of the rendered dialogue. loss_start = loss_end: nothing to learn.
     """
     said = private(turns, "conv_id", "turn", speaker, "text").select(
-        F.coalesce("conv_id", F.lit(-1)).alias("conv_id"),
+        "conv_id",
         "turn",
-        F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"),
+        F.col(speaker).alias("speaker"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    seen = said.join(participants(said), "conv_id")
-    own = F.col("speaker") == F.col("perspective")
+    views = participants(said)
+    seen = said.join(views, said["conv_id"].eqNullSafe(views["_seen"]))
+    own = F.col("speaker").eqNullSafe(F.col("perspective"))
     role = F.when(own, F.lit("assistant")).when(F.col("speaker") == SYSTEM, F.lit(SYSTEM)).otherwise(F.lit("user"))
-    head = F.concat(F.lit("<|"), role, F.lit("|>"), F.when(role == "user", F.col("speaker")).otherwise(F.lit("")), F.lit("\n"))
+    name = F.coalesce("speaker", F.lit("unknown"))
+    head = F.concat(F.lit("<|"), role, F.lit("|>"), F.when(role == "user", name).otherwise(F.lit("")), F.lit("\n"))
     laid = seen.select(
         "conv_id",
         "perspective",
         "turn",
         role.alias("role"),
-        F.when(role == "user", F.col("speaker")).alias("name"),
+        F.when(role == "user", name).alias("name"),
         F.concat(head, "text", F.lit("\n")).alias("segment"),
         F.length(head).cast("long").alias("_head"),
         "speaker",
@@ -66,7 +69,7 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
     inside = Window.partitionBy(*view, "_run").orderBy(F.col("turn").asc_nulls_first(), "speaker", "segment").rowsBetween(Window.unboundedPreceding, -1)
     placed = laid.withColumn("_in", F.coalesce(F.sum("_len").over(inside), F.lit(0)))
     runs = runs.withColumnsRenamed({"conv_id": "_conv", "perspective": "_view"})
-    on = (F.col("conv_id") == F.col("_conv")) & (F.col("perspective") == F.col("_view")) & F.col("_run").eqNullSafe(F.col("_r"))
+    on = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("perspective").eqNullSafe(F.col("_view")) & F.col("_run").eqNullSafe(F.col("_r"))
     start = (F.col("_before") + F.col("_in")).cast("long")
     learn = F.col("role") == "assistant"
     return placed.join(runs, on).select(
@@ -85,7 +88,9 @@ def perspectives(turns: DataFrame, speaker: str = "role") -> DataFrame:
 def rendered(views: DataFrame, most_chars: int) -> DataFrame:
     """conv_id, perspective, text, mask_spans of the dialogues of at most ``most_chars`` code points."""
     view = ["conv_id", "perspective"]
-    short = views.groupBy(*view).agg(F.max("seg_end").alias("_n")).where(F.col("_n") <= most_chars).select(*view)
-    rows = views.join(short, view).groupBy(*view).agg(F.sort_array(F.collect_list(F.struct("seg_start", "segment", "loss_start", "loss_end"))).alias("_s"))
+    sizes = views.groupBy(*view).agg(F.max("seg_end").alias("_n")).where(F.col("_n") <= most_chars)
+    short = sizes.select(F.col("conv_id").alias("_conv"), F.col("perspective").alias("_view"))
+    on = F.col("conv_id").eqNullSafe(F.col("_conv")) & F.col("perspective").eqNullSafe(F.col("_view"))
+    rows = views.join(short, on, "left_semi").groupBy(*view).agg(F.sort_array(F.collect_list(F.struct("seg_start", "segment", "loss_start", "loss_end"))).alias("_s"))
     spans = F.filter(F.transform("_s", lambda x: F.struct(x["loss_start"].alias("start"), x["loss_end"].alias("end"))), lambda x: x["start"] < x["end"])
     return rows.select(*view, F.array_join(F.col("_s.segment"), "").alias("text"), spans.alias("mask_spans"))

@@ -104,3 +104,15 @@ def test_components_of_paths_and_stars(spark):
     got = components(frame)
     assert {r.a: r.b for r in got.collect()} == expected
     assert components(frame.where(F.lit(False))).count() == 0
+
+
+def test_one_id_under_two_texts_is_judged_by_text(spark):
+    t1, t2 = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    near = t1.replace("a29", "zz")
+    rows = [(3, t1), (5, t1), (5, t2), (5, near), (2, t2 + " end"), (7, t1.replace(" ", "  ")), (7, t1), (8, None), (8, ""), (None, t1), (5, t1)]
+    left = jaccard.keep_one_each(docs_of(spark, rows)).collect()
+    # (5, t2) is near (2, t2 end); the class of t1 keeps (3, t1).
+    assert sorted((r.doc_id, r.text) for r in left if r.doc_id and r.text) == [(2, t2 + " end"), (3, t1)]
+    assert [r.text for r in left if r.doc_id is None] == [t1] and sum(r.doc_id == 8 for r in left) == 2
+    alone = jaccard.keep_one_each(docs_of(spark, [(3, t1), (5, t1), (5, t2), (5, t2)])).collect()
+    assert sorted((r.doc_id, r.text) for r in alone) == [(3, t1), (5, t2)]
