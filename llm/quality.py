@@ -3,12 +3,14 @@
 Each document gets counts and, from them, integer measures (thousandths). For every language and source a
 quantile sketch of each measure is kept: a histogram over values cut to their seven leading bits, so a quantile
 is at most 1/64 below the true value. Sketches are counts per (group, measure, value); they merge by adding,
-give the same result in any order, and a hot group costs one row per task and value. A limit is the group's
-median plus ``SPREAD`` times its distance to the quartile on the clean side, at least ``LEAST`` of the measure
-(so a group in which nearly all documents agree doesn't lose those that differ slightly).
+give the same result in any order, and a hot group costs one row per task and value. A limit begins
+``LEAST`` of the measure over the group's median. The 75th and the 90th percentile move it, each to itself plus ``SPREAD`` times
+its distance from the median (``LEAST`` at least), and the 99th to itself plus half of ``LEAST``, but only if they lie
+inside the limit so far: junk that fills a quarter of a group, far from the rest, does not raise its own limit. The lower
+limit of word lengths is made alike from the low percentiles.
 
 Defined cases: null or blank text has no words and fails the fixed base rule; null language or source is a
-group of its own; a group of one document keeps it (its median is its own value); repeated rows get the same
+group of its own; a group of one document keeps it (its percentiles are its own values); repeated rows get the same
 verdict; further columns stay untouched.
 """
 
@@ -23,8 +25,8 @@ from llm.text import BLANKS, broadcast_if_few, grams, hashed, private, words
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 SPREAD = 5
-#: Measure: the least distance of its limit from the median. All are in thousandths.
-LEAST = {"symbols": 100, "marks": 200, "dup_lines": 400, "repeats": 400, "word_length": 3000}
+#: Measure: the least distance of its limit from a percentile. All are in thousandths.
+LEAST = {"symbols": 50, "marks": 50, "dup_lines": 250, "repeats": 100, "word_length": 1500}
 MEASURES = list(LEAST)
 
 
@@ -127,11 +129,17 @@ def limits(sketch: DataFrame) -> DataFrame:
     so_far = F.sum("n").over(Window.partitionBy(*group).orderBy("value"))
     total = F.sum("n").over(Window.partitionBy(*group))
     ranked = sketch.withColumn("_upto", so_far).withColumn("_all", total)
-    quantile = lambda k: F.min(F.when(4 * F.col("_upto") >= k * F.col("_all"), F.col("value")))
-    q = ranked.groupBy(*group).agg(quantile(1).alias("q1"), quantile(2).alias("q2"), quantile(3).alias("q3"))
+    quantile = lambda k: F.min(F.when(100 * F.col("_upto") >= k * F.col("_all"), F.col("value")))
+    q = ranked.groupBy(*group).agg(*[quantile(k).alias(f"q{k}") for k in (1, 10, 25, 50, 75, 90, 99)])
     least = F.create_map(*[F.lit(x) for k, v in LEAST.items() for x in (k, v)])[F.col("measure")]
-    high = F.col("q2") + F.greatest(SPREAD * (F.col("q2") - F.col("q1")), least)
-    low = F.col("q2") - F.greatest(SPREAD * (F.col("q3") - F.col("q2")), least)
+    q = q.withColumn("_least", least).withColumn("high", F.col("q50") + F.col("_least")).withColumn("low", F.col("q50") - F.col("_least"))
+    for up, down in (("q75", "q25"), ("q90", "q10")):
+        far = lambda c: F.greatest(SPREAD * F.abs(F.col(c) - F.col("q50")), F.col("_least"))
+        q = q.withColumn("high", F.when(F.col(up) <= F.col("high"), F.col(up) + far(up)).otherwise(F.col("high")))
+        q = q.withColumn("low", F.when(F.col(down) >= F.col("low"), F.col(down) - far(down)).otherwise(F.col("low")))
+    half = F.floor(F.col("_least") / 2)
+    high = F.when(F.col("q99") <= F.col("high"), F.greatest("high", F.col("q99") + half)).otherwise(F.col("high"))
+    low = F.when(F.col("q1") >= F.col("low"), F.least("low", F.col("q1") - half)).otherwise(F.col("low"))
     fenced = q.select(*group, high.alias("high"), low.alias("low"))
     at = lambda m, c: F.max(F.when(F.col("measure") == m, F.col(c)))
     return fenced.groupBy("lang", "source").agg(

@@ -147,12 +147,21 @@ sketch as (
 ranked as (
   select *, sum(n) over (partition by lang, source, measure order by value) as upto,
          sum(n) over (partition by lang, source, measure) as total from sketch),
-quartiles as (
-  select lang, source, measure, min(value) filter (4 * upto >= total) as q1, min(value) filter (4 * upto >= 2 * total) as q2,
-         min(value) filter (4 * upto >= 3 * total) as q3 from ranked group by all),
+percentiles as (
+  select lang, source, measure, min(value) filter (100 * upto >= total) as q1, min(value) filter (100 * upto >= 10 * total) as q10,
+         min(value) filter (100 * upto >= 25 * total) as q25, min(value) filter (100 * upto >= 50 * total) as q50,
+         min(value) filter (100 * upto >= 75 * total) as q75, min(value) filter (100 * upto >= 90 * total) as q90,
+         min(value) filter (100 * upto >= 99 * total) as q99 from ranked group by all),
+middle as (
+  select *, case when q75 <= q50 + least_ then q75 + greatest(5 * (q75 - q50), least_) else q50 + least_ end as h75,
+         case when q25 >= q50 - least_ then q25 - greatest(5 * (q50 - q25), least_) else q50 - least_ end as l25
+  from percentiles join (values ('symbols', 50), ('marks', 50), ('dup_lines', 250), ('repeats', 100), ('word_length', 1500)) l(measure, least_) using (measure)),
+outer_ as (
+  select *, case when q90 <= h75 then q90 + greatest(5 * (q90 - q50), least_) else h75 end as h90,
+         case when q10 >= l25 then q10 - greatest(5 * (q50 - q10), least_) else l25 end as l10 from middle),
 fences as (
-  select lang, source, measure, q2 + greatest(5 * (q2 - q1), least_) as high, q2 - greatest(5 * (q3 - q2), least_) as low
-  from quartiles join (values ('symbols', 100), ('marks', 200), ('dup_lines', 400), ('repeats', 400), ('word_length', 3000)) l(measure, least_) using (measure)),
+  select lang, source, measure, case when q99 <= h90 then greatest(h90, q99 + least_ // 2) else h90 end as high,
+         case when q1 >= l10 then least(l10, q1 - least_ // 2) else l10 end as low from outer_),
 bounds as (
   select lang as b_lang, source as b_source, max(high) filter (measure = 'symbols') as m1, max(high) filter (measure = 'marks') as m2,
          max(high) filter (measure = 'dup_lines') as m3, max(high) filter (measure = 'repeats') as m4,
@@ -183,16 +192,16 @@ from shared join sizes using (item_id) where n_shared / n_item >= 0.8
 
 OP6_SQL = """
 with said as (
-  select coalesce(conv_id, -1) as conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations),
-views as (select distinct conv_id, speaker as perspective from said where speaker <> 'system'),
+  select conv_id, turn, role as speaker, coalesce(text, '') as text from conversations),
+views as (select distinct conv_id as of_conv, speaker as perspective from said where speaker is distinct from 'system'),
 seen as (
-  select conv_id, perspective, turn, speaker, text,
-         case when speaker = perspective then 'assistant' when speaker = 'system' then 'system' else 'user' end as role
-  from said join views using (conv_id)),
-headed as (select *, '<|' || role || '|>' || (case when role = 'user' then speaker else '' end) || chr(10) as head from seen),
+  select conv_id, perspective, turn, speaker, text, case when speaker is not distinct from perspective then 'assistant'
+         when speaker = 'system' then 'system' else 'user' end as role
+  from said join views on conv_id is not distinct from of_conv),
+headed as (select *, '<|' || role || '|>' || (case when role = 'user' then coalesce(speaker, 'unknown') else '' end) || chr(10) as head from seen),
 laid as (
-  select *, case when role = 'user' then speaker end as name, head || text || chr(10) as segment,
-         sum(length(head || text || chr(10))) over (partition by conv_id, perspective order by turn nulls first, speaker, head || text || chr(10)
+  select *, case when role = 'user' then coalesce(speaker, 'unknown') end as name, head || text || chr(10) as segment,
+         sum(length(head || text || chr(10))) over (partition by conv_id, perspective order by turn nulls first, speaker nulls first, head || text || chr(10)
            rows unbounded preceding)::bigint as seg_end from headed)
 select conv_id, perspective, turn, role, name, segment, seg_end - length(segment) as seg_start, seg_end,
        case when role = 'assistant' then seg_end - length(segment) + length(head) else seg_end - length(segment) end as loss_start,

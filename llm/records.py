@@ -118,7 +118,8 @@ def index_of(manifest: DataFrame) -> DataFrame:
                 columns = {"begin": rows["begin"], "size": rows["size"], "start": rows["ids_before"] + np.uint64(first)}
                 yield pd.DataFrame({"file": file} | {k: v.astype(np.int64) for k, v in columns.items()})
 
-    spread = manifest.select("file", "first_id").repartition("file")
+    # A stated number of partitions is not put together again, however small the manifest: files are read side by side.
+    spread = manifest.select("file", "first_id").repartition(max(1, manifest.count()), "file")
     return spread.mapInPandas(task, "file string, begin long, size long, start long")
 
 

@@ -206,12 +206,14 @@ def fit(rows: DataFrame, most_rows: int = MOST_ROWS) -> dict:
             owner, feature = held_terms(texts, number)
             ends = np.searchsorted(owner, np.arange(len(texts) + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(feature.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("toxic"), lists], ["toxic", "features"])
+            yield pa.RecordBatch.from_arrays([part.column("draw"), part.column("doc_id"), part.column("toxic"), lists], ["draw", "doc_id", "toxic", "features"])
 
     draw = F.xxhash64("doc_id", F.lit(9))
     n, least = rows.agg(F.count(F.lit(1)), F.coalesce(F.min(draw), F.lit(0).cast("long"))).first()
-    some = rows.where(draw <= F.lit(hash_bound(n, 6 * most_rows // 5, least)).cast("long")).orderBy(draw, "doc_id").limit(most_rows)
-    got = some.select("text", "toxic").mapInArrow(task, "toxic int, features array<int>").toArrow()
+    some = rows.select(draw.alias("draw"), "doc_id", "text", "toxic").where(F.col("draw") <= F.lit(hash_bound(n, 6 * most_rows // 5, least)).cast("long"))
+    # Features are made where the rows lie, in many tasks; only they meet for the exact number of rows.
+    made = some.mapInArrow(task, "draw long, doc_id long, toxic int, features array<int>")
+    got = made.orderBy("draw", "doc_id").limit(most_rows).select("toxic", "features").toArrow()
     lists = got.column("features").chunks
     sizes = np.concatenate([np.zeros(0, np.int64), *[pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists]]).astype(np.int64)
     owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)

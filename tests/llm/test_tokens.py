@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm import packing, records
 from llm.tokens import Encoder, vocabulary
+from pyspark.sql.functions import spark_partition_id
 from tokenizers import Tokenizer
 
 from tests.llm.helpers import crc, docs_of, odd_rows, with_clashes
@@ -113,3 +114,15 @@ def test_damaged_records_are_found():
             records.unframe(bytes(bad))
     with pytest.raises(ValueError):
         records.unframe(record[:-1])
+
+
+def test_files_are_read_back_side_by_side(spark, tmp_path):
+    docs = docs_of(spark, [(k, f"text {k}") for k in range(400)]).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        manifest = records.write_records(docs, str(tmp_path / "r"), VOCABULARY, 2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    # However few bytes the manifest has.
+    rows = records.read_records(records.index_of(manifest)).select("start", spark_partition_id().alias("p")).collect()
+    assert manifest.count() == 8 and len(rows) == 400 and len({r.p for r in rows}) > 3
