@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stockcount.functions.labels import IMAGE_SUFFIXES, suffix
+from stockcount.scale import compact
 
 # Packaging types every installation starts with, and the texts that describe them.
 PACKAGING_SEED = [
@@ -40,8 +41,8 @@ SYNC_FIELDS = ("descripcion", "packaging_type_id", "brand", "size", "variant")
 UPDATABLE = (*SYNC_FIELDS, "n_imagenes", "embeddings_calculados", "embeddings_path", "fecha_embeddings", "activo")
 
 
-# Search terms that meet a product at once.
-TERMS_PER_BLOCK = 500
+# Letters of the runs by which search terms meet texts.
+GRAM = 3
 
 
 def packaging_seed(spark: SparkSession) -> DataFrame:
@@ -72,27 +73,47 @@ def products_of(products: DataFrame, packaging_type: str) -> DataFrame:
     return products.filter(F.col("activo") & (F.col("packaging_type_id") == packaging_type)).orderBy("descripcion")
 
 
+def grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters of a text, in order; the empty run once for 0."""
+    if n == 0:
+        return F.array(F.lit(""))
+    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
+    return F.when(F.length(text) >= n, F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
+def postings(products: DataFrame, sizes: Sequence[int]) -> DataFrame:
+    """A row of the product for each distinct run of the given sizes in its code or description, as ``gram``, in lower case."""
+    ean, desc = F.lower(F.col("ean").cast("string")), F.lower(F.coalesce("descripcion", F.lit("")))
+    found = F.array_distinct(F.concat(*[grams(text, n) for n in sizes for text in (ean, desc)]))
+    return products.withColumn("gram", F.explode(found))
+
+
 def search_products(products: DataFrame, terms: DataFrame, limit: int = 20) -> DataFrame:
     """First ``limit`` products per search term, matched case-insensitively on code or description.
 
-    ``terms`` has a column ``busqueda``; an empty term returns the first products. The terms are a stated
-    set: they are gathered into blocks, each block meets all products, and only hits leave the row of a
-    product and block. The ranking keeps ``limit`` rows per term and task before anything is shuffled.
+    ``terms`` has a column ``busqueda``; an empty term returns the first products. A term meets the postings of one run of
+    its characters in an equi-join: a term of up to three characters its own, which decides, a longer one that
+    of its runs of three which the fewest products have, and is then looked for in the text. The ranking keeps
+    ``limit`` rows per term and task before anything is shuffled.
     """
-    wanted = terms.select("busqueda").filter("busqueda is not null").distinct()
-    blocks = max(1, -(-wanted.count() // TERMS_PER_BLOCK))
-    of_block = F.pmod(F.xxhash64("busqueda"), F.lit(blocks))
-    packed = wanted.groupBy(of_block.alias("_b")).agg(F.collect_list("busqueda").alias("_terms")).select("_terms")
-    text_ean, text_desc = F.lower(F.col("ean").cast("string")), F.lower("descripcion")
-
-    def matches(term: Column) -> Column:
-        low = F.lower(F.trim(term))
-        return text_ean.contains(low) | F.coalesce(text_desc.contains(low), F.lit(False))
-
+    low = F.lower(F.trim("busqueda"))
+    wanted = terms.select("busqueda").filter("busqueda is not null").distinct().withColumn("_low", low)
+    lengths = {min(r["n"], GRAM + 1) for r in wanted.select(F.length("_low").alias("n")).distinct().collect()}
+    slim = products.select("packaging_type_id", "descripcion", "ean")
+    chosen = wanted.filter(F.length("_low") <= GRAM).withColumn("gram", F.col("_low"))
+    if max(lengths, default=0) > GRAM:
+        asked = wanted.filter(F.length("_low") > GRAM).withColumn("gram", F.explode(F.array_distinct(grams(F.col("_low"), GRAM))))
+        used = compact(asked.select("gram").distinct())
+        held = postings(slim, [GRAM]).join(used, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("_n"))
+        rare = asked.join(held, "gram", "left").groupBy("busqueda", "_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)), "gram"))["gram"].alias("gram"))
+        chosen = chosen.unionByName(rare)
+    sizes = sorted({min(n, GRAM) for n in lengths}) or [GRAM]
+    found = F.contains(F.lower(F.col("ean").cast("string")), F.col("_low")) | F.coalesce(F.contains(F.lower("descripcion"), F.col("_low")), F.lit(False))
     order = Window.partitionBy("busqueda").orderBy("packaging_type_id", "descripcion", "ean")
     return (
-        products.crossJoin(F.broadcast(packed) if blocks <= 100 else packed)
-        .withColumn("busqueda", F.explode(F.filter("_terms", matches)))
+        postings(slim, sizes)
+        .join(compact(chosen), "gram")
+        .filter(found)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= limit)
         .select("busqueda", "rank", "ean", "descripcion")

@@ -90,7 +90,7 @@ def unique_content(images: DataFrame) -> DataFrame:
 
 def shuffled_order(seed: int) -> Column:
     """Repeatable order of candidates that does not follow the search result."""
-    return F.xxhash64(F.col("url"), F.lit(seed))
+    return F.sha2(F.concat(F.coalesce("url", F.lit("")), F.lit(f"|{seed}")), 256)
 
 
 def harvest(
@@ -101,7 +101,11 @@ def harvest(
     Products are served in order; each saves its first ``per_ean`` valid images whose content no
     earlier product has saved. Processing stops at the last saved one, so later images are neither
     attempted nor rejected. ``images`` has seq (order inside the product), ean, sha256, url and the
-    validated columns.
+    validated columns; without sha256 or bytes the download failed. A text in an optional column ``save_error`` says that the
+    file could not be written: it is not saved, and its content stays free.
+
+    Rejected images have the stage (``download``, ``validate`` or ``save``) and the reason. An image whose content is saved already is
+    passed over before anything is written and not rejected.
 
     Whether content is free depends on what earlier products really saved. That is settled in rounds:
     every product claims its first free contents, each content goes to its earliest claimant, and
@@ -110,8 +114,12 @@ def harvest(
     """
     if seed is not None:
         images = images.withColumn("seq", F.struct(shuffled_order(seed).alias("h"), "seq"))
-    checked = validated(images, **limits)
-    valid = checked.filter("valida")
+    if "save_error" not in images.columns:
+        images = images.withColumn("save_error", F.lit(None).cast("string"))
+    got = F.col("sha256").isNotNull() & F.col("bytes").isNotNull()
+    checked = validated(images, **limits).withColumn("motivo", F.when(got, F.col("motivo")).otherwise(F.lit("download_failed")))
+    checked = checked.withColumn("valida", F.col("valida") & got)
+    valid = checked.filter("valida and save_error is null")
     if dedupe:
         claims = valid.groupBy("ean", "sha256").agg(F.min("seq").alias("seq"))
         order = Window.partitionBy("ean").orderBy("seq")
@@ -136,7 +144,13 @@ def harvest(
     )
     name = F.format_string("%s__%03d.%s", F.col("ean").cast("string"), F.col("n"), media_extension(F.col("content_type")))
     saved = valid.join(chosen, ["ean", "seq"]).withColumn("archivo", name)
-    rejected = tried.filter("intentada and not valida").select("ean", "seq", "url", "motivo")
+    stage = F.when(F.col("motivo") == "download_failed", F.lit("download")).otherwise(F.lit("validate"))
+    rejected = tried.filter("intentada and not valida").select("ean", "seq", "url", stage.alias("etapa"), "motivo")
+    unsaved = tried.filter("intentada and valida and save_error is not null")
+    if dedupe:
+        held = saved.select("sha256", F.struct("ean", "seq").alias("_by"))
+        unsaved = unsaved.join(held, "sha256", "left").filter(F.col("_by").isNull() | (F.struct("ean", "seq") < F.col("_by")))
+    rejected = rejected.unionByName(unsaved.select("ean", "seq", "url", F.lit("save").alias("etapa"), F.col("save_error").alias("motivo")))
     counters = tried.groupBy("ean").agg(
         F.coalesce(F.max("guardadas"), F.lit(0)).alias("guardadas"),
         F.count_if("intentada").alias("intentadas"),

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockcount.operators import inventory, votes
 from stockcount.plans.q_track import _DECISION_SQL
 from stockcount.plans.registry import query
-from stockcount.sources import views
+from stockcount.scale import shared_dir
+from stockcount.sources import stores, views
 
 
 def _identified(spark, sf):
@@ -62,3 +65,12 @@ LEFT JOIN (SELECT video_id, count(DISTINCT frame_idx)::BIGINT AS fp, count(*)::B
 )
 def run_totals(spark, sf):
     return inventory.run_totals(views.frames(spark, sf), _identified(spark, sf))
+
+
+@query("SELECT sku_pred AS ean, max(n) AS cantidad, '2024-02-01' AS fecha FROM (SELECT video_id, frame_idx, sku_pred, count(*)::BIGINT AS n FROM fx_detections GROUP BY 1, 2, 3) GROUP BY 1")
+def inventory_report(spark, sf):
+    """The report of all videos, the most seen in one frame, written with a header and read back."""
+    units = inventory.inventory_by_frame(_identified(spark, sf)).groupBy("ean").agg(F.max("cantidad").alias("cantidad"))
+    place = f"{shared_dir(spark)}/inventory-{uuid.uuid4().hex}"
+    stores.write_inventory(units, place, "2024-02-01")
+    return stores.read_inventory(spark, place)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from stockcount.operators import harvest
@@ -97,4 +98,44 @@ def image_harvest_stats(spark, sf):
 )
 def image_rejects(spark, sf):
     _, rejected, _ = harvest.harvest(views.images(spark, sf))
-    return rejected.groupBy(F.lit("validate").alias("etapa"), "motivo").agg(F.count(F.lit(1)).alias("n"))
+    return rejected.groupBy("etapa", "motivo").agg(F.count(F.lit(1)).alias("n"))
+
+
+# Every thirteenth image could not be downloaded, every ninth of the others not be written.
+_STAGES_SQL = (
+    """WITH given AS (
+  SELECT *, seq % 13 = 0 AS lost, CASE WHEN seq % 9 = 0 THEN 'disk full' END AS save_error FROM fx_images),
+looked AS (
+  SELECT *, CASE WHEN lost THEN 'download_failed' WHEN NOT contains(content_type, 'image/') THEN 'content_type_not_image'
+                 WHEN bytes < 50000 THEN 'too_small_bytes' WHEN width IS NULL THEN 'ok_no_dims'
+                 WHEN width < 300 OR height < 300 THEN 'too_small_resolution' ELSE 'ok' END AS verdict FROM given),
+checked AS (SELECT *, CASE WHEN save_error IS NULL THEN verdict ELSE 'unsaved' END AS motivo FROM looked)
+"""
+    + _rounds_sql(6, 10)
+    + """, ends AS (SELECT ean, count(*)::BIGINT AS g, max(seq) AS last FROM chosen GROUP BY 1),
+tried AS (SELECT c.*, coalesce(e.g, 0) < 10 OR c.seq <= e.last AS intentada FROM checked c LEFT JOIN ends e USING (ean)),
+kept AS (SELECT sha256, ean AS by_ean, seq AS by_seq FROM chosen),
+rejected AS (
+  SELECT CASE WHEN lost THEN 'download' ELSE 'validate' END AS etapa, verdict AS motivo FROM tried WHERE intentada AND verdict NOT LIKE 'ok%'
+  UNION ALL SELECT 'save', save_error FROM tried LEFT JOIN kept USING (sha256)
+  WHERE intentada AND verdict LIKE 'ok%' AND save_error IS NOT NULL AND (by_ean IS NULL OR (ean, seq) < (by_ean, by_seq)))
+SELECT etapa, motivo, count(*)::BIGINT AS n FROM rejected GROUP BY 1, 2"""
+)
+
+
+@query(_STAGES_SQL)
+def image_rejects_by_stage(spark, sf):
+    images = views.images(spark, sf)
+    lost = F.col("seq") % 13 == 0
+    given = images.withColumn("sha256", F.when(~lost, F.col("sha256"))).withColumn("save_error", F.when(F.col("seq") % 9 == 0, F.lit("disk full")))
+    _, rejected, _ = harvest.harvest(given)
+    return rejected.groupBy("etapa", "motivo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT ean, seq, row_number() OVER (PARTITION BY ean ORDER BY sha256(url || '|7'), seq)::INTEGER AS lugar FROM fx_images"""
+)
+def image_shuffled_order(spark, sf):
+    """The order in which shuffled candidates of a product are tried."""
+    order = Window.partitionBy("ean").orderBy(harvest.shuffled_order(7), "seq")
+    return views.images(spark, sf).select("ean", "seq", F.row_number().over(order).alias("lugar"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockcount.functions.numbers import decimals
 from stockcount.operators import absorb, knn, review
 from stockcount.plans.registry import query
+from stockcount.scale import shared_dir
 from stockcount.sources import stores, views
 from stockcount.sources.tables import table
 
@@ -317,3 +320,19 @@ def absorb_apply(spark, sf):
     )
     refs, _ = absorb.apply(_labelled_crops(spark, sf), _numeric_refs(spark, sf), info, _valid(spark, sf))
     return knn.usable(refs, 64).select("ean", "ref_id", "categoria", "descripcion")
+
+
+@query(
+    """SELECT CASE WHEN idx % 7 <> 0 THEN crop_id END AS crop_id, 'run-' || run_id::VARCHAR AS execution_id,
+       CASE WHEN idx % 11 <> 0 THEN decision END AS decision, nullif(status, 'pending') AS status, assigned_ean::VARCHAR AS assigned_ean
+FROM fx_review"""
+)
+def review_log_roundtrip(spark, sf):
+    """Records appended to the log in two deliveries, a folder for each run, and read back."""
+    records = _records(spark, sf).select("crop_id", "execution_id", "sku_identification", "decision", "paths", "review", "idx")
+    place = f"{shared_dir(spark)}/review-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        stores.append_review_log(records.filter(F.col("idx") % 2 == half).drop("idx"), place)
+    return stores.read_review_log(spark, place).select(
+        "crop_id", "execution_id", "decision", F.col("review.status").alias("status"), F.col("review.assigned_ean").alias("assigned_ean")
+    )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from stockcount.functions.numbers import decimals
 from stockcount.operators import inventory, runs, video
 from stockcount.plans.registry import query
-from stockcount.sources import views
+from stockcount.scale import shared_dir
+from stockcount.sources import stores, views
 
 
 @query(
@@ -121,15 +124,16 @@ def run_register_rows(spark, sf):
     return rows
 
 
-@query(
-    """WITH m AS (
+METRICS_SQL = """WITH m AS (
   SELECT run_id, run_id % 5 AS serie, printf('%.4f', 100.0::DOUBLE * count_if(decision = 'unknown') / count(*))::DOUBLE AS unknown_pct,
          printf('%.4f', 100.0::DOUBLE * count_if(decision = 'ambiguous') / count(*))::DOUBLE AS ambiguous_pct FROM fx_review GROUP BY 1)
 SELECT run_id, serie, unknown_pct, ambiguous_pct,
        printf('%.4f', unknown_pct - lag(unknown_pct) OVER (PARTITION BY serie ORDER BY run_id))::DOUBLE AS delta_unknown_pct,
        printf('%.4f', ambiguous_pct - lag(ambiguous_pct) OVER (PARTITION BY serie ORDER BY run_id))::DOUBLE AS delta_ambiguous_pct
 FROM m"""
-)
+
+
+@query(METRICS_SQL)
 def metrics_trend(spark, sf):
     total = F.count(F.lit(1))
     share = lambda cond: decimals(100.0 * F.count_if(cond) / total, 4)
@@ -178,3 +182,21 @@ SELECT video_id, idx, printf('frame_%04d_t%.2fs.jpg', n, idx / 2.5::DOUBLE) AS a
 def frame_export_list(spark, sf):
     frames = views.frame_metrics(spark, sf).withColumn("fps", F.lit(2.5))
     return video.export_list(frames, 1.0).select("video_id", "idx", "archivo")
+
+
+@query(
+    METRICS_SQL.split("SELECT run_id, serie, unknown_pct")[0]
+    + "SELECT 'run-' || run_id::VARCHAR AS execution_id, 'video-' || serie::VARCHAR AS video_name, unknown_pct, ambiguous_pct FROM m"
+)
+def metrics_history(spark, sf):
+    """Metrics appended to the history in two deliveries and read back."""
+    trend = metrics_trend(spark, sf)
+    rows = trend.selectExpr(
+        "'2024-01-01T00:00:00' as timestamp", "concat('run-', cast(run_id as string)) as execution_id", "concat('video-', cast(serie as string)) as video_name",
+        "map('unknown_pct', unknown_pct, 'ambiguous_pct', ambiguous_pct) as metrics", "run_id",
+    )
+    place = f"{shared_dir(spark)}/metrics-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        stores.append_metrics(rows.filter(F.col("run_id") % 2 == half).drop("run_id"), f"{place}/history", f"{place}/runs")
+    read = stores.read_metrics(spark, f"{place}/history")
+    return read.select("execution_id", "video_name", F.col("metrics")["unknown_pct"].alias("unknown_pct"), F.col("metrics")["ambiguous_pct"].alias("ambiguous_pct"))

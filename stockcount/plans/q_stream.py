@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from stockcount.plans.q_runs import METRICS_SQL
 from stockcount.plans.q_track import _DECISION_SQL, _ISLANDS_SQL
 from stockcount.plans.registry import query
 from stockcount.scale import shared_dir
@@ -206,3 +207,21 @@ def stream_inventory(spark, sf):
             replay.stream(), f"{replay.root}/counts", f"{replay.root}/checkpoint"
         ).awaitTermination()
     return live.refreshed_inventory(spark, f"{replay.root}/counts")
+
+
+@query(METRICS_SQL)
+def stream_metrics(spark, sf):
+    """Metrics of runs kept up per micro-batch; every batch is delivered twice, as after a failure, and counts once."""
+    records = views.review(spark, sf).select("run_id", "decision", "idx")
+    replay = _replay(spark, "metrics", "run_id long, decision string")
+    span = 1 + (records.agg(F.max("idx")).first()[0] or 0)
+    write = live.partial_writer(live.run_counts, f"{replay.root}/runs")
+
+    def twice(batch, batch_id):
+        write(batch, batch_id)
+        write(batch, batch_id)
+
+    for i, part in _slices(records, "idx", span):
+        replay.feed(part.drop("idx"), i)
+        live.refresh(replay.stream(), twice, f"{replay.root}/checkpoint").awaitTermination()
+    return live.refreshed_metrics(spark, f"{replay.root}/runs", F.col("run_id") % 5)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stockcount.functions.decision import VoteProfile
 from stockcount.functions.numbers import decimals
 from stockcount.operators.inventory import frame_counts
+from stockcount.operators.runs import metrics_trend
 from stockcount.operators.tracking import DEFAULTS, TrackerSettings, frame_step
 from stockcount.operators.votes import BALANCED, decide_tallies, scored_vote
 
@@ -391,20 +392,44 @@ def review_stream(records: DataFrame, remember_ms: int = REMEMBER_MS) -> DataFra
     )
 
 
-def refresh_frame_counts(identified: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps partial per-frame counts per micro-batch; a repeated batch overwrites its own part."""
+def partial_writer(partial: Callable[[DataFrame], DataFrame], path: str) -> Callable[[DataFrame, int], None]:
+    """Writes the partial aggregate of a micro-batch; a repeated batch overwrites its own part, so that merging counts it once."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        frame_counts(batch).write.mode("overwrite").parquet(f"{path}/lote={batch_id}")
+        partial(batch).write.mode("overwrite").parquet(f"{path}/lote={batch_id}")
 
-    return (
-        identified.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+    return write
+
+
+def refresh(source: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
+    return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def refresh_frame_counts(identified: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps partial per-frame counts per micro-batch."""
+    return refresh(identified, partial_writer(frame_counts, path), checkpoint)
+
+
+def run_counts(records: DataFrame) -> DataFrame:
+    """run_id, total, unknown, ambiguous of review records: sums that merge by adding."""
+    return records.groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(F.col("decision") == "unknown").alias("unknown"), F.count_if(F.col("decision") == "ambiguous").alias("ambiguous")
     )
 
 
+def refresh_metrics(records: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Keeps partial decision counts of runs per micro-batch; a run may be spread over batches."""
+    return refresh(records, partial_writer(run_counts, path), checkpoint)
+
+
+def refreshed_metrics(spark: SparkSession, path: str, series: Column) -> DataFrame:
+    """Shares of unknown and ambiguous records per run, and their change against the previous run of the same ``series``."""
+    merged = spark.read.parquet(path).groupBy("run_id").agg(*[F.sum(c).alias(c) for c in ("total", "unknown", "ambiguous")])
+    share = lambda c: decimals(F.lit(100.0) * F.col(c) / F.col("total"), 4).alias(f"{c}_pct")
+    shares = merged.select("run_id", series.alias("serie"), share("unknown"), share("ambiguous"))
+    return metrics_trend(shares, "serie", "run_id", ["unknown_pct", "ambiguous_pct"])
+
+
 def refreshed_inventory(spark: SparkSession, path: str) -> DataFrame:
     """Per-frame inventory from the partial counts; a frame may be spread over batches."""
     counts = spark.read.parquet(path).groupBy("video_id", "frame_idx", "ean").agg(F.sum("cantidad").alias("cantidad"))
