@@ -101,11 +101,12 @@ def greedy_keep(
     ``items`` has columns scope, key, vec and the order (o1 double, o2 long), unique per scope. Rows
     for which ``comparable`` is false (a zero vector, an empty box) match nothing and are always kept.
     """
-    comparable = F.lit(True) if comparable is None else comparable
-    kept = [items.filter(~comparable).select("key")]
+    # Whatever the items come from runs once.
+    items = cut(items.select("scope", "key", "vec", "o1", "o2", (F.lit(True) if comparable is None else comparable).alias("_comparable")))
+    kept = [items.filter("not _comparable").select("key")]
     first = F.min(F.struct("o1", "o2", "key")).alias("first")
     undecided = (
-        items.filter(comparable).groupBy("scope", "vec").agg(first).select("scope", "first.key", "first.o1", "first.o2", "vec")
+        items.filter("_comparable").groupBy("scope", "vec").agg(first).select("scope", "first.key", "first.o1", "first.o2", "vec")
     )
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in undecided.schema if f.name in ("scope", "key", "vec"))
     fn = _settle(score, threshold, strict)
