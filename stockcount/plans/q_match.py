@@ -12,7 +12,7 @@ from stockcount.operators import identify as ident
 from stockcount.operators import knn, pivots
 from stockcount.plans.registry import query
 from stockcount.scale import shared_dir
-from stockcount.sources import stores, views
+from stockcount.sources import snapshots, stores, views
 from stockcount.sources.tables import table
 
 
@@ -201,12 +201,27 @@ def catalog_replace_refs(spark, sf):
     return knn.replace_refs(views.catalog_refs(spark, sf), fresh).select("ref_id", "ean")
 
 
-@query(
-    """WITH fresh AS (
+_STORED_SQL = """WITH fresh AS (
   SELECT vec_id + 1000000 AS ref_id, 'EAN' || lpad(label::VARCHAR, 3, '0') AS ean, 'botella' AS categoria FROM embeddings WHERE label < 4),
 s AS (SELECT ref_id, ean, categoria FROM fx_catalog_ref WHERE ean NOT IN (SELECT ean FROM fresh) UNION ALL SELECT * FROM fresh)
 SELECT ean, categoria, count(*)::BIGINT AS n, sum(ref_id)::BIGINT AS suma FROM s WHERE categoria IN ('botella', 'bolsa') GROUP BY 1, 2"""
-)
+
+
+@query(_STORED_SQL)
+def catalog_snapshots(spark, sf):
+    """The catalogue as snapshots: stored in two deliveries, some products replaced, compacted; two categories are read back."""
+    refs = views.catalog_refs(spark, sf)
+    stored = snapshots.SnapshotTable(spark, f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}", tag="categoria")
+    for half in (0, 1):
+        stored.append(refs.filter(F.col("ref_id") % 2 == half))
+    moved = refs.filter("substring(ean, 4) < '004'").withColumns({"ref_id": F.col("ref_id") + 1_000_000, "categoria": F.lit("botella")})
+    stored.replace(moved, "ean")
+    stored.compact()
+    kept = stored.read(tags=["botella", "bolsa"])
+    return kept.groupBy("ean", "categoria").agg(F.count(F.lit(1)).alias("n"), F.sum("ref_id").alias("suma"))
+
+
+@query(_STORED_SQL)
 def catalog_store_update(spark, sf):
     """The stored catalogue after some products were replaced; two categories are read back."""
     path = f"{shared_dir(spark)}/catalog-{uuid.uuid4().hex}"

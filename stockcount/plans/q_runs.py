@@ -7,10 +7,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from stockcount.functions.numbers import decimals
-from stockcount.operators import inventory, runs, video
+from stockcount.operators import inventory, running, runs, video
 from stockcount.plans.registry import query
 from stockcount.scale import shared_dir
-from stockcount.sources import stores, views
+from stockcount.sources import snapshots, stores, views
 
 
 @query(
@@ -48,17 +48,37 @@ def run_history(spark, sf):
     return runs.history(views.runs(spark, sf), views.run_items(spark, sf))
 
 
-@query(
-    """WITH e AS (SELECT p_partkey AS ean FROM part UNION ALL SELECT max(p_partkey) + 1 FROM part)
+_STATS_SQL = """WITH e AS (SELECT p_partkey AS ean FROM part UNION ALL SELECT max(p_partkey) + 1 FROM part)
 SELECT e.ean, count(i.ean)::BIGINT AS veces_detectado, printf('%.1f', avg(i.cantidad_dedup))::DOUBLE AS promedio_unidades,
        max(i.cantidad_dedup) AS max_unidades, min(i.cantidad_dedup) AS min_unidades,
        printf('%.4f', sum(i.confianza_promedio::DECIMAL(18, 6))::DOUBLE / count(i.ean))::DOUBLE AS confianza_media
 FROM e LEFT JOIN fx_run_items i ON i.ean = e.ean GROUP BY 1"""
-)
-def sku_stats(spark, sf):
+
+
+def _asked(spark, sf):
+    """All products and one that was never detected."""
     known = views.products(spark, sf).select("ean")
-    absent = known.agg((F.max("ean") + 1).alias("ean"))
-    return runs.sku_stats(known.unionByName(absent), views.run_items(spark, sf))
+    return known.unionByName(known.agg((F.max("ean") + 1).alias("ean")))
+
+
+@query(_STATS_SQL)
+def sku_stats(spark, sf):
+    return runs.sku_stats(_asked(spark, sf), views.run_items(spark, sf))
+
+
+@query(_STATS_SQL)
+def sku_stats_incremental(spark, sf):
+    """The same after three deliveries, the last of them with wrong items that are withdrawn again, kept as snapshots."""
+    items = views.run_items(spark, sf)
+    wrong = items.filter(F.col("ejecucion_id") % 5 == 0).withColumns({"cantidad_dedup": F.col("cantidad_dedup") * 3 - 60, "confianza_promedio": F.lit(0.5).cast("double")})
+    stored = snapshots.SnapshotTable(spark, f"{shared_dir(spark)}/stats-{uuid.uuid4().hex}")
+    for n in range(3):
+        delivery = items.filter(F.col("ejecucion_id") % 3 == n)
+        state = running.partials(delivery.unionByName(wrong) if n == 2 else delivery)
+        before = stored.read()
+        stored.overwrite(state if before is None else running.merged(before, state))
+    stored.overwrite(running.retracted(stored.read(), wrong, items))
+    return running.stats_of(stored.read(), _asked(spark, sf))
 
 
 @query(
