@@ -42,6 +42,8 @@ RECALL = 0.999
 #: Nodes and shingles of a block; a cell holds two blocks.
 BLOCK_NODES = 256
 BLOCK_SHINGLES = 400_000
+#: Bytes of text worked on at once.
+AT_ONCE = 2_000_000
 
 
 def matched_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -93,7 +95,7 @@ def sketched(docs: DataFrame, threshold: float, width: int, trees: int) -> DataF
     shifts = rng.integers(0, 1 << 32, trees * depth, dtype=np.uint32)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in slices(batches):
+        for rows, texts in slices(batches, most=AT_ONCE):
             nodes, sizes, labels = [], [], []
             for node, shingles in shingle_sets(texts, width):
                 nodes.append(node)
@@ -189,7 +191,7 @@ def _verified(docs: DataFrame, sketch: DataFrame, threshold: float, width: int,
     dealt = cells(member.select("node", "cluster", "n", "copies"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in slices(batches):
+        for _, texts in slices(batches, most=AT_ONCE):
             found = list(shingle_sets(texts, width))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.array([x for x, _ in found], dtype=np.uint64).view(np.int64)), pa.array([y.tobytes() for _, y in found], pa.binary())],

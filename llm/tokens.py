@@ -20,8 +20,8 @@ from tokenizers import Tokenizer
 
 from llm.batches import Words, slices
 
-#: Distinct pieces a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+#: Distinct pieces a worker remembers before it starts afresh, and bytes of text it works on at once.
+REMEMBERED, AT_ONCE = 150_000, 2_000_000
 #: Letters whose lower case and composed form need no table: ASCII and the accented ones of Latin-1.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -95,6 +95,6 @@ class Encoder:
 def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of rows and, for each row, its ids followed by ``end_id``."""
     encoder = Encoder.of(path)
-    for rows, texts in slices(batches):
+    for rows, texts in slices(batches, most=AT_ONCE):
         ids, bounds = encoder.encode(texts)
         yield rows, [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
