@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from stockcount.scale import cut
 
+from llm.batches import SLICE_BYTES
 from llm.tokens import encoded
 
 LONGEST = 2048
@@ -36,14 +37,14 @@ def binary_lengths(n: int, longest: int = LONGEST) -> list[int]:
     return [longest] * (n // longest) + [1 << k for k in range(longest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = False, at_once: int = SLICE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, task, nth (of its length in the task), and ids if wanted."""
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, seen = TaskContext.get().partitionId(), dict.fromkeys(binary_lengths(2 * longest - 1, longest), 0)
-        for rows, each in encoded(batches, tokenizer, end_id):
+        for rows, each in encoded(batches, tokenizer, end_id, at_once):
             owner, start, length, crc, nth, tokens = [], [], [], [], [], []
             for k, ids in enumerate(each):
                 at = 0
@@ -75,12 +76,12 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONG
     return docs.select("doc_id", "text").mapInArrow(task, schema + ", ids array<int>" * with_ids)
 
 
-def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = LONGEST, with_ids: bool = False, at_once: int = SLICE_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (always 0), and ids if wanted.
 
-    sequence_id counts from 0 without a gap, the longest sequences first.
+    A task works on ``at_once`` bytes of text. sequence_id counts from 0 without a gap, the longest sequences first.
     """
-    cuts = cut(pieces(docs, tokenizer, end_id, longest, with_ids))
+    cuts = cut(pieces(docs, tokenizer, end_id, longest, with_ids, at_once))
     before = Window.orderBy(F.desc("length"), "task").rowsBetween(Window.unboundedPreceding, -1)
     starts = cuts.groupBy("length", "task").count().select(
         F.col("length").alias("_length"), F.col("task").alias("_task"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first")

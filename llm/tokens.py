@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from llm.batches import Words, slices
+from llm.batches import SLICE_BYTES, Words, slices
 
-#: Distinct pieces a worker remembers before it starts afresh, and bytes of text it works on at once.
-REMEMBERED, AT_ONCE = 150_000, 2_000_000
+#: For each distinct piece that a worker remembers before it starts afresh, bytes of text it works on at once.
+BYTES_A_PIECE = 15
 #: Letters whose lower case and composed form need no table: ASCII and the accented ones of Latin-1.
 _SIMPLE = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]*)")
 
@@ -52,6 +52,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pieces: dict[str, tuple[int, ...]] = {}
+        self.remembered = SLICE_BYTES // BYTES_A_PIECE
         # Straight ways hold only if the tokenizer gives the same ids for both.
         probe = ["Straße,", "ÉTÉ.", "don", "(x)", "Wort!!", "a|b", "naïve", "ça%%%", "e-mail", "#tag"]
         self.straight = all(self.word(w) == tuple(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in probe)
@@ -67,7 +68,7 @@ class Encoder:
         if ids is None:
             shown = text if text.isascii() else text.translate(_LATIN)
             ids = tuple([t.id for t in self.model.tokenize(shown)])
-            if len(self.pieces) >= REMEMBERED:
+            if len(self.pieces) >= self.remembered:
                 self.pieces.clear()
             self.pieces[text] = ids
         return ids
@@ -92,9 +93,12 @@ class Encoder:
         return flat[at], np.concatenate([[0], ends])[words.bounds]
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of rows and, for each row, its ids followed by ``end_id``."""
+def encoded(
+    batches: Iterator[pa.RecordBatch], path: str, end_id: int, at_once: int = SLICE_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of rows and, for each row, its ids followed by ``end_id``; ``at_once`` bytes of text bound the memory."""
     encoder = Encoder.of(path)
-    for rows, texts in slices(batches, most=AT_ONCE):
+    encoder.remembered = at_once // BYTES_A_PIECE
+    for rows, texts in slices(batches, most=at_once):
         ids, bounds = encoder.encode(texts)
         yield rows, [np.append(ids[a:b], np.uint32(end_id)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
