@@ -36,8 +36,9 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of power-of-two lengths, without their ids."""
-    return packing.packed(docs, vocabulary("word_bpe_49k.json"), end_id=1)
+    """Token sequences of power-of-two lengths, with their ids."""
+    # The stages before have filled the executors' memory, so a task works on little text at once.
+    return packing.packed(docs, vocabulary("word_bpe_49k.json"), end_id=1, with_ids=True, at_once=1_500_000)
 
 
 STAGES: list[tuple[str, Stage]] = [
