@@ -2,7 +2,7 @@
 
 A document is long and a test item short, so their resemblance is near zero even if the item is wholly inside.
 The search therefore asks for containment: how much of the item's set of five-word shingles the document holds.
-Every item keeps a bottom-k MinHash sketch, the ``SKETCH`` smallest hashes of its shingles. Under one hash
+Every item keeps a bottom-k MinHash sketch, the smallest hashes of its shingles. Under one hash
 function a document's own sketch of the same hash range holds such a hash exactly if it holds the shingle, so
 the share of an item's sketch found in a document estimates the containment without bias whatever the two
 sizes are. Items are partitioned by size in powers of two; each partition has the hash range its sketches
@@ -17,6 +17,8 @@ reported once per id and text; ids may be null; further columns stay untouched.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from stockcount.scale import cut
@@ -24,12 +26,23 @@ from stockcount.scale import cut
 from llm.text import broadcast_if_few, grams, hashed, private, words
 
 WIDTH = 5
-SKETCH = 16
+#: Least sketch hashes of an item, and the chance at which one held to the threshold may be missed.
+SKETCH, MISSED = 16, 1e-4
 #: Bytes of item shingles that may be broadcast.
 ITEM_BYTES = 32_000_000
-#: Sketch hashes that must be found when the sketch is a part of the item; at a containment of 0.8 the chance
-#: that fewer than 6 of 16 are found is below 0.0001. A sketch that is the whole item is held to the threshold.
-HITS = 6
+
+
+def sketch_rule(threshold: float) -> tuple[int, int]:
+    """Hashes of a sketch, and how many of them must be found when the sketch is a part of the item.
+
+    Both follow from the threshold: of an item held to it, fewer are found with a chance of at most ``MISSED`` (6 of 16 at
+    0.8). Low thresholds take longer sketches. A sketch that is the whole item is held to the threshold itself.
+    """
+    size = SKETCH if threshold >= 1 else max(SKETCH, math.ceil(math.log(MISSED) / math.log(1 - threshold)))
+    tail, hits = 0.0, 0
+    while hits < size and (tail := tail + math.comb(size, hits) * threshold**hits * (1 - threshold) ** (size - hits)) <= MISSED:
+        hits += 1
+    return size, max(1, hits)
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -49,12 +62,13 @@ def item_sketches(shingled: DataFrame, threshold: float) -> DataFrame:
     chained = lambda h, n: F.xxhash64(*[F.get(h, k) for k in range(n)])
     by_width = lambda s: F.coalesce(*[F.when(F.col("width") == n, chained(word_hashes(s), n)) for n in range(1, WIDTH + 1)])
     ranked = shingled.withColumn("_hashes", F.sort_array(F.array_distinct(F.transform("shingles", by_width))))
-    needed = F.when(F.col("n_item") <= SKETCH, F.ceil(F.col("n_item") * threshold - 1e-9)).otherwise(F.lit(HITS))
+    size, hits = sketch_rule(threshold)
+    needed = F.when(F.col("n_item") <= size, F.ceil(F.col("n_item") * threshold - 1e-9)).otherwise(F.lit(hits))
     sketch = ranked.select(
         "item_id",
         "width",
         F.floor(F.log2("n_item")).cast("int").alias("partition"),
-        F.slice("_hashes", 1, SKETCH).alias("_sketch"),
+        F.slice("_hashes", 1, size).alias("_sketch"),
         needed.cast("long").alias("needed"),
     )
     return sketch.select("item_id", "width", "partition", "needed", F.explode("_sketch").alias("hash"))

@@ -1,10 +1,9 @@
-"""Documents whose sets of five-word shingles resemble each other (Jaccard), by a MinHash LSH forest.
+"""Documents whose sets of five-word shingles resemble each other (Jaccard), by MinHash labels in fixed bands.
 
-1. A task turns texts into shingle hashes and from them into ``TREES`` labels, the concatenated MinHash values
-   along a path of each prefix tree. Texts of the same words are one node from here on.
-2. The forest is matched at the longest prefix that still meets the target recall: starting from the full depth,
-   prefixes are shortened until a pair exactly at the threshold shares one with the wanted probability. Nodes
-   that share a prefix in a tree are tied to the least of them, which gives a line per node instead of pairs,
+1. A task turns texts into shingle hashes and from them into ``TREES`` labels, each the hash of a band of MinHash
+   values. Texts of the same words are one node from here on. The bands are as long as a pair exactly at the threshold
+   still shares one with the wanted probability: 40 bands of 8 values at 0.8. No forest of prefix trees is built, see README.
+2. Nodes that share a label are tied to the least of them, which gives a line per node instead of pairs,
    and the ties join into clusters. All candidate pairs lie inside clusters.
 3. Every cluster is verified exactly on the shingle sets. A cluster beyond a block's size is cut into blocks and
    each pair of blocks is a cell of its own, so no task holds a whole hot cluster. A cell multiplies incidence
@@ -47,7 +46,7 @@ AT_ONCE = 2_000_000
 
 
 def matched_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold shares one in some tree with probability ``recall``."""
+    """The longest band at which a pair at the threshold shares one of ``trees`` with probability ``recall``; ``depth`` at most."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth

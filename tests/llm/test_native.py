@@ -171,6 +171,23 @@ def test_contamination_equals_brute_force(spark, leak_case):
     assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(str((i, t)) for k, (i, t) in enumerate(odd) if k not in bad)
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.3, 1.0])
+def test_contamination_at_other_thresholds(spark, threshold):
+    rng = random.Random(int(threshold * 10))
+    vocabulary = [f"t{k}" for k in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([8, 20, 60, 150])))) for i in range(40)]
+    docs = []
+    for i, (_, text) in enumerate(items):
+        w = text.split()
+        # A run of the item that holds just about the threshold's share of its shingles.
+        for k in range(-2, 3):
+            n = min(len(w), max(1, round(threshold * (len(w) - 4)) + 4 + k))
+            docs.append((100 * i + k, " ".join([*rng.choices(vocabulary, k=30), *w[:n], *rng.choices(vocabulary, k=30)])))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in contamination.contaminated(docs_of(spark, docs), bench, threshold).collect()}
+    assert len(got) >= 40 and got == leaks_brute(docs, items, threshold)
+
+
 def test_contamination_without_broadcast(spark, leak_case, monkeypatch):
     docs, items = leak_case
     monkeypatch.setattr("llm.contamination.broadcast_if_few", lambda df: df)
